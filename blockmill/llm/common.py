@@ -104,10 +104,10 @@ def components(edges: DataFrame, tag: str, max_rounds: int = 40) -> DataFrame:
         )
         after = staged(small, f"{tag}-star{k}")
         # a star forest: every node points at one root, and no root points on
-        roots = after.select("v").distinct()
+        roots = after.select(F.col("v").alias("u")).distinct()
         if (
             after.groupBy("u").count().where("count > 1").isEmpty()
-            and after.join(roots, after["u"] == roots["v"], "left_semi").isEmpty()
+            and after.join(roots, "u", "left_semi").isEmpty()
         ):
             now = after
             break
