@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockmill.llm import bpe, embeddings, minhash, mixing, quality, sharding, toxicity
+from blockmill.llm import bpe, chat, embeddings, minhash, mixing, quality, sharding, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_chat": chat.op2_chat,
     "op3_sharding": sharding.op3_sharding,
     "op4_mixing": mixing.op4_mixing,
     "op5_bpe": bpe.op5_bpe,
+    "op7_warc": warc.op7_warc,
     "op8_embeddings": embeddings.op8_embeddings,
     "op9_quality": quality.op9_quality,
     "op10_minhash": minhash.op10_minhash,
