@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockmill.llm import bpe, chat, embeddings, minhash, mixing, quality, sharding, toxicity, warc
+from blockmill.llm import bpe, chat, embeddings, media, minhash, mixing, quality, sharding, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": sharding.op3_sharding,
     "op4_mixing": mixing.op4_mixing,
     "op5_bpe": bpe.op5_bpe,
+    "op6_media": media.op6_media,
     "op7_warc": warc.op7_warc,
     "op8_embeddings": embeddings.op8_embeddings,
     "op9_quality": quality.op9_quality,
