@@ -126,7 +126,7 @@ def expand(mixed: DataFrame, text_col: str = "text") -> DataFrame:
     words = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     part = F.array_join(F.flatten(F.transform("pieces", lambda p: F.slice(words, (p["from"] + 1).cast("int"), (p["to"] - p["from"]).cast("int")))), "")
     whole = F.expr("size(pieces) > 0 and aggregate(pieces, 0L, (a, p) -> a + p.to - p.from) = size")
-    copies = F.when(F.col("passes") > 0, F.array_repeat(F.col(text_col), F.col("passes").cast("int"))).otherwise(F.array().cast("array<string>"))
+    copies = F.when((F.col("passes") > 0) & (F.col("size") > 0), F.array_repeat(F.col(text_col), F.col("passes").cast("int"))).otherwise(F.array().cast("array<string>"))
     last = F.when(whole, F.array(F.col(text_col))).when(F.size("pieces") > 0, F.array(part)).otherwise(F.array().cast("array<string>"))
     drop = {*OUTPUTS, "passes", "pieces"}
     rest = [c for c in mixed.columns if c not in drop]

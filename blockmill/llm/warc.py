@@ -138,7 +138,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 row = {"url": r["URL"], "page_id": None, "date": r["Archive-date"], "mime": r["Content-type"]}
                 if r["URL"].startswith("filedesc://"):
                     continue  # what it says is in the converter's own warcinfo
-                if r["URL"].startswith(("http://", "https://")) and r["content"].startswith(b"HTTP/"):
+                if r["content"].startswith(b"HTTP/"):
                     head, _, payload = r["content"].partition(b"\r\n\r\n")
                     own = [h[11:] for h in head.split(b"\r\n") if h.lower().startswith(b"x-page-id: ")]
                     row |= {"page_id": int(own[0]) if own else None, "payload": payload, "head": head + b"\r\n\r\n", "kind": "response"}

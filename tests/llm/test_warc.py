@@ -1,0 +1,73 @@
+import gzip
+import hashlib
+
+from pyspark.sql import functions as F
+
+from blockmill.llm import warc
+from blockmill.llm.common import new_path
+
+
+def run(spark, pages, version=1):
+    arc, out = new_path(spark, "arc"), new_path(spark, "warc")
+    warc.write_arc(pages, arc, version)
+    warc.convert(warc.files(spark, arc), out)
+    return warc.read_warc(warc.files(spark, out)).collect(), out
+
+
+def expected(rows):
+    best = {}
+    for p, _, h in rows:
+        b = (h or "").encode()
+        if len(b) >= warc.LEAST and p is not None:
+            best[b] = max(p, best.get(b, p))
+    out = []
+    for p, _, h in rows:
+        b = (h or "").encode()
+        again = b in best and best[b] != p
+        out.append((p, len(b), hashlib.sha1(b).hexdigest(), "revisit" if again else "response", best[b] if again else None))
+    return out
+
+
+def test_both_versions_round_trip(spark):
+    long, edge = "é\r\n\r\nWARC/1.1\n" * 200, "x" * warc.LEAST
+    rows = [(1, "http://a/b", long), (5, "http://a/c d\te", long), (3, None, long), (2, "https://x/", "short"), (4, "http://y/", "short"), (6, "http://z", None), (7, "http://z", ""), (8, "u", edge), (-9, "http://v", edge), (10, "http://w", edge[1:]), (11, "http://w", edge[1:]), (None, "http://n", "nul"), (12, "http://big", "y" * 3_000_000), (2, "https://x/", "short")]
+    pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, digest string")
+    want = sorted(expected(rows), key=str)
+    for version in (1, 2):
+        got, _ = run(spark, pages, version)
+        assert sorted([(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got], key=str) == want
+
+
+def test_identifiers_and_headers(spark):
+    pages = spark.createDataFrame([(2**62 + k, "http://h/p", "z" * 2000) for k in range(3)] + [(-(2**63), "http://h/q", "")], "page_id long, url string, html string")
+    got, out = run(spark, pages)
+    assert len({r.record_id for r in got}) == 4 and {r.date for r in got} == {"2020-01-01T00:00:00Z"}
+    assert {r.page_id: r.refers_to for r in got} == {2**62: 2**62 + 2, 2**62 + 1: 2**62 + 2, 2**62 + 2: None, -(2**63): None}
+    for f in warc.files(spark, out).collect():
+        for h, block in warc.parse_warc(gzip.decompress(f["content"])):
+            assert h["WARC-Block-Digest"] == "sha1:" + hashlib.sha1(block).hexdigest().upper()
+            assert ("WARC-Refers-To" in h) == (h["WARC-Type"] == "revisit")
+
+
+def test_parse_arc_of_either_version():
+    one = warc.filedesc(1).encode() + b"\nhttp://a/ 1.2.3.4 19990101000000 text/html 5\nhe\nlo\ndns:a 0.0.0.0 19990101000000 text/dns 2\nok\n"
+    got = list(warc.parse_arc(one))
+    assert [r["content"] for r in got[1:]] == [b"he\nlo", b"ok"] and got[1]["URL"] == "http://a/"
+    two = warc.filedesc(2).encode() + b"\nhttp://a/ 1.2.3.4 19990101000000 text/html 200 abc - 0 f.arc 3\nxyz\n"
+    got = list(warc.parse_arc(two))
+    assert got[1]["Result-code"] == "200" and got[1]["content"] == b"xyz"
+
+
+def test_many_files_and_the_empty_table(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RECORDS", 5)
+    pages = spark.range(23).select(F.col("id").alias("page_id"), F.lit("http://a/").alias("url"), F.concat(F.lit("page "), "id").alias("html")).coalesce(2)
+    got, _ = run(spark, pages)
+    assert sorted(r.page_id for r in got) == list(range(23))
+    assert run(spark, pages.limit(0))[0] == []
+
+
+def test_table(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]
+    got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.op7_warc(spark, sf).collect()]
+    assert sorted(got) == sorted(expected(rows))
