@@ -5,6 +5,273 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from blockmill.functions import tensors, training
+from blockmill.operators import groups, packing, shuffle, text
+from blockmill.plans import moduletree
+from blockmill.plans.loader import CorpusLoader
+from blockmill.sources.shards import ShardSource, parse_shards
+from blockmill.sources.shards import train_val_split as split_shards
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+
+BOS = 256
+PACK = packing.PackOptions(batch_size=4, seq_len=2048, min_buffer=1 << 60, bos=(BOS,))
+TREE = moduletree.gpt_tree(layers=3, embed=8, vocab=32)
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def docs(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+@query("select doc_id, text, strlen(text)::bigint as n_bytes from documents where text is not null")
+def scan_text(spark, sf):
+    return text.select_text(docs(spark, sf), keep=("doc_id",)).withColumn("n_bytes", text.byte_length(F.col("text")))
+
+
+@query("select source, count(*) as n_docs, sum(strlen(text))::bigint as n_bytes, max(strlen(text))::bigint as longest from documents where text is not null group by source")
+def byte_stats_by_source(spark, sf):
+    rows = text.select_text(docs(spark, sf), keep=("source",))
+    size = text.byte_length(F.col("text"))
+    return rows.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(size).alias("n_bytes"), F.max(size).alias("longest"))
+
+
+@query("select i as shard_id, 'shard_' || case when length(i::varchar) < 5 then lpad(i::varchar, 5, '0') else i::varchar end || '.parquet' as file from (select unnest([0, 7, 312, 1821, 99999, 1234567]::bigint[]) as i)")
+def shard_names(spark, sf):
+    ids = spark.createDataFrame([(i,) for i in (0, 7, 312, 1821, 99999, 1234567)], "shard_id long")
+    return ids.select("shard_id", ShardSource().filename(F.col("shard_id")).alias("file"))
+
+
+@query("select distinct i as shard_id from (select 3 as i union all select unnest(range(0, 8)) union all select unnest(range(5, 11)) union all select unnest(range(1820, 1822)))")
+def shard_slice(spark, sf):
+    return spark.createDataFrame([(i,) for i in parse_shards("3,..8,5..=10,1820..", 1822)], "shard_id long")
+
+
+@query("select i as shard_id from (select unnest(range(0, 40)) as i) where 'src' || i not in (select source from documents)")
+def missing_shards(spark, sf):
+    have = docs(spark, sf).select("source").distinct()
+    every = spark.range(40).select(F.col("id").alias("shard_id"), F.concat(F.lit("src"), "id").alias("source"))
+    return every.join(have, "source", "left_anti").select("shard_id")
+
+
+@query("""
+with s as (select source, row_number() over (order by source) as k, count(*) over () as n from (select distinct source from documents))
+select source, case when k > n - greatest(ceil(n * 0.1)::bigint, 1) then 'validation' else 'train' end as part, count(*) as n_docs
+from documents join s using (source) group by all""")
+def train_val_split(spark, sf):
+    rows = docs(spark, sf)
+    train, val = split_shards([r.source for r in rows.select("source").distinct().orderBy("source").collect()])  # the shard list
+    part = spark.createDataFrame([(s, "train") for s in train] + [(s, "validation") for s in val], "source string, part string")
+    return rows.join(part, "source").groupBy("source", "part").agg(F.count("*").alias("n_docs"))
+
+
+@query(rf"select doc_id, len(regexp_extract_all(text, '{text.LEXER}'))::bigint as n_words from documents")
+def lex_counts(spark, sf):
+    return docs(spark, sf).select("doc_id", F.size(text.lex(F.col("text"))).cast("long").alias("n_words"))
+
+
+_BYTES = "list_transform(range(1, strlen(text) + 1), lambda i: ('0x' || substr(hex(encode(text)), (2 * i - 1)::int, 2))::int)"
+
+
+@query(f"select item_id, list_sum({_BYTES})::bigint as total, len({_BYTES})::bigint as n_tokens from benchmark")
+def byte_tokens(spark, sf):
+    rows = spark.read.parquet(f"{sf}/benchmark.parquet").withColumn("t", text.byte_tokens(F.col("text")))
+    return rows.select("item_id", F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.size("t").cast("long").alias("n_tokens"))
+
+
+def _lengths(spark, sf, batch: int = 1 << 40) -> DataFrame:
+    size = text.byte_length(F.col("text"))
+    return text.select_text(docs(spark, sf), keep=("doc_id",)).select(F.col("doc_id").alias("arrival"), F.expr(f"doc_id div {batch}").alias("batch"), size.alias("length"))
+
+
+_PACKED = f"""
+with recursive s as (select doc_id, strlen(text)::bigint as k, row_number() over (order by strlen(text), doc_id) as i from documents where text is not null),
+f as (
+  select 0::bigint as i, 0::bigint as doc_id, 0::bigint as "row", 0::bigint as off, 0::bigint as take, 0::bigint as next_row, 0::bigint as fill
+  union all
+  select s.i, s.doc_id, f.next_row, f.fill, least(s.k, {PACK.seq_len} - f.fill - 1),
+    case when f.fill + 1 + least(s.k, {PACK.seq_len} - f.fill - 1) >= {PACK.seq_len} then f.next_row + 1 else f.next_row end,
+    case when f.fill + 1 + least(s.k, {PACK.seq_len} - f.fill - 1) >= {PACK.seq_len} then 0 else f.fill + 1 + least(s.k, {PACK.seq_len} - f.fill - 1) end
+  from f join s on s.i = f.i + 1)"""
+
+
+@query(_PACKED + ' select doc_id, "row" as row_no, off::int as off, take::int as take from f where i > 0')
+def pack_rows_global(spark, sf):
+    placed = packing.plan(_lengths(spark, sf), PACK)
+    return placed.select(F.col("arrival").alias("doc_id"), F.col("row").alias("row_no"), "off", "take")
+
+
+@query(_PACKED + f""", full_rows as (select max(next_row) as n from f)
+select "row" // {PACK.batch_size} as batch_id, count(distinct "row") as n_rows, sum(take + 1)::bigint as n_tokens
+from f, full_rows where i > 0 and "row" // {PACK.batch_size} < full_rows.n // {PACK.batch_size} group by 1""")
+def pack_blocks_drop_last(spark, sf):
+    rows = text.select_text(docs(spark, sf), keep=("doc_id",)).select(F.col("doc_id").alias("arrival"), F.lit(0).alias("batch"), text.byte_tokens(F.col("text")).alias("tokens"))
+    made = packing.blocks(rows, PACK)
+    return made.groupBy("batch_id").agg(F.count_distinct("row_in_batch").alias("n_rows"), F.sum(F.size("tokens")).alias("n_tokens"))
+
+
+@query()
+def pack_rows_buffered(spark, sf):
+    options = packing.PackOptions(batch_size=4, seq_len=2048, min_buffer=64, bos=(BOS,))
+    return packing.plan(_lengths(spark, sf, batch=100), options)
+
+
+@query()
+def dense_blocks(spark, sf):
+    """Documents by source as shards: bytes as tokens, packed by shard into rows of 512, four to a block."""
+    options = packing.PackOptions(batch_size=4, seq_len=512, min_buffer=512, bos=(BOS,))
+    rows = text.select_text(docs(spark, sf), keep=("doc_id", "source"))
+    return packing.blocks(rows.select("source", F.col("doc_id").alias("arrival"), F.expr("doc_id div 1024").alias("batch"), text.byte_tokens(F.col("text")).alias("tokens")), options, "source")
+
+
+@query("select count(distinct doc_id) > 0 as any_rows, 1 as n_files, sum(strlen(text))::bigint as n_bytes from documents where text is not null")
+def epoch_stats(spark, sf):
+    loader = CorpusLoader(spark, (f"{sf}/documents.parquet",), packing.PackOptions(4, 2048, 512, (BOS,)), seed=1)
+    epoch = loader.start_epoch()
+    n = epoch.blocks.count()
+    s = epoch.stats()
+    return spark.createDataFrame([(n > 0, s["file_count"], s["byte_count"])], "any_rows boolean, n_files int, n_bytes long")
+
+
+@query()
+def shuffle_buffered(spark, sf):
+    return shuffle.buffered_shuffle(docs(spark, sf), "doc_id", fill_rate=8, buffer_size=128, seed=3)
+
+
+@query("select doc_id from documents")
+def shuffle_hashed(spark, sf):
+    return shuffle.hash_shuffle(docs(spark, sf).select("doc_id"), "doc_id", seed=3, epoch=1)
+
+
+@query("select doc_id, (row_number() over (order by doc_id) - 1) // 64 as batch_id, ((row_number() over (order by doc_id) - 1) % 64)::int as row_in_batch from documents")
+def rebatch(spark, sf):
+    return shuffle.rebatch(docs(spark, sf).select("doc_id"), "doc_id", 64)
+
+
+@query(f"""
+with t as (select item_id, {_BYTES} as tokens from benchmark),
+p as (select item_id, unnest(range(0, len(tokens) - 1))::int as pos, tokens from t)
+select item_id, pos, tokens[pos + 1]::int as input, tokens[pos + 2]::int as target from p""")
+def next_token_pairs(spark, sf):
+    rows = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", text.byte_tokens(F.col("text")).alias("tokens"))
+    return training.next_token_pairs(rows, "item_id")
+
+
+def _values() -> str:
+    """The tree's parameters as SQL values, from the walk alone: id, place, rank, elements, whether below h."""
+    nodes = moduletree.walk(TREE)
+    h = next(n for n in nodes if n["elem"] == "Vec")
+    rows = [f"('{n['param_id']}', {n['pre']}, {n['rank']}, {tensors.TensorDesc(n['kind'], n['dtype'], tuple(n['shape'])).num_elements}, {str(h['pre'] < n['pre'] <= h['last']).lower()}, '{tensors.shape_to_text(n['shape'])}')" for n in nodes if n["elem"] == "Param"]
+    return f"(values {', '.join(rows)}) as p(param_id, pre, rank, n, in_h, shape)"
+
+
+_MUON = "GPT/Vec[@name='h']"
+
+
+@query(f"select param_id, pre, rank from {_values()} where rank = 2")
+def param_select_rank2(spark, sf):
+    return moduletree.ModuleTree.build(spark, TREE).query().params().filter("@rank=2").to_df().select("param_id", "pre", "rank")
+
+
+@query(f"select param_id, shape, rank, n::bigint as n_elements, 4 * n::bigint as n_bytes, 'n:' || upper(printf('%x', pre)) as id from {_values()}")
+def param_sizes(spark, sf):
+    rows = moduletree.ModuleTree.build(spark, TREE).query().params().to_df()
+    shape = F.col("shape")
+    return rows.select("param_id", tensors.shape_text(shape).alias("shape"), tensors.rank(shape).alias("rank"), tensors.num_elements(shape).alias("n_elements"), tensors.size_estimate(F.col("dtype"), shape).alias("n_bytes"), tensors.node_id(F.col("pre")).alias("id"))
+
+
+@query(f"select param_id, case when in_h and rank = 2 then 'matrix' else 'other' end as part from {_values()}")
+def optimizer_split(spark, sf):
+    tree = moduletree.ModuleTree.build(spark, TREE)
+    chosen, rest = groups.split(tree.query().params().to_df(), tree.select(_MUON).params().filter("@rank=2").to_df())
+    return chosen.withColumn("part", F.lit("matrix")).unionByName(rest.withColumn("part", F.lit("other")))
+
+
+@query("select 'b' as param_id, 0 as first_tag, 1 as second_tag union all select 'c', 0, 0")
+def duplicate_params(spark, sf):
+    found = groups.duplicates(groups.assign(spark, [[["a", "b", "c"], ["c"]], [["d", "b"]]]))
+    return found.select("param_id", F.col("first.type_tag").alias("first_tag"), F.col("second.type_tag").alias("second_tag"))
+
+
+def _vectors(spark, sf) -> DataFrame:
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet")
+    return rows.select("vec_id", "label", F.transform("embedding", lambda v: v.cast("double")).alias("e"))
+
+
+def _total(c):
+    return F.round(F.aggregate(c, F.lit(0.0), lambda a, v: a + v), 6)
+
+
+_SUM = "select vec_id, round(list_sum(list_transform(embedding, lambda x: {})), 6) as total from embeddings"
+
+
+@query(_SUM.format("greatest(-0.1::double, least(0.1::double, x::double))"))
+def grad_clip(spark, sf):
+    return _vectors(spark, sf).select("vec_id", _total(training.clip(F.col("e"), 0.1)).alias("total"))
+
+
+@query(_SUM.format("greatest(x::double, 0) ** 2"))
+def relu_squared(spark, sf):
+    return _vectors(spark, sf).select("vec_id", _total(training.relu_squared(F.col("e"))).alias("total"))
+
+
+@query(_SUM.format("15 * ((exp(2 * x::double * 20 / 15) - 1) / (exp(2 * x::double * 20 / 15) + 1))"))
+def softcap(spark, sf):
+    scaled = F.transform("e", lambda v: v * 20)
+    return _vectors(spark, sf).select("vec_id", _total(training.softcap(scaled)).alias("total"))
+
+
+@query("select label, round(avg(ln(list_sum(list_transform(embedding, lambda x: exp(x::double)))) - embedding[label + 1]::double), 6) as loss from embeddings group by label")
+def cross_entropy(spark, sf):
+    loss = training.cross_entropy(F.col("e"), F.col("label"))
+    return _vectors(spark, sf).groupBy("label").agg(F.round(F.avg(loss), 6).alias("loss"))
+
+
+@query("""
+select vec_id::varchar as param_id, (vec_id % 2 = 0 and label < 5) as updated,
+  round(list_sum(list_transform(embedding, lambda x: x::double -
+    case when vec_id % 2 = 0 and label < 5 then 0.5 * greatest(-0.1::double, least(0.1::double, x::double)) + case when label = 0 then 1.0 else 0.0 end else 0.0 end)), 6) as total
+from embeddings""")
+def group_update(spark, sf):
+    v = _vectors(spark, sf).withColumn("param_id", F.col("vec_id").cast("string"))
+    member = v.where("label < 5").select("param_id", F.lit(0).alias("type_tag"), F.col("label").alias("group_idx"))
+    state = v.where("label = 0").select(F.lit(0).alias("type_tag"), F.col("label").alias("group_idx"), "param_id", F.lit(1.0).alias("state"))
+
+    def update(value, grad, kept):
+        shift = F.coalesce(kept, F.lit(0.0))
+        return F.zip_with(value, grad, lambda x, g: x - (0.5 * g + shift)), shift
+
+    out = groups.step(v.select("param_id", F.col("e").alias("value")), v.where("vec_id % 2 = 0").select("param_id", F.col("e").alias("grad")), member, state, update, clip_at=0.1)
+    return out.select("param_id", "updated", _total(F.col("value")).alias("total"))
+
+
+@query("select d.doc_id, round(e.embedding[1]::double, 6) as first from documents d join embeddings e on e.vec_id = d.n_chars % 256")
+def embedding_lookup(spark, sf):
+    vectors = _vectors(spark, sf).select(F.col("vec_id").alias("token"), F.col("e").alias("vector"))
+    tokens = docs(spark, sf).select("doc_id", (F.col("n_chars") % 256).alias("token"))
+    return training.embed(tokens, vectors).select("doc_id", F.round(F.col("vector")[0], 6).alias("first"))
+
+
+@query("select i as step, round(1e6 * least(1.0, 1e-10 + (1 - 1e-10) * i / 300) * 0.5 * 5e-5 * (1 + cos(pi() * least(i, 2000) / 2000)), 6) as rate from (select unnest(range(0, 2400, 50)) as i)")
+def learning_rates(spark, sf):
+    rate = training.learning_rate_column(F.col("id"), 5e-5, 2000)
+    return spark.range(0, 2400, 50).select(F.col("id").alias("step"), F.round(1e6 * rate, 6).alias("rate"))
+
+
+@query("select 113246208::bigint as attention_flops, 128::bigint as head_dim, 3072::bigint as hidden_size, 10240::bigint as max_seq_len")
+def model_shape(spark, sf):
+    c = training.GptConfig()
+    return spark.createDataFrame([(c.flops_per_token(0, 0), c.head_dim, c.hidden_size, c.max_seq_len)], "attention_flops long, head_dim long, hidden_size long, max_seq_len long")
