@@ -11,8 +11,9 @@ most once, so the subsequence is a longest increasing one.
 
 Equal word sequences are one class: only its smallest doc_id is sketched. In each bucket every member is aligned with CENTRES members of
 the smallest seeded hashes. Buckets that are of one component then need no further pair, so a group of m copies costs of the order of m
-pairs; where a bucket still holds several components, all pairs across them are aligned. So no candidate pair that could join two
-components is left out, and nothing is capped. Links and components never reach the driver.
+pairs. Where a larger bucket still holds several components, all pairs across them are held against each other, within tasks of two
+blocks of BLOCK members: counts of common k-mers rule most out, the others are aligned, and only links that join components come out. So
+no candidate pair that could join two components is left out, and nothing is capped. Links and components never reach the driver.
 
 Defined cases: texts without words (null, empty, signs only) link with nothing; texts of fewer than K words have one k-mer, all their
 words; rows with a null doc_id are left out of the classes; repeated rows of a doc_id count as one (its first text by order); an empty
@@ -25,6 +26,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +39,7 @@ PICK = 2
 ROWS = 2
 BANDS = 16
 CENTRES = 4
+BLOCK = 512
 THRESHOLD = 0.8
 SEED = 7
 WIDE = 2048  # k-mers hashed at a time
@@ -201,6 +204,42 @@ def links(pairs: DataFrame, packed: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "words_a", "words_b").mapInArrow(_verify, "src long, dst long")
 
 
+def _across(cell: pd.DataFrame) -> pd.DataFrame:
+    """Links that join components within one cell of a bucket: the pairs of its two blocks (or of its one) that share no earlier band.
+
+    Common k-mers are counted for one text against all others at once; that bounds the similarity from above, and what passes is aligned.
+    """
+    bucket, two = int(cell["bucket"].iloc[0]), int(cell["i"].iloc[0]) != int(cell["j"].iloc[0])
+    cell = cell.sort_values("doc_id", kind="stable")
+    ids, block = cell["doc_id"].to_numpy(), cell["block"].to_numpy()
+    bands = np.stack(cell["bands"].to_numpy())
+    band = int(np.flatnonzero(bands[0] == bucket)[0])
+    x = [kmers(np.frombuffer(w, np.uint64)) for w in cell["words"]]
+    size = np.array([len(k) for k in x])
+    flat = np.concatenate(x)
+    order = np.argsort(flat, kind="stable")
+    flat, of = flat[order], np.repeat(np.arange(len(x)), size)[order]
+    names, root = np.unique(cell["comp"].to_numpy(), return_inverse=True)
+    found = []
+    for k in range(len(x)):
+        later = np.arange(len(x)) > k
+        open_ = later & (root != root[k])
+        if two:
+            open_ &= block != block[k]
+        if not open_.any():
+            continue
+        open_ &= ~(bands[:, :band] == bands[k, :band]).any(axis=1)
+        a, b = np.searchsorted(flat, x[k], "left"), np.searchsorted(flat, x[k], "right")
+        n = b - a
+        hit = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        common = np.bincount(of[hit], minlength=len(x))
+        for other in np.flatnonzero(open_ & (common >= THRESHOLD * (size + size[k] - common) - 1e-9)):
+            if root[other] != root[k] and similarity(x[k], x[other]) >= THRESHOLD - 1e-12:
+                found.append((ids[k], ids[other]))
+                root[root == root[other]] = root[k]
+    return pd.DataFrame(found, columns=["src", "dst"], dtype="int64")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """One row per doc_id: class_id long, the smallest doc_id of its group of near-duplicates, and kept boolean."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
@@ -214,7 +253,7 @@ def classes(docs: DataFrame) -> DataFrame:
     flat = bands.select("doc_id", F.explode("bands").alias("bucket"))
     order = [F.struct(F.xxhash64("doc_id", F.lit(SEED + s)).alias("o"), F.col("doc_id")) for s in range(CENTRES)]
     buckets = flat.groupBy("bucket").agg(F.count("*").alias("n"), *(F.min(o)["doc_id"].alias(f"c{s}") for s, o in enumerate(order))).where("n > 1")
-    members = staged(flat.join(buckets.drop("n"), "bucket"), "omh-members")
+    members = staged(flat.join(buckets, "bucket"), "omh-members")
     stars = (
         members.select(F.col("doc_id").alias("x"), F.explode(F.array_distinct(F.array(*(f"c{s}" for s in range(CENTRES))))).alias("y"))
         .where("x <> y")
@@ -227,19 +266,18 @@ def classes(docs: DataFrame) -> DataFrame:
     packed = staged(source.join(used.union(also).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_pack, "doc_id long, words binary"), "omh-words")
     found = staged(links(pairs, packed), "omh-links")
     joined = staged(components(found, "omh-first"), "omh-first-joined")
-    # buckets of several components: every pair across components that has not been aligned yet
-    placed = members.select("bucket", "doc_id").join(joined, members["doc_id"] == joined["node"], "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    mixed = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("bucket")
-    rest = staged(placed.join(mixed, "bucket", "left_semi"), "omh-mixed")
-    across = (
-        rest.select("bucket", F.col("doc_id").alias("a"), F.col("c").alias("ca"))
-        .join(rest.select("bucket", F.col("doc_id").alias("b"), F.col("c").alias("cb")), "bucket")
-        .where("a < b and ca <> cb")
-        .select("a", "b")
-        .distinct()
-        .join(pairs, ["a", "b"], "left_anti")
+    # larger buckets that still hold several components: every pair across them, block against block
+    placed = members.select("bucket", "n", "doc_id").join(joined, members["doc_id"] == joined["node"], "left").select("bucket", "n", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+    mixed = placed.where(F.col("n") > CENTRES).groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bucket")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    cells = (
+        placed.join(mixed, "bucket", "left_semi")
+        .withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), blocks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "comp")
     )
-    more = staged(links(across, packed), "omh-more")
+    full = cells.join(packed, "doc_id").join(bands, "doc_id")
+    more = staged(full.groupBy("bucket", "i", "j").applyInPandas(_across, "src long, dst long"), "omh-more")
     every = components(found.unionByName(more), "omh-all")
     of_rep = reps.join(every, reps["rep"] == every["node"], "left").select("h1", "h2", "n_words", F.coalesce("component", "rep").alias("class_id"))
     return one.join(of_rep, ["h1", "h2", "n_words"], "left").select(

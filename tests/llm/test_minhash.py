@@ -2,6 +2,7 @@ import random
 from bisect import bisect_left
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from blockmill.llm import minhash as m
@@ -129,3 +130,27 @@ def test_table_equals_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     want = brute([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
     assert {r.doc_id: r.class_id for r in m.classes(docs).collect()} == want
+
+
+def test_hot_group_without_a_common_centre(spark, monkeypatch):
+    """Copies of one base, edited so much that many are like few others: every link that joins components is found, in cells of any size."""
+    rng = random.Random(6)
+    base = text_of(rng, 150).split()
+    rows = []
+    for i in range(120):
+        w = base[:]
+        for _ in range(rng.randrange(1, 6)):
+            w[rng.randrange(150)] = f"e{i}{rng.randrange(9)}"
+        rows.append((i, " ".join(w)))
+    want = brute(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in m.classes(df).collect()}
+    assert got == want
+    cell = pd.DataFrame({"bucket": 1, "i": 0, "j": 0, "block": 0, "doc_id": range(120), "comp": range(120)})
+    hs = list(m._each([t for _, t in rows]))
+    cell["words"], cell["bands"] = [h.tobytes() for h in hs], [np.array([1] + [0] * 15)] * 120
+    root = list(range(120))
+    for a, b in m._across(cell).itertuples(index=False):
+        lo, hi = sorted((root[a], root[b]))
+        root = [lo if r == hi else r for r in root]
+    assert root == [want[i] for i in range(120)]
