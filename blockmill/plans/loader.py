@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from blockmill.functions.training import human_size
 from blockmill.operators.packing import PackOptions, blocks
-from blockmill.operators.shuffle import hash_shuffle, shard_order
+from blockmill.operators.shuffle import order_key, shard_order
 from blockmill.operators.text import byte_length, byte_tokens, select_text, tokenize, watch
 from blockmill.sources.shards import read_shards
 
@@ -76,7 +76,9 @@ class CorpusLoader:
         counted, packed = watch(made, f"packed-{tag}", tokens=F.sum(F.size("tokens")))
         if self.seed is not None:
             keys = ["shard_pos", "batch_id"] if self.by_shard else ["batch_id"]
-            counted = hash_shuffle(counted, *keys, seed=self.seed, epoch=epoch)
+            # by hash, not by range: a range sort would run the plan once more to sample it, and the counters would see it twice
+            key = order_key(*keys, seed=self.seed, epoch=epoch)
+            counted = counted.repartition(key).sortWithinPartitions(key, *keys)
         return Epoch(counted, len(paths), text, packed, time.time())
 
 
