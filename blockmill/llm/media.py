@@ -32,6 +32,7 @@ from blockmill.llm.common import staged, table
 WINDOW_S, HOP_S = 0.128, 0.064
 LOWEST_HZ, HIGHEST_HZ = 400.0, 1800.0
 MAX_ERROR = 0.25
+MAX_SHARE = 0.5
 MIN_OVERLAP = 12
 QUERY_BLOCK = 2048
 SPAN = 8  # frames that the widest filter sees
@@ -125,6 +126,13 @@ def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, float]:
     return last - first, int(np.bitwise_count(x).sum()) / (32 * (last - first))
 
 
+def chance(a: np.ndarray, b: np.ndarray, offset: int) -> float:
+    """The share of bits that would differ in that overlap if the integers stood in any order."""
+    first, last = max(0, offset), min(len(a), len(b) + offset)
+    x, y = (np.unpackbits(np.ascontiguousarray(z).view(np.uint8)).reshape(-1, 32).mean(axis=0) for z in (a[first:last], b[first - offset : last - offset]))
+    return float((x * (1 - y) + y * (1 - x)).mean())
+
+
 def fingerprints(media: DataFrame, id_col: str, audio_col: str = "audio") -> DataFrame:
     """id_col and fingerprint (array of int, its bits those of the unsigned integers) of every row."""
 
@@ -163,8 +171,9 @@ class Block:
         best = best[np.concatenate([[True], np.diff(query[best]) > 0])]
         out = []
         for k in best:
-            overlap, errors = bit_errors(self.prints[query[k]], p, int(shift[k]))
-            if overlap >= MIN_OVERLAP and errors <= MAX_ERROR:
+            q = self.prints[query[k]]
+            overlap, errors = bit_errors(q, p, int(shift[k]))
+            if overlap >= max(MIN_OVERLAP, min(len(p), len(q)) / 2) and errors <= MAX_ERROR and errors <= MAX_SHARE * chance(q, p, int(shift[k])):
                 out.append((self.ids[query[k]], int(shift[k]), int(count[k]), overlap, errors))
         return out
 
@@ -196,13 +205,13 @@ TONE = 256  # samples of a tone, one hop
 
 
 def render(values: list[float] | None) -> bytes | None:
-    """A recording of one tone a component: its size says which of the 12 pitch classes from 440 Hz on, its sign the octave."""
+    """A recording of one tone a component, 440 Hz and up in whole tones: three for how large it is, and other three if it is negative."""
     if not values:
         return None
     v = np.array([0.0 if x is None or not math.isfinite(x) else x for x in values], np.float64)
     top = np.abs(v).max()
-    level = np.minimum(np.floor(np.abs(v) / (top or 1.0) * 12), 11)
-    hz = 440.0 * 2 ** (level / 12) * np.where(v < 0, 2, 1)
+    level = np.minimum(np.floor(np.abs(v) / (top or 1.0) * 3), 2) + np.where(v < 0, 3, 0)
+    hz = 440.0 * 2 ** (level / 6)
     phase = np.cumsum(np.repeat(2 * np.pi * hz / RATE, TONE))
     out = io.BytesIO()
     with wave.open(out, "wb") as w:

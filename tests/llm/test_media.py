@@ -57,7 +57,11 @@ def brute(query, p):
             overlap += 1
             errors += bin(int(a) ^ int(p[i - shift])).count("1")
     rate = errors / (32 * overlap)
-    return (shift, count[shift], overlap, rate) if overlap >= m.MIN_OVERLAP and rate <= m.MAX_ERROR else None
+    bits = [[[int(v) >> k & 1 for k in range(32)] for v in x] for x in (query[max(0, shift) : max(0, shift) + overlap], p[max(0, -shift) : max(0, -shift) + overlap])]
+    a, b = ([sum(col) / overlap for col in zip(*x)] for x in bits)
+    chance = sum(x * (1 - y) + y * (1 - x) for x, y in zip(a, b)) / 32
+    good = overlap >= max(m.MIN_OVERLAP, min(len(p), len(query)) / 2) and rate <= m.MAX_ERROR and rate <= m.MAX_SHARE * chance + 1e-12
+    return (shift, count[shift], overlap, rate) if good else None
 
 
 def test_matches_equal_brute_force_and_find_offsets():
