@@ -4,7 +4,7 @@ A text is cut at the special tokens, normalised, split into words, and each word
 priority queue holds the merge ranks of neighbouring symbols; the lowest rank (leftmost first) is merged, its neighbours' new pairs are
 pushed, and entries whose symbols have changed meanwhile are skipped as stale. Decoding concatenates vocabulary strings.
 
-Words repeat, so each Python worker keeps the ids of up to CACHE words, and of as many chunks between white space; memory is bounded by
+Words repeat, so each Python worker keeps the ids of up to CACHE chunks between white space, and of half as many words; memory is bounded by
 that and by the batch. One narrow pass over
 whole texts, no shuffle.
 
@@ -18,7 +18,7 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from blockmill.llm.common import table, tokenizer_path
 
 FILE = "word_bpe_49k.json"
-CACHE = 400_000
+CACHE = 160_000
 ROWS = 512  # of one output batch
 #: Unicode white space
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -48,10 +48,10 @@ def byte_symbols() -> list[str]:
 class Kept:
     """What has been computed lately: two generations of at most half the entries each; the older one is dropped when the younger is full."""
 
-    def __init__(self, make, most: int):
+    def __init__(self, make: Callable[[str], tuple[int, ...]], most: int):
         self.make, self.half, self.young, self.old = make, most // 2, {}, {}
 
-    def add(self, key: str) -> list[int]:
+    def add(self, key: str) -> tuple[int, ...]:
         if len(self.young) >= self.half:
             self.young, self.old = {}, self.young
         found = self.old.get(key)
@@ -84,7 +84,7 @@ class Bpe:
         self.normalizer, self.pre = whole.normalizer, whole.pre_tokenizer
         self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
         self.odd = re.compile("[\x1c-\x1f]")  # white space to str.split() alone
-        self.kept_words, self.kept_chunks = Kept(lambda w: self.coded(w.encode()), cache), Kept(self.chunk, cache)
+        self.kept_words, self.kept_chunks = Kept(lambda w: tuple(self.coded(w.encode())), cache // 2), Kept(lambda c: tuple(self.chunk(c)), cache)
 
     @classmethod
     def load(cls, name: str = FILE) -> Bpe:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +69,13 @@ def labelled_sample(labels: DataFrame, label: str, per_class: int, seed: int) ->
     return parts[0].unionByName(parts[1])
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows, which bounds what Python holds of them as objects."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def tokenizer_path(name: str) -> str:
     """Place of a public tokenizer file; BLOCKMILL_TOKENIZERS overrides the installed folder."""
     own = os.environ.get("BLOCKMILL_TOKENIZERS")

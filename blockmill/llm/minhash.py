@@ -16,7 +16,7 @@ blocks of BLOCK members: counts of common k-mers rule most out, the others are a
 no candidate pair that could join two components is left out, and nothing is capped. Links and components never reach the driver.
 
 Defined cases: texts without words (null, empty, signs only) link with nothing; texts of fewer than K words have one k-mer, all their
-words; rows with a null doc_id are left out of the classes; repeated rows of a doc_id count as one (its first text by order); an empty
+words; rows with a null doc_id are left out of the classes; repeated rows of a doc_id count as one, and if their texts differ it is classed by one of them; an empty
 table gives no rows. Columns other than doc_id and text are not read.
 """
 
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockmill.llm import words
-from blockmill.llm.common import components, staged, table
+from blockmill.llm.common import components, slices, staged, table
 
 K = 5
 PICK = 2
@@ -149,7 +149,7 @@ def _each(texts: list[str | None]) -> Iterator[np.ndarray]:
 
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, two hashes of the whole word sequence (null without words), and how many words."""
-    for batch in batches:
+    for batch in slices(batches):
         one, two, n = [], [], []
         with np.errstate(over="ignore"):
             for h in _each(batch["text"].to_pylist()):
@@ -163,7 +163,7 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         keys = [band_keys(kmers(h)) for h in _each(batch["text"].to_pylist())]
         flat = np.concatenate(keys) if keys else np.empty(0, np.uint64)
         at = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS)
@@ -171,13 +171,13 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         packed = [h.tobytes() for h in _each(batch["text"].to_pylist())]
         yield pa.record_batch([batch["doc_id"], pa.array(packed, pa.binary())], names=["doc_id", "words"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         kept: dict[bytes, np.ndarray] = {}
         a, b, ok = batch["a"], batch["b"], []
         for x, y in zip(batch["words_a"], batch["words_b"], strict=True):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockmill.llm import words
-from blockmill.llm.common import fold, labelled_sample, table
+from blockmill.llm.common import fold, labelled_sample, slices, table
 
 PER_CLASS = 2000
 SEED = 29
@@ -194,7 +194,7 @@ def score(docs: DataFrame, model: Machine, threshold: float = THRESHOLD) -> Data
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             s = shared.value.scores(batch["text"].to_pylist(), _metadata(batch))
             yield pa.record_batch([batch["doc_id"], pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
@@ -206,7 +206,7 @@ def keep(docs: DataFrame, model: Machine, threshold: float = THRESHOLD) -> DataF
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(shared.value.scores(batch["text"].to_pylist(), _metadata(batch)) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 PRIME = np.uint64(0x9E3779B97F4A7C15 | 1)
-BLOCK = 1 << 20  # bytes hashed at a time, which bounds the working memory; one longer text is a block of its own
+BLOCK = 1 << 18  # bytes hashed at a time, which bounds the working memory; one longer text is a block of its own
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 #: 1 for the bytes of a word: ASCII letters, digits, and all bytes of other characters
@@ -30,7 +30,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of PRIME and of its inverse mod 2**64."""
-    size = 1 << max(20, (n - 1).bit_length())
+    size = 1 << max(18, (n - 1).bit_length())
     if size not in _powers:
         inverse = np.uint64(pow(int(PRIME), -1, 1 << 64))
         out = []
@@ -45,7 +45,7 @@ def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
                     step = step * step
                 done *= 2
             out.append(a)
-        if size > 1 << 20:
+        if size > 1 << 19:
             return out[0], out[1]
         _powers[size] = (out[0], out[1])
     return _powers[size]
