@@ -1,11 +1,12 @@
 """Embedding near-duplicates over a robust-pruned flat graph.
 
-Vectors are compared within one label only. Centres are fitted on a bounded sample (CENTRES rows of a label at most); each vector is
-assigned to its OVERLAP nearest centres, which gives overlapping cluster shards that hold every vector. In each shard the neighbours of
-a vector are robust-pruned: walking outwards, a candidate is dropped if a kept neighbour is closer to it, ALPHA times, than the vector
-is. The adjacency lists of all shards are united by vector. Then each shard's own vectors (those nearest to its centre) are searched
-for: greedily from the shard's medoid to the vector's surroundings, and from there the search expands its range, following the edges of
-all it has found at LINK or more. Each find is verified by the cosine in double precision.
+Vectors are compared within one label only. Centres are fitted on a bounded sample (CENTRES rows of a label, ALL_CENTRES in all, at
+most; a label of SHARD rows or fewer needs none). Each vector is assigned to its OVERLAP nearest centres, which gives overlapping cluster
+shards that hold every vector. In each shard the neighbours of a vector are robust-pruned: walking outwards, a candidate is dropped if a
+kept neighbour is closer to it, ALPHA times, than the vector is. The adjacency lists of all shards are united by
+vector. Then each shard's own vectors (those nearest to its centre) are searched for: greedily from the shard's medoid to the vector's
+surroundings, and from there the search expands its range, following the edges of all it has found at LINK or more. Each find is
+verified by the cosine in double precision.
 
 Equal vectors are one node that counts its copies. A shard of more than CELL nodes is cut into blocks, and each pair of blocks is a
 shard of its own, so no task's memory grows with a hot cluster, and every vector still meets all of its shard. Finds never leave a
@@ -13,7 +14,7 @@ task as pairs: of each vector its number of links, and of each shard's links a s
 
 audit() measures recall against brute force over a stated query set.
 
-Defined cases: vectors that are null, of another length than most of the label, zero, or hold null or non-finite components link with
+Defined cases: vectors of different lengths are never compared; vectors that are null, empty, zero, or hold null or non-finite components link with
 nothing, as do null labels; repeated vec_ids are one row (the smallest vector by order); null vec_ids are left out; an empty table gives
 no rows. Columns other than vec_id, embedding and label are not read.
 """
@@ -33,6 +34,7 @@ from blockmill.llm.common import components, staged, table
 
 LINK = 0.98
 CENTRES = 256  # of a label at most
+ALL_CENTRES = 1 << 15  # which bounds what is broadcast
 SHARD = 600  # vectors to a centre
 OVERLAP = 3
 DEGREE = 24
@@ -44,19 +46,23 @@ SEED = 3
 
 
 def centre_rows(nodes: DataFrame) -> DataFrame:
-    """label, place, unit: the rows of a label with the smallest seeded hashes, one for every SHARD rows, CENTRES at most."""
-    counts = nodes.groupBy("label").agg(F.count("*").alias("n"))
+    """label, place, unit: of each label of more than SHARD rows, those with the smallest seeded hashes, one for every SHARD rows.
+
+    A label has CENTRES at most, all labels together ALL_CENTRES; a label that gets none is one shard, cut into cells by its size.
+    """
+    counts = nodes.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > SHARD)
+    most = min(CENTRES, ALL_CENTRES // max(1, counts.count()))
     # the bounded sample of each label comes from partial aggregates: one row of the smallest hash for each of CENTRES hash classes
     order = F.xxhash64("node", F.lit(SEED))
-    least = nodes.withColumn("place", F.pmod(order, F.lit(CENTRES))).groupBy("label", "place").agg(F.min(F.struct(order.alias("o"), F.col("unit"))).alias("r"))
+    least = nodes.join(counts, "label", "left_semi").withColumn("place", F.pmod(order, F.lit(CENTRES))).groupBy("label", "place").agg(F.min(F.struct(order.alias("o"), F.col("unit"))).alias("r"))
     ranked = least.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("r.o")))
-    wanted = F.greatest(F.lit(1), F.least(F.lit(CENTRES), F.ceil(F.col("n") / SHARD)))
+    wanted = F.least(F.lit(most), F.ceil(F.col("n") / SHARD))
     return ranked.join(counts, "label").where(F.col("rank") <= wanted).select("label", F.col("rank").alias("place"), F.col("r.unit").alias("unit"))
 
 
 def assign(nodes: DataFrame, centres: dict) -> DataFrame:
     """nodes with shards: the places of the OVERLAP nearest centres, the nearest first. centres: of each label, a matrix."""
-    shared = nodes.sparkSession.sparkContext.broadcast(centres)  # CENTRES rows a label at most
+    shared = nodes.sparkSession.sparkContext.broadcast(centres)  # ALL_CENTRES rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,9 +70,13 @@ def assign(nodes: DataFrame, centres: dict) -> DataFrame:
             out: list = [None] * batch.num_rows
             for label in np.unique(labels):
                 at = np.flatnonzero(labels == label)
-                c = shared.value[int(label)]
+                c = shared.value.get(int(label))
+                if c is None:
+                    for i in at:
+                        out[i] = [0]
+                    continue
                 x = np.stack([units[int(i)].values.to_numpy() for i in at])
-                best = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :OVERLAP] if x.shape[1] == c.shape[1] else np.zeros((len(at), 1), int)
+                best = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :OVERLAP]
                 for i, row in zip(at, best, strict=True):
                     out[i] = row.tolist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], names=[*batch.schema.names, "shards"])
