@@ -236,4 +236,6 @@ def recordings(vectors: DataFrame) -> DataFrame:
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = staged(fingerprints(recordings(table(spark, sf_dir, "embeddings")), "vec_id"), "chroma")
-    return search(prints.where("vec_id % 100 = 0"), prints, "vec_id")
+    found = search(prints.where("vec_id % 100 = 0"), prints, "vec_id")
+    matches = F.sort_array(F.collect_list(F.struct("vec_id", "offset", "equal", "overlap", "error_rate")))
+    return found.groupBy("query_id").agg(F.count("*").alias("n_matches"), matches.alias("matches"))
