@@ -1,16 +1,18 @@
-"""Embedding near-duplicates over a robust-pruned flat graph.
+"""Embedding near-duplicates in overlapping cluster shards, every pair of a shard compared.
 
 Vectors are compared within one label only. Centres are fitted on a bounded sample (CENTRES rows of a label, ALL_CENTRES in all, at
-most; a label of SHARD rows or fewer needs none). Each vector is assigned to its OVERLAP nearest centres, which gives overlapping cluster
-shards that hold every vector. In each shard the neighbours of a vector are robust-pruned: walking outwards, a candidate is dropped if a
-kept neighbour is closer to it, ALPHA times, than the vector is. The adjacency lists of all shards are united by
-vector. Then each shard's own vectors (those nearest to its centre) are searched for: greedily from the shard's medoid to the vector's
-surroundings, and from there the search expands its range, following the edges of all it has found at LINK or more. Each find is
-verified by the cosine in double precision.
+most; a label of SHARD rows or fewer needs none); one within twice the link angle of another is dropped, so a group of near copies has one.
+A vector's home is the shard of its nearest centre. It is also put in each shard whose home vectors could link with it: those whose
+bisecting plane with its home lies within the link angle. So each link of a home vector lies in its shard. Where the sample says that
+this would copy vectors more often than blocks do, the label is one shard.
 
-Equal vectors are one node that counts its copies. A shard of more than CELL nodes is cut into blocks, and each pair of blocks is a
-shard of its own, so no task's memory grows with a hot cluster, and every vector still meets all of its shard. Finds never leave a
-task as pairs: of each vector its number of links, and of each shard's links a spanning forest.
+Equal vectors are one node that counts its copies. A shard of more than CELL nodes is cut into blocks, and each pair of blocks of
+which one has home vectors is a cell, so no task's memory grows with a hot cluster. In a cell each home vector is compared with all others
+by the cosine in double precision. Finds never leave a task as pairs: of each vector its number of links, and of each cell's links a
+spanning forest. Where the vectors of a label have no clusters that the bound can part, the work is that of all pairs of the label.
+
+prune() and search() are the robust-pruned flat graph for callers that search vectors approximately; links are not taken from it, since a
+pruned graph of bounded degree does not connect two dense groups and so loses links.
 
 audit() measures recall against brute force over a stated query set.
 
@@ -33,35 +35,71 @@ from pyspark.sql import types as T
 from blockmill.llm.common import components, staged, table
 
 LINK = 0.98
+SINE = float(np.sqrt(1 - LINK * LINK))  # of the link angle
+APART = 2 * LINK * LINK - 1  # the cosine of twice the link angle
 CENTRES = 256  # of a label at most
 ALL_CENTRES = 1 << 15  # which bounds what is broadcast
 SHARD = 600  # vectors to a centre
-OVERLAP = 3
+PROBES = 64  # further sampled vectors of a label, which say how often its vectors would be copied
 DEGREE = 24
 ALPHA = 1.2
 BEAM = 16
 NEAR = 64  # candidates that robust pruning looks at
 CELL = 4000
+SLAB = 512  # vectors of a cell that are compared with all of it at a time
 SEED = 3
 
 
 def centre_rows(nodes: DataFrame) -> DataFrame:
-    """label, place, unit: of each label of more than SHARD rows, those with the smallest seeded hashes, one for every SHARD rows.
+    """label, n, place, probe, unit: of each label of more than SHARD rows, those with the smallest seeded hashes, one for every SHARD rows.
 
-    A label has CENTRES at most, all labels together ALL_CENTRES; a label that gets none is one shard, cut into cells by its size.
+    A label has CENTRES at most, all labels together ALL_CENTRES; a label that gets none is one shard, cut into cells by its size. As many
+    rows again at most, PROBES of a label, are its probes.
     """
     counts = nodes.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > SHARD)
     most = min(CENTRES, ALL_CENTRES // max(1, counts.count()))
-    # the bounded sample of each label comes from partial aggregates: one row of the smallest hash for each of CENTRES hash classes
+    # the bounded sample of each label comes from partial aggregates: one row of the smallest hash for each of 2 * CENTRES hash classes
     order = F.xxhash64("node", F.lit(SEED))
-    least = nodes.join(counts, "label", "left_semi").withColumn("place", F.pmod(order, F.lit(CENTRES))).groupBy("label", "place").agg(F.min(F.struct(order.alias("o"), F.col("unit"))).alias("r"))
+    least = nodes.join(counts, "label", "left_semi").withColumn("place", F.pmod(order, F.lit(2 * CENTRES))).groupBy("label", "place").agg(F.min(F.struct(order.alias("o"), F.col("unit"))).alias("r"))
     ranked = least.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("r.o")))
     wanted = F.least(F.lit(most), F.ceil(F.col("n") / SHARD))
-    return ranked.join(counts, "label").where(F.col("rank") <= wanted).select("label", F.col("rank").alias("place"), F.col("r.unit").alias("unit"))
+    rows = ranked.join(counts, "label").where(F.col("rank") <= wanted + min(PROBES, most))
+    return rows.select("label", "n", F.col("rank").alias("place"), (F.col("rank") > wanted).alias("probe"), F.col("r.unit").alias("unit"))
+
+
+def apart(c: np.ndarray) -> np.ndarray:
+    """The centres without those within twice the link angle of one before them: no plane between two of these parts any links."""
+    kept: list[int] = []
+    for k in range(len(c)):
+        if not kept or (c[kept] @ c[k]).max() < APART:
+            kept.append(k)
+    return c[kept]
+
+
+def reach(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each unit vector its home, the nearest centre, and a mask of the centres whose home vectors may link with it.
+
+    A partner at the link angle whose home is k lies beyond the plane between k and this vector's home, so this one lies before it by the
+    sine of that angle at most.
+    """
+    sims = x @ c.T
+    home = sims.argmax(axis=1)
+    far = np.sqrt(np.maximum(((c[:, None] - c[None]) ** 2).sum(axis=2), 0))
+    return home, sims[np.arange(len(x)), home][:, None] - sims <= SINE * far[home] + 1e-9
+
+
+def fitted(rows: list[tuple[int, bool, list[float]]]) -> np.ndarray | None:
+    """A label's centres of its (n, probe, unit), or None where blocks copy its vectors less often than its shards would."""
+    centres = np.array([u for _, probe, u in rows if not probe])
+    probes = np.array([u for _, probe, u in rows if probe])
+    centres = apart(centres) if len(centres) else centres
+    if len(centres) < 2 or (len(probes) and reach(probes, centres)[1].sum(axis=1).mean() >= np.ceil(rows[0][0] / (CELL // 2))):
+        return None
+    return centres
 
 
 def assign(nodes: DataFrame, centres: dict) -> DataFrame:
-    """nodes with shards: the places of the OVERLAP nearest centres, the nearest first. centres: of each label, a matrix."""
+    """nodes with shards: the places of their shards, the home first. centres: of each label, a matrix."""
     shared = nodes.sparkSession.sparkContext.broadcast(centres)  # ALL_CENTRES rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,10 +113,9 @@ def assign(nodes: DataFrame, centres: dict) -> DataFrame:
                     for i in at:
                         out[i] = [0]
                     continue
-                x = np.stack([units[int(i)].values.to_numpy() for i in at])
-                best = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :OVERLAP]
-                for i, row in zip(at, best, strict=True):
-                    out[i] = row.tolist()
+                home, near = reach(np.stack([units[int(i)].values.to_numpy() for i in at]), c)
+                for i, h, row in zip(at, home.tolist(), near, strict=True):
+                    out[i] = [h, *(k for k in np.flatnonzero(row).tolist() if k != h)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], names=[*batch.schema.names, "shards"])
 
     return nodes.mapInArrow(run, T.StructType([*nodes.schema, T.StructField("shards", T.ArrayType(T.IntegerType()))]))
@@ -151,48 +188,27 @@ def _matrix(units: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(u, np.float64) for u in units])
 
 
-def _build(pdf: pd.DataFrame) -> pd.DataFrame:
-    x = _matrix(pdf["unit"])
-    ids = pdf["node"].to_numpy()
-    return pd.DataFrame({"node": ids, "edges": [ids[e] for e in prune(x)]})
-
-
-def _search(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of each vector that the cell owns: its links into the cell's counted side, and its place in a spanning forest of the cell's links."""
-    pdf = pdf.sort_values("node", kind="stable").reset_index(drop=True)
+def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of each home vector of the cell its links in it, and of every vector its place in a spanning forest of those links."""
+    pdf = pdf.sort_values("node", kind="stable")
     x, ids = _matrix(pdf["unit"]), pdf["node"].to_numpy()
-    place = {int(v): k for k, v in enumerate(ids)}
-    edges = [np.fromiter((place[int(e)] for e in row if int(e) in place), np.int64) for row in pdf["edges"]]
-    back: list[list[int]] = [[] for _ in edges]  # the graph is walked both ways
-    for k, row in enumerate(edges):
-        for e in row.tolist():
-            back[e].append(k)
-    edges = [np.unique(np.concatenate([row, np.array(b, np.int64)])) for row, b in zip(edges, back, strict=True)]
-    medoid = int((x @ x.mean(axis=0)).argmax())
-    copies, block, home = pdf["copies"].to_numpy(), pdf["block"].to_numpy(), pdf["home"].to_numpy()
-    low, high = int(pdf["cell_i"].iloc[0]), int(pdf["cell_j"].iloc[0])
-    root = np.arange(len(ids))
-
-    def find(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
-    links = np.zeros(len(ids), np.int64)
-    for q in np.flatnonzero(home):
-        got = search(x, edges, int(q), medoid)
-        got = got[(got != q)]
-        # of a cell of two blocks, each counts the other's; of one block, its own
-        links[q] = copies[got[block[got] == (high if block[q] == low else low)]].sum()
-        a = find(int(q))
-        for g in got.tolist():
-            b = find(g)
-            if a != b:
-                a, b = min(a, b), max(a, b)
-                root[b] = a
-    own = np.array([find(k) for k in range(len(ids))])
-    return pd.DataFrame({"node": ids, "links": links, "root": ids[own]})
+    copies, block = pdf["copies"].to_numpy(), pdf["block"].to_numpy()
+    two = int(pdf["cell_i"].iloc[0]) != int(pdf["cell_j"].iloc[0])
+    root, links = np.arange(len(ids)), np.zeros(len(ids), np.int64)
+    home = np.flatnonzero(pdf["home"].to_numpy())
+    for a in range(0, len(home), SLAB):
+        q = home[a : a + SLAB]
+        hit = x[q] @ x.T >= LINK
+        hit[np.arange(len(q)), q] = False
+        if two:  # pairs within one block are another cell's
+            hit &= block[q][:, None] != block
+        for k in np.flatnonzero(hit.any(axis=1)).tolist():
+            got = np.flatnonzero(hit[k])
+            links[q[k]] = copies[got].sum()
+            if (root[got] != root[q[k]]).any():
+                joined = np.unique(np.append(root[got], root[q[k]]))
+                root[np.isin(root, joined)] = joined[0]
+    return pd.DataFrame({"node": ids, "links": links, "root": ids[root]})[(links > 0) | (root != np.arange(len(ids)))]
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
@@ -211,26 +227,25 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     nodes = staged(
         rows.where("unit is not null").groupBy("label", "unit").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), "emb-nodes"
     )
-    centres: dict[int, np.ndarray] = {}
+    sample: dict[int, list] = {}
     for r in staged(centre_rows(nodes), "emb-centres").orderBy("label", "place").toLocalIterator():
-        centres.setdefault(int(r["label"]), []).append(r["unit"])
-    centres = {k: np.array(c) for k, c in centres.items()}
+        sample.setdefault(int(r["label"]), []).append((r["n"], r["probe"], r["unit"]))
+    centres = {k: c for k, rows_ in sample.items() if (c := fitted(rows_)) is not None}
     placed = staged(assign(nodes, centres), "emb-placed")
     members = placed.select("label", "node", "copies", "unit", F.posexplode("shards").alias("nth", "shard")).withColumn("home", F.col("nth") == 0).drop("nth")
-    counts = members.groupBy("label", "shard").agg(F.count("*").alias("n"))
-    cut = members.join(counts, ["label", "shard"]).withColumn("blocks", F.when(F.col("n") > CELL, F.ceil(F.col("n") / (CELL // 2))).otherwise(1).cast("int"))
-    cut = cut.withColumn("block", F.pmod(F.xxhash64("node", F.lit(SEED + 1)), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    cells = staged(
-        cut.select("label", "shard", "node", "copies", "unit", "home", "block", other).select(
-            "label", "shard", F.least("block", "other").alias("cell_i"), F.greatest("block", "other").alias("cell_j"), "node", "copies", "unit", "home", "block"
-        ),
-        "emb-cells",
+    counts = placed.select("label", F.posexplode("shards").alias("nth", "shard")).groupBy("label", "shard").agg(F.count("*").alias("n"), F.count_if(F.col("nth") == 0).alias("homes"))
+    # blocks of home vectors first, then those of the others, which meet only the former
+    parts = lambda n: F.ceil(n / (CELL // 2)).cast("int")
+    cut = members.join(counts.where("homes > 0"), ["label", "shard"]).withColumn("whole", F.col("n") <= CELL)
+    cut = cut.withColumn("own", F.when(F.col("whole"), 1).otherwise(parts(F.col("homes")))).withColumn("others", F.when(F.col("whole"), 0).otherwise(parts(F.col("n") - F.col("homes"))))
+    hashed = F.xxhash64("node", F.lit(SEED + 1))
+    cut = cut.withColumn("block", F.when(F.col("whole") | F.col("home"), F.pmod(hashed, F.col("own"))).otherwise(F.col("own") + F.pmod(hashed, F.col("others"))).cast("int"))
+    meets = F.when(F.col("home"), F.col("own") + F.col("others")).otherwise(F.col("own")) - 1
+    cells = cut.select("label", "shard", "node", "copies", "unit", "home", "block", F.explode(F.sequence(F.lit(0), meets)).alias("other")).select(
+        "label", "shard", F.least("block", "other").alias("cell_i"), F.greatest("block", "other").alias("cell_j"), "node", "copies", "unit", "home", "block"
     )
     key = ["label", "shard", "cell_i", "cell_j"]
-    lists = cells.select(*key, "node", "unit").groupBy(*key).applyInPandas(_build, "node long, edges array<long>")
-    adjacency = staged(lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("edges"))).alias("edges")), "emb-graph")
-    found = staged(cells.join(adjacency, "node").groupBy(*key).applyInPandas(_search, "node long, links long, root long"), "emb-found")
+    found = staged(cells.groupBy(*key).applyInPandas(_compare, "node long, links long, root long"), "emb-found")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(found.where("node <> root").select(F.col("node").alias("src"), F.col("root").alias("dst")), "emb")
     ends = nodes.join(links, "node", "left").join(joined, "node", "left").select(

@@ -87,3 +87,37 @@ def test_audit_against_brute_force(spark):
     assert found >= 0.9 * there
     with pytest.raises(AssertionError):
         assert found > there
+
+
+def all_links(x):
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return (x @ x.T >= e.LINK).sum(axis=1) - 1
+
+
+def found(spark, x):
+    x = x.astype(np.float32).astype(float)
+    rows = [(k, v, 1) for k, v in enumerate(x.tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r for r in e.near_duplicates(df).collect()}
+    return np.array([got[k].n_links for k in range(len(x))]), {r.component_id for r in got.values()}, all_links(x)
+
+
+def test_many_near_copies_lose_no_link(spark):
+    """More near copies than one cell holds, among vectors without a cluster: several centres, cells of two blocks."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=32)
+    tight = base + rng.normal(size=(5000, 32)) * 0.08 * np.linalg.norm(base) / np.sqrt(32)
+    got, parts, want = found(spark, np.concatenate([tight, rng.normal(size=(1500, 32))]))
+    assert want.sum() > 20_000_000 and (got == want).all() and len(parts) > 1000
+
+
+def test_clusters_that_the_bound_parts_lose_no_link(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    bases = rng.normal(size=(12, 32))
+    x = np.concatenate([b + rng.normal(size=(150, 32)) * by for b, by in zip(bases, np.linspace(0.05, 0.5, 12))])
+    monkeypatch.setattr(e, "CELL", 120)
+    monkeypatch.setattr(e, "SHARD", 100)
+    cut = []
+    monkeypatch.setattr(e, "fitted", lambda rows, f=e.fitted: cut.append(f(rows)) or cut[-1])
+    got, _, want = found(spark, x)
+    assert cut[0] is not None and len(cut[0]) > 5 and (got == want).all() and want.sum() > 10_000
