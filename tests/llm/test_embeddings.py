@@ -121,3 +121,16 @@ def test_clusters_that_the_bound_parts_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(e, "fitted", lambda rows, f=e.fitted: cut.append(f(rows)) or cut[-1])
     got, _, want = found(spark, x)
     assert cut[0] is not None and len(cut[0]) > 5 and (got == want).all() and want.sum() > 10_000
+
+
+def test_two_dense_groups_are_linked(spark):
+    """Each member has 99 links within its group, more than the graph's candidates, and 100 across."""
+    rng = np.random.default_rng(7)
+    a, b = rng.normal(size=(2, 64))
+    a /= np.linalg.norm(a)
+    b -= a * (a @ b)
+    b = 0.987 * a + np.sqrt(1 - 0.987**2) * b / np.linalg.norm(b)
+    groups = [c + rng.normal(size=(100, 64)) * 0.002 for c in (a, b)]
+    for others in (0, 50, 200):
+        got, parts, want = found(spark, np.concatenate([*groups, rng.normal(size=(others, 64))]))
+        assert (got == want).all() and want.sum() == 39_800 and len(parts) == 1 + others
