@@ -7,7 +7,9 @@ Seats are blocks of equal token counts, small enough that the sources have SEATS
 target / (2 k + 1), k counting the seats that a source has; so seat after seat, and shard after shard of the mix, every source has its
 integer quota. A source's documents stand in a seeded order, end to end, cut into blocks. A quota of more blocks than the source has
 takes all of them as often as it can, and the rest are those with the smallest seeded hashes. A document gives the words that lie in the
-taken blocks.
+taken blocks. Blocks grow with the corpus, so a source whose target is under FEW of them would miss it by up to a block, or get nothing:
+it gives its target to the word instead, whole passes and then the first words of its seeded order. (SQL holds the rule by blocks alone:
+it gives other numbers for such sources.)
 
 The running word count within a source is made of two levels, hash buckets and rows within a bucket, so a source with a third of all
 rows is spread over BUCKETS groups. Sources are sorted, and seats ranked, in one task: SEATS rows a source, whatever the rows.
@@ -27,6 +29,7 @@ from blockmill.llm.common import staged, table
 WEIGHTS = (5, 2, 1)
 EPOCHS = 2
 SEATS = 1000
+FEW = 100  # blocks: a source whose target is below them is taken to the word
 SEED = 5
 SHARDS = 16
 BUCKETS = 3  # hex digits of a hash: 4096 buckets
@@ -74,7 +77,8 @@ def seats(aims: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def plan(docs_sizes: DataFrame) -> DataFrame:
-    """docs_sizes: source, size. One row per source: its target, block size, whole passes, and which blocks it takes once more."""
+    """docs_sizes: source, size. One row per source: its target, block size, whole passes, which blocks it takes once more, and, for a
+    source of FEW blocks, how many words instead (extra, else null)."""
     sizes = docs_sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     aims = staged(targets(sizes), "mix-targets")
     quota = seats(aims).groupBy("idx").agg(F.count("*").alias("seats"))
@@ -83,8 +87,16 @@ def plan(docs_sizes: DataFrame) -> DataFrame:
     blocks = quotas.where("n_blocks > 0").select("idx", F.expr("seats % n_blocks").alias("more"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("b"))
     drawn = blocks.withColumn("place", F.row_number().over(Window.partitionBy("idx").orderBy(F.md5(F.concat_ws(":", F.lit(f"block{SEED}"), "idx", "b").cast("binary")), "b")))
     chosen = drawn.groupBy("idx").agg(F.sort_array(F.collect_list(F.struct("b", (F.col("place") <= F.col("more")).alias("in")))).alias("blocks"))
-    return quotas.join(chosen, "idx", "left").select(
-        "source", "source_size", "target", "block", F.expr("if(n_blocks > 0, seats div n_blocks, 0)").alias("passes"), F.col("blocks.in").alias("chosen")
+    few = (F.col("target") < FEW * F.col("block")) & (F.col("source_size") > 0)
+    exact = quotas.join(chosen, "idx", "left").withColumn("words", F.when(few, F.round("target").cast("long")))
+    return exact.select(
+        "source",
+        "source_size",
+        "target",
+        "block",
+        F.expr("case when words is not null then words div source_size when n_blocks > 0 then seats div n_blocks else 0 end").alias("passes"),
+        F.col("blocks.in").alias("chosen"),
+        F.expr("case when words is not null then words % source_size end").alias("extra"),
     )
 
 
@@ -108,13 +120,15 @@ def mix(docs: DataFrame, text_col: str = "text") -> DataFrame:
     own = sources.withColumnRenamed("source", "_s")
     joined = at.join(own, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_end", F.col("_start") + F.col("size"))
     pieces = F.expr(
-        "if(size = 0, array(), transform(filter(sequence(_start div block, (_end - 1) div block), b -> chosen[cast(b as int)]),"
-        " b -> struct(greatest(b * block, _start) - _start as from, least((b + 1) * block, _end) - _start as to)))"
+        "case when size = 0 then array()"
+        " when extra is not null then if(_start < extra, array(struct(0L as from, least(extra, _end) - _start as to)), array())"
+        " else transform(filter(sequence(_start div block, (_end - 1) div block), b -> chosen[cast(b as int)]),"
+        " b -> struct(greatest(b * block, _start) - _start as from, least((b + 1) * block, _end) - _start as to)) end"
     )
     return (
         joined.withColumn("pieces", pieces)
         .withColumn("taken", F.expr("passes * size + aggregate(pieces, 0L, (a, p) -> a + p.to - p.from)"))
-        .drop("_s", "_start", "_end", "block", "chosen")
+        .drop("_s", "_start", "_end", "block", "chosen", "extra")
     )
 
 

@@ -89,3 +89,23 @@ def test_sql_agrees_reruns_agree_and_empty_table(spark):
     a, b = (sorted([tuple(r) for r in m.mix(x).select("doc_id", "source", "taken").collect()], key=key) for x in (df, df.repartition(5)))
     assert a == b
     assert m.mix(df.limit(0)).count() == 0 and m.expand(m.mix(df.limit(0))).count() == 0
+
+
+def test_small_sources_get_their_target_to_the_word(spark):
+    """Beside sources of thousands of blocks, sources of parts of a block to some blocks."""
+    rows = [(k, " ".join(["w"] * 5000), f"big{k % 6}") for k in range(360)]
+    small = {"s0": 1, "s1": 7, "s2": 60, "s3": 300, "s4": 800, "s5": 1300}
+    rows += [(1000 + 50 * k + j, " ".join(["w"] * part), s) for k, (s, n) in enumerate(small.items()) for j, part in enumerate([n // 3, n - n // 3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = m.mix(df)
+    got = {r.source: r for r in mixed.groupBy("source").agg(m.F.sum("taken").alias("taken"), m.F.max("target").alias("target"), m.F.max("source_size").alias("size")).collect()}
+    for s, n in small.items():
+        assert got[s].target == 2 * n == got[s].taken
+    assert all(abs(r.taken - r.target) <= 0.01 * r.target for r in got.values())
+    assert abs(sum(r.taken for r in got.values()) - 1.5 * sum(r.size for r in got.values())) <= 0.001 * sum(r.size for r in got.values())
+    words = {r.source: r.n for r in m.expand(mixed).groupBy("source").agg(m.F.sum(m.word_count(m.F.col("text"))).alias("n")).collect()}
+    assert words == {s: r.taken for s, r in got.items()}
+    # a target that is not a whole number of passes
+    few = m.mix(spark.createDataFrame([(k, "w " * 11, "ab"[k % 2]) for k in range(40)], "doc_id long, text string, source string"))
+    few = few.groupBy("source").agg(m.F.sum("taken").alias("taken"), m.F.max("target").alias("target")).collect()
+    assert all(abs(r.taken - r.target) <= 0.5 for r in few)
