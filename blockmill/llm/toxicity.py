@@ -3,8 +3,10 @@
 A toxic and an ordinary model, each interpolated: class bigrams, counted by their distinct predecessors (so copies of a text count
 once), back off to the class's continuation counts of words, and those to counts that both classes share: in how many classes a word
 occurs, the class being the context. An expression that a class has seen rarely or never thus gets much the same chance from both.
+Pairs have an absolute discount below 1 that each class's counts give, n1 / (n1 + 2 n2), so every pair that a class has seen counts.
 A text's evidence is the difference of the two log-likelihoods, normalised by length, over the whole text and over its most telling
-WINDOW words in a row; a logistic curve fitted on a fold that the counts have not seen turns the two numbers into a score. The counts
+WINDOW words in a row, of the word level alone and with the pairs: pairs seen once are many and say little, words are few and say much, so
+a logistic curve, fitted on a fold that the counts have not seen, weighs the four numbers and turns them into a score. The counts
 that score are then those of all folds but the held-out one.
 
 The labels may be fitted on a bounded sample (PER_CLASS documents of each class, those with the smallest seeded hashes), so the model
@@ -31,12 +33,14 @@ from blockmill.llm.common import fold, labelled_sample, slices, staged, table
 PER_CLASS = 2000
 SEED = 11
 CALIBRATE = 4  # the fold that fits the curve; folds 1 to 3 give the counts
-#: Absolute discounts: what a class count gives to the shared counts. Counts up to the discount are left to them altogether.
-WORD_DISCOUNT, PAIR_DISCOUNT = 3.0, 50.0
+#: Absolute discount of words: what a class count gives to the shared counts. Counts up to the discount are left to them altogether.
+WORD_DISCOUNT = 3.0
+LEAST_DISCOUNT, MOST_DISCOUNT = 0.05, 0.95  # of pairs, where too few counts are there to estimate it
 STEM = 5  # bytes of a word that its stem keeps
 WINDOW = 2
 START = np.uint64(0)
 PAIR = np.uint64(0xD6E8FEB86659FD93)
+FEATURES = ("whole", "best", "pairs_whole", "pairs_best")
 
 
 def pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -63,13 +67,14 @@ class Evidence:
     stem: np.ndarray  # sorted stem hashes
     unseen: np.ndarray  # the difference for a new word of that stem
     unknown: float  # for a word whose stem is new as well
-    pair: np.ndarray  # sorted keys of the pairs that a class has seen more often than PAIR_DISCOUNT
+    pair: np.ndarray  # sorted keys of the pairs that a class has seen
     value: np.ndarray  # the difference for those
     curve: np.ndarray | None = None  # weights of the evidence, the last one the offset
 
     def evidence(self, texts: list[str | None]) -> np.ndarray:
-        """For each text the mean of its words' differences, and the largest mean over WINDOW words in a row (all, if it has fewer)."""
-        out = np.zeros((len(texts), 2))
+        """For each text the mean of its words' differences, and the largest mean over WINDOW words in a row (all, if it has fewer);
+        then the same two with the pairs."""
+        out = np.zeros((len(texts), 4))
         if not len(self.word):
             return out
         for a, b, data, starts in words.blocks(texts):
@@ -97,16 +102,17 @@ class Evidence:
                 hit = np.minimum(np.searchsorted(self.pair, keys), len(self.pair) - 1)
                 seen = self.pair[hit] == keys
                 value[both[seen]] = self.value[hit[seen]]
-            total = np.concatenate([[0.0], np.cumsum(value)])
             n = np.diff(first)
-            out[a:b, 0] = (total[first[1:]] - total[first[:-1]]) / np.maximum(n, 1)
             doc = np.repeat(np.arange(len(n)), n)
             # the window that ends at each word begins at most WINDOW words before, and never before its text
             ends = np.arange(1, len(h) + 1)
             begin = np.maximum(ends - WINDOW, first[doc])
-            mean = (total[ends] - total[begin]) / np.minimum(WINDOW, n[doc])
             full = n > 0
-            out[a:b, 1][full] = np.maximum.reduceat(mean, first[:-1][full])
+            for k, v in ((0, uni), (2, value)):
+                total = np.concatenate([[0.0], np.cumsum(v)])
+                out[a:b, k] = (total[first[1:]] - total[first[:-1]]) / np.maximum(n, 1)
+                mean = (total[ends] - total[begin]) / np.minimum(WINDOW, n[doc])
+                out[a:b, k + 1][full] = np.maximum.reduceat(mean, first[:-1][full])
         return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -123,11 +129,19 @@ def discounted(count: np.ndarray, discount: float, below: np.ndarray) -> tuple[n
     return np.maximum(count - discount, 0) / total + freed * below, freed
 
 
-def fit_counts(words_: pa.Table, stems_: pa.Table, heads_: pa.Table, often_: pa.Table) -> Evidence:
+def pair_discounts(once_: pa.Table) -> tuple[float, float]:
+    """n1 / (n1 + 2 n2) of each class. once_: label, n1, n2, how many pairs have a count of 1, and of 2."""
+    found = [LEAST_DISCOUNT, LEAST_DISCOUNT]
+    for r in once_.to_pylist():
+        found[r["label"]] = min(MOST_DISCOUNT, max(LEAST_DISCOUNT, r["n1"] / max(1, r["n1"] + 2 * r["n2"])))
+    return found[0], found[1]
+
+
+def fit_counts(words_: pa.Table, stems_: pa.Table, heads_: pa.Table, pairs_: pa.Table, discounts: tuple[float, float]) -> Evidence:
     """Counts of distinct words before a pair (h, w), by label, already summed.
 
     words_: label, w, its stem s, and cont, the pairs that end in w. stems_: label, s, and cont, the distinct h before it. heads_: label, h,
-    total of its pairs' counts and freed, what the discount takes of those. often_: label, h, w, n of pairs above the discount in a class.
+    total of its pairs' counts and kinds, how many pairs those are. pairs_: label, h, w, n. discounts: of a pair, by label.
     """
     none, no_keys = np.empty(0), np.empty(0, np.uint64)
     keys = lambda t, k: t[k].to_numpy().astype(np.int64).view(np.uint64)
@@ -142,7 +156,7 @@ def fit_counts(words_: pa.Table, stems_: pa.Table, heads_: pa.Table, often_: pa.
     all_stems = shared_stem.sum() + stem_new
     shared_word = np.bincount(wi).astype(float)
     of_stem = np.bincount(of, shared_word, len(stems)) + 1  # one for words of the stem yet to come
-    h, w, n = keys(often_, "h"), keys(often_, "w"), often_["n"].to_numpy()
+    h, w = keys(pairs_, "h"), keys(pairs_, "w")
     pairs, first, inv = np.unique(pair_keys(h, w), return_index=True, return_inverse=True)
     ph, pw = np.searchsorted(heads, h[first]), np.searchsorted(vocab, w[first])
     uni, unseen, unknown, weight, pair_p = [], [], [], [], []
@@ -151,9 +165,9 @@ def fit_counts(words_: pa.Table, stems_: pa.Table, heads_: pa.Table, often_: pa.
         stem_p, stem_freed = discounted(spread(stems_, si, "cont", len(stems)), WORD_DISCOUNT, shared_stem / all_stems)
         word_p, freed = discounted(spread(words_, wi, "cont", len(vocab)), WORD_DISCOUNT, stem_p[of] * shared_word / of_stem[of])
         total = spread(heads_, hi, "total", len(heads))
-        lam = np.where(total > 0, spread(heads_, hi, "freed", len(heads)) / np.maximum(total, 1), 1.0)
-        count = spread(often_, inv, "n", len(pairs))
-        pair_p.append(np.maximum(count - PAIR_DISCOUNT, 0) / np.maximum(total[ph], 1) + lam[ph] * word_p[pw])
+        lam = np.where(total > 0, discounts[c] * spread(heads_, hi, "kinds", len(heads)) / np.maximum(total, 1), 1.0)
+        count = spread(pairs_, inv, "n", len(pairs))
+        pair_p.append(np.maximum(count - discounts[c], 0) / np.maximum(total[ph], 1) + lam[ph] * word_p[pw])
         uni.append(np.log(word_p))
         unseen.append(np.log(freed * stem_p / of_stem))
         unknown.append(np.log(freed * stem_freed * stem_new / all_stems))
@@ -216,12 +230,13 @@ def _counts(rows: DataFrame) -> Evidence:
         .agg(F.count("*").alias("n")),
         "toxicity-pairs",
     )
-    often = pairs.where(F.col("n") > PAIR_DISCOUNT).select("h", "w").distinct()
+    once = pairs.groupBy("label").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"))
     return fit_counts(
         pairs.groupBy("label", "w").agg(F.min("s").alias("s"), F.count("*").alias("cont")).toArrow(),
         pairs.select("label", "h", "s").distinct().groupBy("label", "s").agg(F.count("*").alias("cont")).toArrow(),
-        pairs.groupBy("label", "h").agg(F.sum("n").alias("total"), F.sum(F.least("n", F.lit(int(PAIR_DISCOUNT)))).alias("freed")).toArrow(),
-        pairs.join(often, ["h", "w"], "left_semi").select("label", "h", "w", "n").toArrow(),
+        pairs.groupBy("label", "h").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).toArrow(),
+        pairs.select("label", "h", "w", "n").toArrow(),
+        pair_discounts(once.toArrow()),
     )
 
 
@@ -236,10 +251,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed: in
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             x = shared.value.evidence(batch["text"].to_pylist())
-            yield pa.record_batch([batch["label"], pa.array(x[:, 0]), pa.array(x[:, 1])], names=["label", "whole", "best"])
+            yield pa.record_batch([batch["label"], *(pa.array(x[:, k]) for k in range(4))], names=["label", *FEATURES])
 
-    held = rows.where(F.col("fold") == CALIBRATE).select("label", "text").mapInArrow(evidence, "label int, whole double, best double").toArrow()
-    model.curve = fit_curve(np.column_stack([held["whole"].to_numpy(), held["best"].to_numpy()]), held["label"].to_numpy())
+    held = rows.where(F.col("fold") == CALIBRATE).select("label", "text").mapInArrow(evidence, ", ".join(["label int", *(f"{k} double" for k in FEATURES)])).toArrow()
+    model.curve = fit_curve(np.column_stack([held[k].to_numpy() for k in FEATURES]), held["label"].to_numpy())
     shared.unpersist()
     whole = _counts(rows)  # the curve is fitted; the counts may now have all folds
     whole.curve = model.curve

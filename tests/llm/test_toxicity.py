@@ -1,4 +1,7 @@
+import zlib
+
 import numpy as np
+import pyarrow as pa
 
 from blockmill.llm import toxicity as t
 from blockmill.llm import words
@@ -52,3 +55,25 @@ def test_edge_cases(spark):
     assert t.score(docs.limit(0), model).count() == 0
     none = t.fit(docs, labels.where("toxic = 0"))
     assert {r.score for r in t.score(docs, none).collect()} == {0.0}
+
+
+def test_a_phrase_of_ordinary_words_is_evidence(spark):
+    """Both classes have the same words as often; two of them stand in one order in toxic texts, and in the other in ordinary ones."""
+    rng = np.random.default_rng(2)
+
+    def text(toxic):
+        parts = rng.choice([f"w{k}" for k in range(30)], 40).tolist()
+        at = int(rng.integers(1, 38))
+        return " ".join(parts[:at] + (["blue", "moon"] if toxic else ["moon", "blue"]) + parts[at:])
+
+    rows = [(k, text(k % 2), k % 2) for k in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = t.score(docs, t.fit(docs, docs)).toPandas().merge(docs.toPandas(), on="doc_id")
+    held = got[[zlib.crc32(str(i).encode()) % 5 == 0 for i in got.doc_id]]
+    assert len(held) > 200 and (held.toxic == held.predicted).mean() > 0.95
+
+
+def test_pair_discounts_come_from_the_counts():
+    once = pa.table({"label": [0, 1], "n1": [60, 10], "n2": [20, 0]})
+    assert t.pair_discounts(once) == (0.6, t.MOST_DISCOUNT)
+    assert t.pair_discounts(once.slice(0, 0)) == (t.LEAST_DISCOUNT, t.LEAST_DISCOUNT)
