@@ -2,11 +2,13 @@
 
 A recording (WAV, 16-bit PCM, any channels and rate) becomes frames of energy in the 12 pitch classes. Over the integral image of those
 frames, FILTERS compare the sums of rectangles, each quantised to two bits by three thresholds in Gray code, which packs one integer of 32
-bits for each place in time. Two recordings align at the offset that most of their equal integers agree on; they match if over the
-overlap there, of MIN_OVERLAP integers or more, at most MAX_ERROR of all bits differ.
+bits for each place in time. Two recordings match at an offset if over the overlap there, of MIN_OVERLAP integers or more (of a shorter
+recording, all), at most MAX_ERROR of all bits differ, and at most MAX_SHARE of those that would by chance. They align at the matching
+offset of most equal integers, then of fewest bit errors.
 
-Searches go in blocks of the stated queries (QUERY_BLOCK at most are broadcast at a time) against all rows; each row looks its integers up
-among the block's, counts (query, offset) and verifies the best offset of each query. Nothing is emitted but matches.
+Searches go in blocks of the stated queries (QUERY_BLOCK at most are broadcast at a time) against all rows. Every offset of every pair is
+held against the rule: bit errors at all offsets are a correlation of the bits, made by Fourier transforms of whole batches, and what
+passes is verified bit by bit. No integer need be equal. Nothing is emitted but matches.
 
 The corpus tables hold no audio, so the query renders each row of embeddings as a recording of one tone a component; vectors that are
 nearly equal then sound nearly the same.
@@ -35,6 +37,7 @@ MAX_ERROR = 0.25
 MAX_SHARE = 0.5
 MIN_OVERLAP = 12
 QUERY_BLOCK = 2048
+CHUNK = 1 << 23  # pairs times offsets that are held at a time
 SPAN = 8  # frames that the widest filter sees
 #: (kind, first pitch class, pitch classes, frames): 16 filters of 2 bits each, made by rule
 KINDS = ("sum", "low_high", "early_late", "quarters", "band", "pulse")
@@ -145,37 +148,74 @@ def fingerprints(media: DataFrame, id_col: str, audio_col: str = "audio") -> Dat
     return media.select(id_col, audio_col).mapInArrow(run, f"`{id_col}` {kind}, fingerprint array<int>")
 
 
+def bits(prints: list[np.ndarray]) -> np.ndarray:
+    """prints x integers x 32, of prints of one length, as 0 and 1."""
+    flat = np.ascontiguousarray(np.stack(prints)).view(np.uint8)
+    return np.unpackbits(flat, axis=1).reshape(len(prints), -1, 32).astype(np.float32)
+
+
+def passing(q: list[np.ndarray], p: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in q and in p, and offsets, at which they may match; never misses one that does. All of q have one length, and all of p."""
+    n, m = len(q[0]), len(p[0])
+    shift = np.arange(-m + 1, n)
+    first, last = np.maximum(0, shift), np.minimum(n, m + shift)
+    long_ = last - first >= max(min(MIN_OVERLAP, n, m), min(n, m) / 2)
+    shift, first, last = shift[long_], first[long_], last[long_]
+    overlap = (last - first).astype(np.float32)[:, None, None]
+    size = 1 << (n + m - 1).bit_length()
+    kind = np.float32 if size <= 1 << 12 else np.float64  # sums of bits stay exact to less than a bit
+    x, y = bits(q), bits(p)
+    fx, fy = (np.fft.rfft((2 * z - 1).astype(kind), size, axis=1).transpose(1, 0, 2) for z in (x, y))
+    agree = np.fft.irfft(fx @ fy.conj().transpose(0, 2, 1), size, axis=0)[shift % size]
+    errors = (1 - agree / (32 * overlap)) / 2
+    sums = [np.concatenate([np.zeros((len(z), 1, 32)), np.cumsum(z, axis=1, dtype=np.float64)], axis=1) for z in (x, y)]
+    mx, my = ((z[:, b] - z[:, a]).transpose(1, 0, 2).astype(np.float32) / overlap for z, a, b in ((sums[0], first, last), (sums[1], first - shift, last - shift)))
+    by_chance = (mx.sum(axis=2)[:, :, None] + my.sum(axis=2)[:, None, :] - 2 * (mx @ my.transpose(0, 2, 1))) / 32
+    at, i, j = np.nonzero((errors <= MAX_ERROR + 1e-3) & (errors <= MAX_SHARE * by_chance + 1e-3))
+    return i, j, shift[at]
+
+
 class Block:
-    """Some queries' integers, sorted, for lookup."""
+    """Some queries' fingerprints, by length."""
 
     def __init__(self, ids: list[int], prints: list[np.ndarray]):
         self.ids, self.prints = ids, prints
-        self.of = np.repeat(np.arange(len(prints)), [len(p) for p in prints])
-        self.place = np.concatenate([np.arange(len(p)) for p in prints]) if prints else np.empty(0, np.int64)
-        flat = np.concatenate(prints) if prints else np.empty(0, np.uint32)
-        order = np.argsort(flat, kind="stable")
-        self.flat, self.of, self.place = flat[order], self.of[order], self.place[order]
+        self.by_length = lengths(prints)
 
     def match(self, p: np.ndarray) -> list[tuple[int, int, int, int, float]]:
         """(query id, offset, equal integers there, overlap, bit errors) of each query that p matches."""
-        a, b = np.searchsorted(self.flat, p, "left"), np.searchsorted(self.flat, p, "right")
-        n = b - a
-        if not n.sum():
-            return []
-        hit = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        offset = self.place[hit] - np.repeat(np.arange(len(p)), n)  # p begins this much later in the query
-        span = 1 << 32
-        keys, count = np.unique(self.of[hit] * span + offset + (span >> 1), return_counts=True)
-        query, shift = keys // span, keys % span - (span >> 1)
-        best = np.lexsort((shift, np.abs(shift), -count, query))
-        best = best[np.concatenate([[True], np.diff(query[best]) > 0])]
-        out = []
-        for k in best:
-            q = self.prints[query[k]]
-            overlap, errors = bit_errors(q, p, int(shift[k]))
-            if overlap >= max(MIN_OVERLAP, min(len(p), len(q)) / 2) and errors <= MAX_ERROR and errors <= MAX_SHARE * chance(q, p, int(shift[k])):
-                out.append((self.ids[query[k]], int(shift[k]), int(count[k]), overlap, errors))
-        return out
+        return self.match_all([p])[0]
+
+    def match_all(self, rows: list[np.ndarray]) -> list[list[tuple[int, int, int, int, float]]]:
+        best: list[dict] = [{} for _ in rows]
+        for m, of_rows in lengths(rows).items():
+            for n, of_queries in self.by_length.items():
+                pairs = max(1, CHUNK // (n + m))
+                wide = min(len(of_queries), max(1, math.isqrt(pairs)))
+                tall = max(1, pairs // wide)
+                for a in range(0, len(of_queries), wide):
+                    for b in range(0, len(of_rows), tall):
+                        qs, rs = of_queries[a : a + wide], of_rows[b : b + tall]
+                        for i, j, s in zip(*(v.tolist() for v in passing([self.prints[k] for k in qs], [rows[k] for k in rs])), strict=True):
+                            self._verify(qs[i], rows[rs[j]], s, best[rs[j]])
+        return [[(self.ids[k], shift, -equal, overlap, errors) for k, (equal, errors, _, shift, overlap) in sorted(found.items())] for found in best]
+
+    def _verify(self, k: int, p: np.ndarray, shift: int, found: dict) -> None:
+        q = self.prints[k]
+        overlap, errors = bit_errors(q, p, shift)
+        if errors <= MAX_ERROR and errors <= MAX_SHARE * chance(q, p, shift) + 1e-12:
+            first = max(0, shift)
+            equal = int((q[first : first + overlap] == p[first - shift : first - shift + overlap]).sum())
+            found[k] = min(found.get(k, (1,)), (-equal, errors, abs(shift), shift, overlap))
+
+
+def lengths(prints: list[np.ndarray]) -> dict[int, list[int]]:
+    """Of each length but 0 the places of its prints."""
+    out: dict[int, list[int]] = {}
+    for k, p in enumerate(prints):
+        if len(p):
+            out.setdefault(len(p), []).append(k)
+    return out
 
 
 def search(queries: DataFrame, rows: DataFrame, id_col: str) -> DataFrame:
@@ -191,7 +231,8 @@ def search(queries: DataFrame, rows: DataFrame, id_col: str) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = [(q, i, *m) for i, p in zip(batch[id_col].to_pylist(), batch["fingerprint"].to_pylist(), strict=True) for q, *m in shared.value.match(np.array(p or [], np.int32).view(np.uint32))]
+                prints = [np.array(p or [], np.int32).view(np.uint32) for p in batch["fingerprint"].to_pylist()]
+                found = [(q, i, *m) for i, ms in zip(batch[id_col].to_pylist(), shared.value.match_all(prints), strict=True) for q, *m in ms]
                 cols = list(zip(*found, strict=True)) if found else [[]] * 6
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()), strict=True)], names=["query_id", id_col, "offset", "equal", "overlap", "error_rate"])
 

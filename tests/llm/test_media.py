@@ -98,3 +98,28 @@ def test_query_finds_itself_and_near_copies(spark):
     assert not any({a, b} == {100, 200} or 300 in (a, b) for a, b in got)
     none = prints.limit(0)
     assert m.search(none, prints, "vec_id").count() == 0 and m.search(prints, none, "vec_id").count() == 0
+
+
+def by_bit_errors(q, p):
+    """Whether any offset passes the rule, by all of them."""
+    least = max(min(m.MIN_OVERLAP, len(q), len(p)), min(len(q), len(p)) / 2)
+    for s in range(-len(p) + 1, len(q)):
+        overlap, errors = m.bit_errors(q, p, s)
+        if overlap >= least and errors <= m.MAX_ERROR and errors <= m.MAX_SHARE * m.chance(q, p, s) + 1e-12:
+            return True
+    return False
+
+
+def test_recall_by_bit_errors_at_all_offsets():
+    """Copies with a bit that is always flipped, with 20 % errors, and short ones: few or no integers are equal."""
+    rng = np.random.default_rng(8)
+    queries = [rng.integers(0, 1 << 32, n, dtype=np.uint32) for n in (56, 56, 80, 5, 1)]
+    rows = [q ^ np.uint32(1 << 7) for q in queries[:3]] + [queries[3], queries[4], queries[0][10:], np.empty(0, np.uint32)]
+    for q in queries[:3] * 10:
+        noise = np.packbits(rng.random((len(q), 32)) < 0.2, axis=1).view(np.uint32)[:, 0]
+        rows.append(np.concatenate([rng.integers(0, 1 << 32, 9, dtype=np.uint32), q ^ noise]))
+    block = m.Block(list(range(5)), queries)
+    got = [{k for k, *_ in found} for found in block.match_all(rows)]
+    assert got == [{k for k in range(5) if by_bit_errors(queries[k], p)} for p in rows]
+    assert got[:6] == [{0}, {1}, {2}, {3}, {4}, {0}] and all(got[7 + k] == {k % 3} for k in range(30))
+    assert {s for found in block.match_all(rows[7:]) for _, s, *_ in found} == {-9}
