@@ -10,8 +10,8 @@ alignment is exact though banded: at that similarity no matched k-mer can lie mo
 most once, so the subsequence is a longest increasing one.
 
 Equal word sequences are one class: only its smallest doc_id is sketched. In each bucket every member is aligned with CENTRES members of
-the smallest seeded hashes. Buckets that are of one component then need no further pair, so a group of m copies costs of the order of m
-pairs. Where a larger bucket still holds several components, all pairs across them are held against each other, within tasks of two
+the smallest seeded hashes (fewer, where one has several). Buckets that are of one component then need no further pair, so a group of m copies costs of the order of m
+pairs. Where a bucket that this leaves pairs of still holds several components, all pairs across them are held against each other, within tasks of two
 blocks of BLOCK members: counts of common k-mers rule most out, the others are aligned, and only links that join components come out. So
 no candidate pair that could join two components is left out, and nothing is capped. Links and components never reach the driver.
 
@@ -254,8 +254,9 @@ def classes(docs: DataFrame) -> DataFrame:
     order = [F.struct(F.xxhash64("doc_id", F.lit(SEED + s)).alias("o"), F.col("doc_id")) for s in range(CENTRES)]
     buckets = flat.groupBy("bucket").agg(F.count("*").alias("n"), *(F.min(o)["doc_id"].alias(f"c{s}") for s, o in enumerate(order))).where("n > 1")
     members = staged(flat.join(buckets, "bucket"), "omh-members")
+    centres = F.array_distinct(F.array(*(f"c{s}" for s in range(CENTRES))))
     stars = (
-        members.select(F.col("doc_id").alias("x"), F.explode(F.array_distinct(F.array(*(f"c{s}" for s in range(CENTRES))))).alias("y"))
+        members.select(F.col("doc_id").alias("x"), F.explode(centres).alias("y"))
         .where("x <> y")
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .distinct()
@@ -266,9 +267,10 @@ def classes(docs: DataFrame) -> DataFrame:
     packed = staged(source.join(used.union(also).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_pack, "doc_id long, words binary"), "omh-words")
     found = staged(links(pairs, packed), "omh-links")
     joined = staged(components(found, "omh-first"), "omh-first-joined")
-    # larger buckets that still hold several components: every pair across them, block against block
-    placed = members.select("bucket", "n", "doc_id").join(joined, members["doc_id"] == joined["node"], "left").select("bucket", "n", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
-    mixed = placed.where(F.col("n") > CENTRES).groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bucket")
+    # buckets that still hold several components, and more than one member that is no centre (centres may coincide): every pair across
+    # them, block against block. In all others the star has compared every pair, so a pair of an earlier band was compared there
+    placed = members.select("bucket", "n", "doc_id", (F.col("n") - F.size(centres) > 1).alias("gaps")).join(joined, members["doc_id"] == joined["node"], "left").select("bucket", "n", "doc_id", "gaps", F.coalesce("component", "doc_id").alias("comp"))
+    mixed = placed.where("gaps").groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bucket")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     cells = (
         placed.join(mixed, "bucket", "left_semi")

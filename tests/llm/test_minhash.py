@@ -154,3 +154,24 @@ def test_hot_group_without_a_common_centre(spark, monkeypatch):
         lo, hi = sorted((root[a], root[b]))
         root = [lo if r == hi else r for r in root]
     assert root == [want[i] for i in range(120)]
+
+
+def test_small_bucket_whose_centres_coincide(spark, monkeypatch):
+    """Three documents meet in two bands; all four centres are the one that is unlike the two others."""
+    hashes = spark.range(200).select("id", *(m.F.xxhash64("id", m.F.lit(m.SEED + s)).alias(f"h{s}") for s in range(m.CENTRES))).collect()
+    low = min(hashes, key=lambda r: max(r[1:]))
+    others = [r.id for r in hashes if all(x > y for x, y in zip(r[1:], low[1:]))][:2]
+    n_bands = m.BANDS
+
+    def meet(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            bands = [[7, 8, *(1000 * (i + 1) + k for k in range(n_bands - 2))] for i in batch["doc_id"].to_pylist()]
+            yield pa.record_batch([batch["doc_id"], pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "bands"])
+
+    monkeypatch.setattr(m, "_sketch", meet)
+    text = [f"w{k}" for k in range(200)]
+    rows = [(low.id, " ".join(f"v{k}" for k in range(200))), (others[0], " ".join(text)), (others[1], " ".join([*text[:100], "x", *text[100:]]))]
+    got = {r.doc_id: r.class_id for r in m.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {low.id: low.id, others[0]: min(others), others[1]: min(others)}
