@@ -17,31 +17,78 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and all is one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir is unset: on {master} it must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="blockmill-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
+def _place(spark: SparkSession, path: str) -> tuple:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder, deleted when the session's JVM ends."""
+    """A fresh path in the shared folder, deleted when the session's JVM ends, if remove() has not done so before."""
     path = f"{shared_dir(spark)}/blockmill-{tag}-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    system, at = _place(spark, path)
+    system.deleteOnExit(at)
     return path
 
 
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and rereads it, which cuts the lineage: lost executors cost no recomputation."""
-    path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def remove(spark: SparkSession, path: str) -> None:
+    system, at = _place(spark, path)
+    system.delete(at, True)
+
+
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def staged(df: DataFrame, tag: str, batch_rows: int = 1000) -> DataFrame:
+    """Writes df to the shared folder and rereads it, which cuts the lineage: lost executors cost no recomputation.
+
+    Meanwhile Arrow batches hold batch_rows rows at most, which bounds what JVM and Python hold of long texts.
+    """
+    spark = df.sparkSession
+    path, before = new_path(spark, tag), spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, min(batch_rows, int(before)) if int(before) > 0 else batch_rows)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes what staged() wrote for these frames; nothing may read them any more."""
+    for df in frames:
+        remove(df.sparkSession, df.staged_at)
+
+
+SMALL_ROWS = 1 << 20
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """A staged frame of slim rows, to be broadcast if it is counted to have so many rows at most; else it is joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df has not."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def fold(id_col: Column) -> Column:
@@ -112,15 +159,12 @@ def components(edges: DataFrame, tag: str, max_rounds: int = 40) -> DataFrame:
             .distinct()
         )
         after = staged(small, f"{tag}-star{k}")
+        release(now)
+        now = after
         # a star forest: every node points at one root, and no root points on
-        roots = after.select(F.col("v").alias("u")).distinct()
-        if (
-            after.groupBy("u").count().where("count > 1").isEmpty()
-            and after.join(roots, "u", "left_semi").isEmpty()
-        ):
-            now = after
+        roots = now.select(F.col("v").alias("u")).distinct()
+        if now.groupBy("u").count().where("count > 1").isEmpty() and now.join(roots, "u", "left_semi").isEmpty():
             break
-        now = after
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

@@ -9,15 +9,21 @@ most the Jaccard similarity of the labelled k-mers, and equals it where no passa
 alignment is exact though banded: at that similarity no matched k-mer can lie more than the band off the diagonal, and labels match at
 most once, so the subsequence is a longest increasing one.
 
-Equal word sequences are one class: only its smallest doc_id is sketched. In each bucket every member is aligned with CENTRES members of
-the smallest seeded hashes (fewer, where one has several). Buckets that are of one component then need no further pair, so a group of m copies costs of the order of m
-pairs. Where a bucket that this leaves pairs of still holds several components, all pairs across them are held against each other, within tasks of two
-blocks of BLOCK members: counts of common k-mers rule most out, the others are aligned, and only links that join components come out. So
-no candidate pair that could join two components is left out, and nothing is capped. Links and components never reach the driver.
+One pass over the texts writes all that the rest needs: two hashes of the word sequence, the band keys, and the words as 32-bit hashes (the
+alignment compares those). Texts are not read again. Of a doc_id's rows one is kept, that of the smallest hashes, throughout.
+
+Equal word sequences are one class: only its smallest doc_id meets others. In each bucket every member is aligned with CENTRES members of
+the smallest seeded hashes (fewer, where one has several), unless their lengths rule the link out. Buckets that are of one component then
+need no further pair, so a group of m copies costs of the order of m pairs. Where a bucket that this leaves pairs of still holds several
+components, its members go by rare k-mers: a pair that links shares one of the 1 - THRESHOLD rarest part of either's k-mers, rarity being counted
+over the members of all such buckets, and k-mers of one component alone are no candidates. Members that share such a k-mer are aligned. Only
+a k-mer of more than HOT members is not expanded: those of its members meet within their buckets instead, all pairs across components,
+inside tasks of two blocks that are bounded in members (BLOCK) and in k-mers (BLOCK_KMERS). So no candidate pair that could join two
+components is left out, and nothing is capped. Links and components never reach the driver.
 
 Defined cases: texts without words (null, empty, signs only) link with nothing; texts of fewer than K words have one k-mer, all their
-words; rows with a null doc_id are left out of the classes; repeated rows of a doc_id count as one, and if their texts differ it is classed by one of them; an empty
-table gives no rows. Columns other than doc_id and text are not read.
+words; rows with a null doc_id are left out of the classes; repeated rows of a doc_id count as one, and if their texts differ it is classed by
+one of them, one with words if there is any; an empty table gives no rows. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -28,11 +34,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockmill.llm import words
-from blockmill.llm.common import components, slices, staged, table
+from blockmill.llm.common import components, fresh, release, slices, small, staged, table
 
 K = 5
 PICK = 2
@@ -40,6 +46,8 @@ ROWS = 2
 BANDS = 16
 CENTRES = 4
 BLOCK = 512
+BLOCK_KMERS = 1 << 19
+HOT = 64
 THRESHOLD = 0.8
 SEED = 7
 WIDE = 2048  # k-mers hashed at a time
@@ -147,33 +155,36 @@ def _each(texts: list[str | None]) -> Iterator[np.ndarray]:
             yield h[first[k] : first[k + 1]]
 
 
-def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, two hashes of the whole word sequence (null without words), and how many words."""
+def short(h: np.ndarray) -> bytes:
+    """Word hashes as they are kept."""
+    return (h >> np.uint64(32)).astype(np.uint32).tobytes()
+
+
+def grams(packed: bytes) -> np.ndarray:
+    """The labelled k-mers of words that are kept."""
+    return kmers(np.frombuffer(packed, np.uint32).astype(np.uint64))
+
+
+PRINTS = "doc_id long, h1 long, h2 long, n_words long, bands array<long>, words binary"
+
+
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, two hashes of the whole word sequence (null without words), how many words, the band keys, and the words."""
     for batch in slices(batches):
-        one, two, n = [], [], []
+        one, two, n, keys, packed = [], [], [], [], []
         with np.errstate(over="ignore"):
             for h in _each(batch["text"].to_pylist()):
                 n.append(len(h))
                 place = np.arange(len(h), dtype=np.uint64)
                 one.append(words.mix(h + place * STEP).sum(dtype=np.uint64))
                 two.append(words.mix((h ^ STEP) + place * words.PRIME).sum(dtype=np.uint64))
+                packed.append(short(h))
+                keys.append(band_keys(grams(packed[-1])))
         none = np.asarray(n) == 0
         as_long = lambda x: pa.array(np.asarray(x, np.uint64).view(np.int64), mask=none)
-        yield pa.record_batch([batch["doc_id"], as_long(one), as_long(two), pa.array(n, pa.int64())], names=["doc_id", "h1", "h2", "n_words"])
-
-
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        keys = [band_keys(kmers(h)) for h in _each(batch["text"].to_pylist())]
         flat = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-        at = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS)
-        yield pa.record_batch([batch["doc_id"], pa.ListArray.from_arrays(at, pa.array(flat.view(np.int64)))], names=["doc_id", "bands"])
-
-
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        packed = [h.tobytes() for h in _each(batch["text"].to_pylist())]
-        yield pa.record_batch([batch["doc_id"], pa.array(packed, pa.binary())], names=["doc_id", "words"])
+        bands = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(flat.view(np.int64)))
+        yield pa.record_batch([batch["doc_id"], as_long(one), as_long(two), pa.array(n, pa.int64()), bands, pa.array(packed, pa.binary())], names=["doc_id", "h1", "h2", "n_words", "bands", "words"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,16 +193,13 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, ok = batch["a"], batch["b"], []
         for x, y in zip(batch["words_a"], batch["words_b"], strict=True):
             x, y = x.as_py(), y.as_py()
-            if min(len(x), len(y)) < (THRESHOLD / 2) * max(len(x), len(y)) - 64:  # words, not k-mers; sure to be below
-                ok.append(False)
-                continue
             for z in (x, y):
                 if z not in kept:
                     if len(kept) > 256:
                         kept.clear()
-                    kept[z] = kmers(np.frombuffer(z, np.uint64))
+                    kept[z] = grams(z)
             p, q = kept.get(x), kept.get(y)
-            p = kmers(np.frombuffer(x, np.uint64)) if p is None else p
+            p = grams(x) if p is None else p
             ok.append(similarity(p, q) >= THRESHOLD - 1e-12)
         keep = pa.array(ok, pa.bool_())
         yield pa.record_batch([a.filter(keep), b.filter(keep)], names=["src", "dst"])
@@ -214,7 +222,7 @@ def _across(cell: pd.DataFrame) -> pd.DataFrame:
     ids, block = cell["doc_id"].to_numpy(), cell["block"].to_numpy()
     bands = np.stack(cell["bands"].to_numpy())
     band = int(np.flatnonzero(bands[0] == bucket)[0])
-    x = [kmers(np.frombuffer(w, np.uint64)) for w in cell["words"]]
+    x = [grams(w) for w in cell["words"]]
     size = np.array([len(k) for k in x])
     flat = np.concatenate(x)
     order = np.argsort(flat, kind="stable")
@@ -240,57 +248,99 @@ def _across(cell: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["src", "dst"], dtype="int64")
 
 
+def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each labelled k-mer of words, with the columns doc_id, comp and kn."""
+    for batch in slices(batches, 128):
+        x = [grams(w.as_py()) for w in batch["words"]]
+        of = np.repeat(np.arange(len(x)), [len(k) for k in x])
+        own = [batch[c].take(pa.array(of)) for c in ("doc_id", "comp", "kn")]
+        yield pa.record_batch([*own, pa.array(np.concatenate(x).view(np.int64) if x else [], pa.int64())], names=["doc_id", "comp", "kn", "gram"])
+
+
+def rare(members: DataFrame) -> DataFrame:
+    """members: doc_id, comp, kn, words. Their k-mers (doc_id, comp, kn, gram, n) that other components have as well and that a link may need.
+
+    A link shares all but a part of 1 - THRESHOLD of either's k-mers, so it shares one of that part's rarest, and one more. Ordered by how
+    many members have them, k-mers of a single component come first: they are no one else's, and count without being listed.
+    """
+    each = staged(members.mapInArrow(_explode, "doc_id long, comp long, kn long, gram long"), "omh-grams")
+    counts = each.groupBy("gram").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("gram", "n")
+    of = each.join(counts, "gram").groupBy("doc_id", "comp", "kn").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("grams"))
+    # kn - ceil(THRESHOLD * kn) + 1 of all, less those of one component; a little more where rounding is close
+    need = F.col("kn") - F.ceil(F.col("kn") * THRESHOLD - 1e-6) + 1 - (F.col("kn") - F.size("grams"))
+    return of.where(need > 0).select("doc_id", "comp", "kn", F.explode(F.slice("grams", F.lit(1), need.cast("int"))).alias("g")).select("doc_id", "comp", "kn", "g.gram", "g.n")
+
+
+def _long_enough(a: str, b: str) -> Column:
+    """Whether two numbers of k-mers allow a link."""
+    return F.least(a, b) >= THRESHOLD * F.greatest(a, b) - 1e-6
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """One row per doc_id: class_id long, the smallest doc_id of its group of near-duplicates, and kept boolean."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    prints = staged(source.mapInArrow(_fingerprint, "doc_id long, h1 long, h2 long, n_words long"), "omh-prints")
-    one = prints.groupBy("doc_id").agg(F.min(F.struct("h1", "h2", "n_words")).alias("p")).select("doc_id", "p.*")
+    prints = staged(source.mapInArrow(_prints, PRINTS).withColumn("row", F.monotonically_increasing_id()), "omh-prints")
+    first = F.struct(F.col("h1").isNull().alias("none"), "h1", "h2", "n_words", "row")
+    one = prints.groupBy("doc_id").agg(F.min(first).alias("p")).select("doc_id", "p.h1", "p.h2", "p.n_words", "p.row")
     # hot groups of copies: partial aggregates, then a left join whose large side adaptive execution can split
-    reps = staged(one.where("n_words > 0").groupBy("h1", "h2", "n_words").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "omh-reps")
-    ids = reps.select(F.col("rep").alias("doc_id"))
-    texts = source.join(ids, "doc_id", "left_semi")
-    bands = staged(texts.mapInArrow(_sketch, "doc_id long, bands array<long>"), "omh-bands")
-    flat = bands.select("doc_id", F.explode("bands").alias("bucket"))
-    order = [F.struct(F.xxhash64("doc_id", F.lit(SEED + s)).alias("o"), F.col("doc_id")) for s in range(CENTRES)]
-    buckets = flat.groupBy("bucket").agg(F.count("*").alias("n"), *(F.min(o)["doc_id"].alias(f"c{s}") for s, o in enumerate(order))).where("n > 1")
-    members = staged(flat.join(buckets, "bucket"), "omh-members")
-    centres = F.array_distinct(F.array(*(f"c{s}" for s in range(CENTRES))))
+    reps = staged(one.where("n_words > 0").groupBy("h1", "h2", "n_words").agg(F.min(F.struct("doc_id", "row")).alias("r")).select("h1", "h2", "n_words", F.col("r.doc_id").alias("rep"), F.col("r.row").alias("row")), "omh-reps")
+    kn = F.greatest(F.lit(1), F.col("n_words") - (K - 1)).alias("kn")
+    bands = staged(prints.select("row", "bands").join(reps.select("row", F.col("rep").alias("doc_id"), kn), "row"), "omh-bands")
+    flat = bands.select("doc_id", "row", "kn", F.explode("bands").alias("bucket"))
+    order = [F.struct(F.xxhash64("doc_id", F.lit(SEED + s)).alias("o"), F.col("doc_id"), F.col("kn"), F.col("row")) for s in range(CENTRES)]
+    buckets = flat.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("kn").alias("all_kn"), *(F.min(o).alias(f"c{s}") for s, o in enumerate(order))).where("n > 1")
+    centres = F.array_distinct(F.array(*(F.struct(f"c{s}.doc_id", f"c{s}.kn", f"c{s}.row") for s in range(CENTRES))))
+    members = staged(flat.join(buckets.select("bucket", "n", "all_kn", centres.alias("centres")), "bucket"), "omh-members")
     stars = (
-        members.select(F.col("doc_id").alias("x"), F.explode(centres).alias("y"))
-        .where("x <> y")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        members.select(F.col("doc_id").alias("x"), F.col("kn").alias("kx"), F.col("row").alias("rx"), F.explode("centres").alias("c"))
+        .where((F.col("x") != F.col("c.doc_id")) & _long_enough("kx", "c.kn"))
+        .select(F.least("x", "c.doc_id").alias("a"), F.greatest("x", "c.doc_id").alias("b"), F.least("rx", "c.row").alias("r1"), F.greatest("rx", "c.row").alias("r2"))
         .distinct()
     )
     pairs = staged(stars, "omh-stars")
-    used = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
-    also = members.select("doc_id")
-    packed = staged(source.join(used.union(also).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_pack, "doc_id long, words binary"), "omh-words")
+    used = staged(pairs.select(F.explode(F.array("r1", "r2")).alias("row")).distinct(), "omh-used")
+    packed = staged(prints.select("row", "doc_id", "words").join(small(used), "row", "left_semi"), "omh-words")
     found = staged(links(pairs, packed), "omh-links")
     joined = staged(components(found, "omh-first"), "omh-first-joined")
-    # buckets that still hold several components, and more than one member that is no centre (centres may coincide): every pair across
-    # them, block against block. In all others the star has compared every pair, so a pair of an earlier band was compared there
-    placed = members.select("bucket", "n", "doc_id", (F.col("n") - F.size(centres) > 1).alias("gaps")).join(joined, members["doc_id"] == joined["node"], "left").select("bucket", "n", "doc_id", "gaps", F.coalesce("component", "doc_id").alias("comp"))
-    mixed = placed.where("gaps").groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bucket")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    # buckets that still hold several components, and more than one member that is no centre (centres may coincide). In all others the star
+    # has compared every pair, so a pair of an earlier band was compared there
+    gaps = members.where(F.col("n") - F.size("centres") > 1).select("bucket", "n", "all_kn", "doc_id", "row", "kn")
+    placed = gaps.join(joined, gaps["doc_id"] == joined["node"], "left").select("bucket", "n", "all_kn", "doc_id", "row", "kn", F.coalesce("component", "doc_id").alias("comp"))
+    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bucket")
+    apart = staged(placed.join(mixed, "bucket", "left_semi"), "omh-apart")
+    ids = staged(apart.select("row", "doc_id", "comp", "kn").distinct(), "omh-apart-ids")
+    own = staged(prints.select("row", "words").join(small(ids), "row"), "omh-apart-words")
+    grams_ = staged(rare(own.select("doc_id", "comp", "kn", "words")), "omh-rare")
+    some = grams_.where(F.col("n") <= HOT).select("gram", "doc_id", "comp", "kn")
+    other = some.select("gram", F.col("doc_id").alias("b"), F.col("comp").alias("cb"), F.col("kn").alias("kb"))
+    across = some.join(other, "gram").where((F.col("doc_id") < F.col("b")) & (F.col("comp") != F.col("cb")) & _long_enough("kn", "kb")).select(F.col("doc_id").alias("a"), "b").distinct()
+    more = staged(links(staged(across, "omh-across"), own), "omh-more")
+    hot = grams_.where(F.col("n") > HOT).select("doc_id").distinct()
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("all_kn") / BLOCK_KMERS)).cast("int")
     cells = (
-        placed.join(mixed, "bucket", "left_semi")
+        apart.join(hot, "doc_id", "left_semi")
         .withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "comp")
     )
-    full = cells.join(packed, "doc_id").join(bands, "doc_id")
-    more = staged(full.groupBy("bucket", "i", "j").applyInPandas(_across, "src long, dst long"), "omh-more")
-    every = components(found.unionByName(more), "omh-all")
-    of_rep = reps.join(every, reps["rep"] == every["node"], "left").select("h1", "h2", "n_words", F.coalesce("component", "rep").alias("class_id"))
-    return one.join(of_rep, ["h1", "h2", "n_words"], "left").select(
+    full = cells.join(own.select("doc_id", "words"), "doc_id").join(bands.select("doc_id", "bands"), "doc_id")
+    rest = staged(full.groupBy("bucket", "i", "j").applyInPandas(_across, "src long, dst long"), "omh-rest")
+    every = staged(components(found.unionByName(more).unionByName(rest), "omh-all"), "omh-all-joined")
+    classed = staged(
+        reps.join(every, reps["rep"] == every["node"], "left").select("h1", "h2", "n_words", F.coalesce("component", "rep").alias("class_id")), "omh-classes"
+    )
+    slim = staged(one.select("doc_id", "h1", "h2", "n_words"), "omh-slim")
+    release(prints, reps, bands, members, pairs, used, packed, found, joined, apart, ids, own, grams_, more, rest, every)
+    return slim.join(classed, ["h1", "h2", "n_words"], "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce(F.col("class_id") == F.col("doc_id"), F.lit(True)).alias("kept")
     )
 
 
 def keep(docs: DataFrame) -> DataFrame:
     """One document of each class, with all its columns: every row of doc_ids that classes() keeps, and rows without a doc_id."""
-    gone = classes(docs).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    name = fresh(docs, "gone")
+    gone = classes(docs).where("not kept").select(F.col("doc_id").alias(name))
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,7 +148,7 @@ def test_hot_group_without_a_common_centre(spark, monkeypatch):
     assert got == want
     cell = pd.DataFrame({"bucket": 1, "i": 0, "j": 0, "block": 0, "doc_id": range(120), "comp": range(120)})
     hs = list(m._each([t for _, t in rows]))
-    cell["words"], cell["bands"] = [h.tobytes() for h in hs], [np.array([1] + [0] * 15)] * 120
+    cell["words"], cell["bands"] = [m.short(h) for h in hs], [np.array([1] + [0] * 15)] * 120
     root = list(range(120))
     for a, b in m._across(cell).itertuples(index=False):
         lo, hi = sorted((root[a], root[b]))
@@ -163,15 +163,83 @@ def test_small_bucket_whose_centres_coincide(spark, monkeypatch):
     others = [r.id for r in hashes if all(x > y for x, y in zip(r[1:], low[1:]))][:2]
     n_bands = m.BANDS
 
-    def meet(batches):
-        import pyarrow as pa
+    import pyarrow as pa
+
+    own = m._prints
 
-        for batch in batches:
+    def meet(batches):
+        for batch in own(batches):
             bands = [[7, 8, *(1000 * (i + 1) + k for k in range(n_bands - 2))] for i in batch["doc_id"].to_pylist()]
-            yield pa.record_batch([batch["doc_id"], pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "bands"])
+            yield batch.set_column(4, "bands", pa.array(bands, pa.list_(pa.int64())))
 
-    monkeypatch.setattr(m, "_sketch", meet)
+    monkeypatch.setattr(m, "_prints", meet)
     text = [f"w{k}" for k in range(200)]
     rows = [(low.id, " ".join(f"v{k}" for k in range(200))), (others[0], " ".join(text)), (others[1], " ".join([*text[:100], "x", *text[100:]]))]
     got = {r.doc_id: r.class_id for r in m.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {low.id: low.id, others[0]: min(others), others[1]: min(others)}
+
+
+def test_two_texts_under_one_id(spark):
+    """One text stands for the id throughout: the class is that of the text kept, and the other links nothing."""
+    rng = random.Random(8)
+    a, b = text_of(rng, 100), text_of(rng, 100)
+    near = lambda t: " ".join([*t.split()[:50], "zz", *t.split()[50:]])
+    rows = [(10, a), (10, b), (10, b), (20, near(a)), (30, near(b)), (40, None), (40, a)]
+    got = {r.doc_id: r.class_id for r in m.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[40] == min(10 if got[20] == 10 else 20, 20)
+    # exactly one of the two near texts is in the class of 10
+    assert (got[20] == 10) != (got[30] == 10) and len(got) == 4
+    if got[20] == 10:
+        assert got[40] == 10
+    else:
+        assert got[40] == got[20] == 20
+
+
+def edited(base, rng, share):
+    """base with so many of its words replaced by new ones, in one run (which changes few k-mers more than words)."""
+    w, n = base[:], int(len(base) * share)
+    at = rng.randrange(len(w) - n)
+    w[at : at + n] = [f"u{rng.random()}" for _ in range(n)]
+    return w
+
+
+@pytest.mark.parametrize("hot", [64, 3])
+def test_shared_passage_across_components(spark, monkeypatch, hot):
+    """Many texts share a long passage and are unlike; some pairs among them are alike. Rare k-mers find those, or cells where k-mers are hot."""
+    monkeypatch.setattr(m, "HOT", hot)
+    monkeypatch.setattr(m, "BLOCK", 16)
+    rng = random.Random(9)
+    passage = text_of(rng, 120).split()
+    rows = []
+    for i in range(60):
+        w = passage + text_of(rng, 40).split()
+        rows.append((2 * i, " ".join(w)))
+        if i % 4 == 0:
+            w[rng.randrange(120)] = "edit"
+            rows.append((2 * i + 1, " ".join(w)))
+    want = brute(rows)
+    got = {r.doc_id: r.class_id for r in m.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+    assert 30 < len(set(want.values())) < len(rows)
+
+
+def test_rare_grams_meet_every_link(spark):
+    """Every pair of members that links across components shares a rare k-mer."""
+    rng = random.Random(10)
+    base = text_of(rng, 60).split()
+    texts = [" ".join(edited(base, rng, rng.choice([0.05, 0.1, 0.3]))) for _ in range(40)]
+    packed = [m.short(h) for h in m._each(texts)]
+    rows = [(i, i, len(m.grams(p)), bytearray(p)) for i, p in enumerate(packed)]
+    found = {}
+    for r in m.rare(spark.createDataFrame(rows, "doc_id long, comp long, kn long, words binary")).collect():
+        found.setdefault(r.doc_id, set()).add(r.gram)
+    for i in range(40):
+        for j in range(i):
+            if m.similarity(m.grams(packed[i]), m.grams(packed[j])) >= m.THRESHOLD:
+                assert found.get(i, set()) & found.get(j, set())
+
+
+def test_keep_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 1, 2), (2, "a b c d e f", 3, 4), (None, None, 5, 6)], "doc_id long, text string, _gone int, gone int")
+    got = m.keep(df)
+    assert got.columns == df.columns and {tuple(r) for r in got.collect()} == {(1, "a b c d e f", 1, 2), (None, None, 5, 6)}
