@@ -47,3 +47,24 @@ def test_order_is_shuffled_and_written(spark):
     assert sum(x < 2000 for x in ids[:1000]) in range(420, 580)
     back = spark.read.parquet(s.write(out))
     assert sorted(r.doc_id for r in back.collect()) == list(range(4000)) and back.select("shard").distinct().count() == 4
+
+
+def test_repeated_rows_spread_and_clashing_names(spark):
+    """20,000 rows alike, and as many of one key that differ elsewhere, beside others: no bucket holds much more than its part."""
+    text = "same text " * 10
+    many = spark.range(20000).selectExpr("1L as doc_id", f"'{text}' as text", "7L as _place", "0 as bucket", "0 as place", "1 as row")
+    other = spark.range(20000).selectExpr("2L as doc_id", f"'{text}' as text", "id as _place", "1 as bucket", "0 as place", "2 as row")
+    rest = spark.range(2000).selectExpr("id + 10 as doc_id", f"'{text}' as text", "id as _place", "2 as bucket", "0 as place", "3 as row")
+    df = many.unionByName(other).unionByName(rest)
+    out = s.shuffled(df, shards=7, bucket_bytes=200_000)
+    got = out.collect()
+    check(got, 7, 42000)
+    assert out.columns == [*df.columns, "shard", "slot"]
+    assert sorted((r.doc_id, r._place) for r in got) == sorted((r.doc_id, r._place) for r in df.collect())
+    # equal rows lie everywhere: every shard has its part of them
+    for doc in (1, 2):
+        per = [sum(r.doc_id == doc for r in got if r.shard == k) for k in range(7)]
+        assert max(per) - min(per) < 600
+    passes = [p for p in out.inputFiles() if "shuffled" in p]
+    sizes = [r["count"] for r in spark.read.parquet(*passes).groupBy("bucket").count().collect()]
+    assert len(sizes) > 20 and max(sizes) < 3 * 42000 / len(sizes)
