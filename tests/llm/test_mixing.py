@@ -1,6 +1,8 @@
+import random
 from fractions import Fraction
 
 import duckdb
+import pytest
 
 from blockmill.llm import mixing as m
 
@@ -21,10 +23,10 @@ def plain_targets(sizes):
         full |= {s: Fraction(2 * sizes[s]) for s in over}
 
 
-def plain_seats(targets, caps, total):
+def plain_seats(targets, total):
     won = dict.fromkeys(targets, 0)
     for _ in range(total):
-        s = max((s for s in won if won[s] < caps[s]), key=lambda s: (targets[s] / (2 * won[s] + 1)))
+        s = max(won, key=lambda s: (targets[s] / (2 * won[s] + 1), -s))
         won[s] += 1
     return won
 
@@ -46,10 +48,22 @@ def test_targets_and_seats(spark):
     for s, r in got.items():
         assert r.source_size == sizes[s] and abs(r.target - float(want[s])) < 1e-6
     aims = m.targets(spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, source_size long"))
-    rows = {r.idx: r for r in aims.collect()}
-    block, budget = rows[1].block, rows[1].budget
-    won = plain_seats({i: Fraction(r.target) for i, r in rows.items() if r.source_size}, {i: 2 * -(-r.source_size // block) for i, r in rows.items()}, budget // block)
-    assert {r.idx: r["count"] for r in m.seats(aims).groupBy("idx").count().collect()} == {i: n for i, n in won.items() if n}
+    aim = {r.idx: Fraction(r.target) for r in aims.collect() if r.source_size}
+    got = {(r.idx, r.shard): r.seats for r in m.quotas(aims).collect()}
+    for shard in range(m.SHARDS):
+        won = plain_seats(aim, m.SEATS * (shard + 1) // m.SHARDS)
+        assert {i: got[i, shard] for i in aim} == won
+
+
+def test_quotas_by_divisor_equal_listed_seats(spark):
+    """Few seats for many sources, and targets that differ by far."""
+    rng = random.Random(1)
+    for n, total in ((3, 7), (40, 16), (40, 100), (25, 1000)):
+        aim = {i: float(rng.choice([1, 5, 300, 90000]) * rng.randrange(1, 50)) for i in range(1, n + 1)}
+        df = spark.createDataFrame([(i, t, sum(aim.values()), n) for i, t in aim.items()], "idx int, target double, dealt double, n_sources long")
+        got = {(r.idx, r.shard): r.seats for r in m.quotas(df, total, 4).collect()}
+        for shard in range(4):
+            assert {i: got[i, shard] for i in aim} == plain_seats({i: Fraction(t) for i, t in aim.items()}, total * (shard + 1) // 4)
 
 
 def test_taken_is_near_target_and_bounded(spark):
@@ -60,13 +74,13 @@ def test_taken_is_near_target_and_bounded(spark):
         assert 0 <= r.taken <= 2 * r["size"]
         taken[r.source] = taken.get(r.source, 0) + r.taken
         target[r.source] = r.target
-    assert all(abs(taken[s] - target[s]) <= 0.02 * target[s] + 50 for s in taken)
+    assert all(abs(taken[s] - target[s]) <= 0.5 + 1e-6 for s in taken)
 
 
 def test_expanded_words_are_the_taken_ones(spark):
     mixed = m.mix(frame(spark))
-    out = m.expand(mixed)
-    assert out.columns == ["doc_id", "text", "source", "n_chars"]
+    out = m.expand(frame(spark))
+    assert out.columns == ["doc_id", "text", "source", "size", "n_chars"]
     words = {}
     for r in out.select("doc_id", "source", m.word_count(out.text).alias("n"), (m.F.length("text") == out.n_chars).alias("ok")).collect():
         words[r.doc_id, r.source] = words.get((r.doc_id, r.source), 0) + r.n
@@ -83,12 +97,12 @@ def test_sql_agrees_reruns_agree_and_empty_table(spark):
     con.sql(f"create view documents as select * from read_parquet('{sf}/documents.parquet')")
     key = lambda r: tuple(map(str, r))
     mine = sorted([tuple(r) for r in m.op4_mixing(spark, sf).collect()], key=key)
-    theirs = sorted(con.sql(f"select doc_id, size, source_size, target, taken from ({m.SQL})").fetchall(), key=key)
+    theirs = sorted(con.sql(f"select doc_id, size, source_size, target, taken, shard from ({m.SQL})").fetchall(), key=key)
     assert mine == theirs
     df = frame(spark)
     a, b = (sorted([tuple(r) for r in m.mix(x).select("doc_id", "source", "taken").collect()], key=key) for x in (df, df.repartition(5)))
     assert a == b
-    assert m.mix(df.limit(0)).count() == 0 and m.expand(m.mix(df.limit(0))).count() == 0
+    assert m.mix(df.limit(0)).count() == 0 and m.expand(df.limit(0)).count() == 0
 
 
 def test_small_sources_get_their_target_to_the_word(spark):
@@ -101,11 +115,59 @@ def test_small_sources_get_their_target_to_the_word(spark):
     got = {r.source: r for r in mixed.groupBy("source").agg(m.F.sum("taken").alias("taken"), m.F.max("target").alias("target"), m.F.max("source_size").alias("size")).collect()}
     for s, n in small.items():
         assert got[s].target == 2 * n == got[s].taken
-    assert all(abs(r.taken - r.target) <= 0.01 * r.target for r in got.values())
+    assert all(abs(r.taken - r.target) <= 0.5 for r in got.values())
     assert abs(sum(r.taken for r in got.values()) - 1.5 * sum(r.size for r in got.values())) <= 0.001 * sum(r.size for r in got.values())
-    words = {r.source: r.n for r in m.expand(mixed).groupBy("source").agg(m.F.sum(m.word_count(m.F.col("text"))).alias("n")).collect()}
+    words = {r.source: r.n for r in m.expand(df).groupBy("source").agg(m.F.sum(m.word_count(m.F.col("text"))).alias("n")).collect()}
     assert words == {s: r.taken for s, r in got.items()}
     # a target that is not a whole number of passes
     few = m.mix(spark.createDataFrame([(k, "w " * 11, "ab"[k % 2]) for k in range(40)], "doc_id long, text string, source string"))
     few = few.groupBy("source").agg(m.F.sum("taken").alias("taken"), m.F.max("target").alias("target")).collect()
     assert all(abs(r.taken - r.target) <= 0.5 for r in few)
+
+
+def test_sql_with_tiny_sources_nulls_and_repeats(spark):
+    con = duckdb.connect()
+    own = frame(spark).select("doc_id", "text", "source")
+    big = spark.range(600).selectExpr("id + 1000 as doc_id", "repeat('w ', cast(id % 300 as int)) as text", "concat('big', cast(id % 3 as string)) as source")
+    tiny = spark.createDataFrame([(5000, "w w w", "tiny"), (5001, "w", "tiny2"), (5002, " ".join(["w"] * 90), "t90"), (5003, " ".join(["w"] * 500), "t500")], "doc_id long, text string, source string")
+    df = own.unionByName(big).unionByName(tiny)
+    documents = df.toArrow()  # noqa: F841
+    theirs = con.sql(m.SQL).fetchall()
+    key = lambda r: tuple(map(str, r))
+    mine = [tuple(r) for r in m.mix(df).select("doc_id", *m.OUTPUTS, "source").collect()]
+    assert sorted([r[:-1] for r in mine], key=key) == sorted(theirs, key=key)
+    by = {}
+    for _, size, _, target, taken, _, source in mine:
+        by.setdefault(source, [target, 0])[1] += taken
+        assert taken <= 2 * size
+    assert all(abs(a - b) <= 0.5 for a, b in by.values()) and by["tiny"][1] == 6
+
+
+def test_small_sources_beside_a_corpus(spark):
+    """The sources of 3, 90 and 500 words beside 600,000."""
+    small = {"a3": 3, "a90": 90, "a500": 500}
+    rows = [(k, " ".join(["w"] * 1000), "big") for k in range(600)] + [(1000 + i, " ".join(["w"] * n), s) for i, (s, n) in enumerate(small.items())]
+    got = {r.source: r for r in m.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source").agg(m.F.sum("taken").alias("taken"), m.F.max("target").alias("target")).collect()}
+    assert all(got[s].target == got[s].taken == 2 * n for s, n in small.items()) and abs(got["big"].taken - got["big"].target) <= 0.5
+
+
+def test_shards_hold_their_quotas(spark):
+    """In each shard of the mix a source has its quota of blocks, but for the documents that lie on two blocks."""
+    df = spark.range(6000).selectExpr("id as doc_id", "repeat('w ', 100 + 10 * cast(id % 20 as int)) as text", "array('a','b','c')[cast(pmod(hash(id), 3) as int)] as source")
+    out = m.expand(df, shard_col="part")
+    held = {(r.source, r.part): r.n for r in out.groupBy("source", "part").agg(m.F.sum(m.word_count(m.F.col("text"))).alias("n")).collect()}
+    aims = m.targets(df.groupBy("source").agg(m.F.sum(m.word_count(m.F.col("text"))).alias("source_size")))
+    block = {r.idx: (r.source, r.block) for r in aims.collect()}
+    seats = {(r.idx, r.shard): r.seats for r in m.quotas(aims).collect()}
+    for (idx, shard), upto in seats.items():
+        source, size = block[idx]
+        quota = (upto - seats.get((idx, shard - 1), 0)) * size
+        assert held.get((source, shard), 0) == pytest.approx(quota, rel=0.25)
+
+
+def test_clashing_columns(spark):
+    names = ["block", "chosen", "_s", "_start", "_order", "_bucket", "size", "target", "taken", "passes", "pieces", "row", "rounds", "shard", "start", "end", "spans", "place", "cut", "upto", "before", "b", "s"]
+    df = spark.createDataFrame([(k, f"a b c {k}", "ab"[k % 2], *range(len(names))) for k in range(20)], ["doc_id", "text", "source", *names])
+    mixed, out = m.mix(df), m.expand(df)
+    assert mixed.count() == 20 and set(mixed.columns) == {*df.columns, "source_size"}
+    assert out.columns == df.columns and all(tuple(r[3:]) == tuple(range(len(names))) for r in out.collect())
