@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,21 +50,28 @@ def remove(spark: SparkSession, path: str) -> None:
     system.delete(at, True)
 
 
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS, BATCH_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def staged(df: DataFrame, tag: str, batch_rows: int = 1000) -> DataFrame:
-    """Writes df to the shared folder and rereads it, which cuts the lineage: lost executors cost no recomputation.
+@contextmanager
+def batches_of(spark: SparkSession, rows: int, size: int = 16 << 20) -> Iterator[None]:
+    """Arrow batches of so many rows and bytes at most, which bounds what JVM and Python hold of long texts."""
+    before = {k: spark.conf.get(k) for k in (BATCH_ROWS, BATCH_BYTES)}
+    try:
+        spark.conf.set(BATCH_ROWS, rows)
+        spark.conf.set(BATCH_BYTES, size)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
-    Meanwhile Arrow batches hold batch_rows rows at most, which bounds what JVM and Python hold of long texts.
-    """
+
+def staged(df: DataFrame, tag: str, batch_rows: int = 1000) -> DataFrame:
+    """Writes df to the shared folder and rereads it, which cuts the lineage: lost executors cost no recomputation."""
     spark = df.sparkSession
-    path, before = new_path(spark, tag), spark.conf.get(BATCH_ROWS)
-    spark.conf.set(BATCH_ROWS, min(batch_rows, int(before)) if int(before) > 0 else batch_rows)
-    try:
+    path = new_path(spark, tag)
+    with batches_of(spark, batch_rows):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(BATCH_ROWS, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out

@@ -6,13 +6,18 @@ line by the version's fields and the content by its declared length, and makes t
 form, the type (response for archived HTTP messages, revisit for payloads that another record holds, resource for anything else), block
 and payload digests, and the headers that carry over.
 
-Archives are written with Spark's own text writer, whose record separator is the format's (a line end in ARC, two in WARC), and read back
-as binary files. So they live wherever the cluster's shared folder does, are committed task by task, and survive lost executors. A file
-holds RECORDS records at most and is gzipped as a whole.
+Archives have one gzip member a record, so a record can be read by its place alone, and begin with the record that describes them (filedesc
+in ARC, warcinfo in WARC). A file ends after RECORDS records or FILE_BYTES of content. Files are written by Spark's own text writer, a row
+each, whose separator is the zero byte that ends such a member (the top byte of a length below 16 MiB; after a longer record stands an empty
+member). So they live wherever the cluster's shared folder does, are committed task by task, and survive lost executors. They are read back
+as binary files, one member at a time.
 
-Revisits: equal payloads of LEAST bytes or more are one response, that with the largest page_id, and the others refer to it. The largest
-is found by a partial aggregate over digests; the join back has slim rows on one side, and adaptive execution can split a hot digest on
-the other.
+A record's identifier is made of where it stood (file, member, number), and of the page's id, which can be read back; so repeated rows have
+identifiers of their own.
+
+Revisits: equal payloads of LEAST bytes or more are one response, that with the largest page_id (of several, one of them), and the others
+refer to it. It is found by a partial aggregate over digests. Digests that repeat are broadcast if they are few, counted; else they meet in
+a join whose hot digests adaptive execution can split.
 
 Defined cases: a null html is an empty payload; a null url becomes one of the .invalid domain; white space and control characters in a
 url are percent-encoded; a null page_id is kept as null, and never the page that others refer to while there is another id; repeated
@@ -21,19 +26,21 @@ page_ids each have a record; an empty table gives no rows. Columns other than pa
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockmill.llm.common import new_path, table
+from blockmill.llm.common import batches_of, new_path, remove, small, staged, table
 
 LEAST = 1000
 RECORDS = 4000  # of one archive file
+FILE_BYTES = 32 << 20  # of its content, or one record
+STEP = 1 << 16  # bytes unpacked at a time
 #: fixed field names of the two versions' header lines
 FIELDS = {
     1: ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"],
@@ -41,23 +48,20 @@ FIELDS = {
 }
 DATE = "20200101000000"
 SOFTWARE = "blockmill"
-RECORD = "url string, page_id long, date string, mime string, payload binary, digest string, head binary, kind string"
+RECORD = "url string, page_id long, date string, mime string, extra string, payload binary, digest string, head binary, kind string, place string"
+NONE = ("-", "", "0.0.0.0")
 
 
-def record_id(page_id: Column, digest: Column) -> Column:
-    """A version 8 identifier made of the digest's first 56 bits and the page's id, which can be read back.
+def record_id(page_id: int | None, place: str) -> str:
+    """A version 8 identifier made of 56 bits of the record's place (14 hex digits) and the page's id, which can be read back.
 
-    In order: 48 bits of the digest, the version, 8 more of the digest, whether the id is null, its top 3 bits, the variant, a spare bit,
+    In order: 48 bits of the place, the version, 8 more of the place, whether the id is null, its top 3 bits, the variant, a spare bit,
     its other 61 bits.
     """
-    number = F.coalesce(page_id, F.lit(0)).cast("long")
-    flags = F.shiftrightunsigned(number, 61) + F.when(page_id.isNull(), 8).otherwise(0)
-    low = F.lower(F.hex(number.bitwiseAND(F.lit((1 << 61) - 1)).bitwiseOR(F.lit(-(1 << 63)))))
-    part = lambda x, at, n: F.substring(x, at, n)
-    return F.concat(
-        F.lit("<urn:uuid:"), part(digest, 1, 8), F.lit("-"), part(digest, 9, 4), F.lit("-8"), part(digest, 13, 2), F.lower(F.hex(flags)),
-        F.lit("-"), part(low, 1, 4), F.lit("-"), part(low, 5, 12), F.lit(">"),
-    )
+    number = (page_id or 0) & ((1 << 64) - 1)
+    flags = number >> 61 | (8 if page_id is None else 0)
+    low = f"{number & ((1 << 61) - 1) | 1 << 63:016x}"
+    return f"<urn:uuid:{place[:8]}-{place[8:12]}-8{place[12:14]}{flags:x}-{low[:4]}-{low[4:]}>"
 
 
 def page_of(identifier: str) -> int | None:
@@ -69,17 +73,58 @@ def page_of(identifier: str) -> int | None:
     return number - (1 << 64) if number >> 63 else number
 
 
-def arc_rows(pages: DataFrame, version: int = 1) -> DataFrame:
-    """page_id, url and html as ARC records (string column value; its bytes are the archive's)."""
-    html = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    url = F.coalesce("url", F.concat(F.lit("http://unknown.invalid/"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))))
-    url = F.regexp_replace(url, r"[\p{Cntrl}\s]", "%20")
-    own_id = F.when(F.col("page_id").isNotNull(), F.concat(F.lit("X-Page-Id: "), F.col("page_id").cast("string"), F.lit("\r\n"))).otherwise(F.lit(""))
-    head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\n"), own_id, F.lit("Content-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"))
-    length = F.octet_length(F.encode(head, "UTF-8")) + F.octet_length(html)
-    middle = F.lit(" 0.0.0.0 " + DATE + " text/html ") if version == 1 else F.concat(F.lit(" 0.0.0.0 " + DATE + " text/html 200 "), F.sha1(html), F.lit(" - 0 pages.arc "))
-    line = F.concat(url, middle, length.cast("string"), F.lit("\n"))
-    return pages.select(F.concat(line.cast("binary"), head.cast("binary"), html).cast("string").alias("value"))
+def member(record: bytes) -> bytes:
+    """A record as gzip, ending in a zero byte."""
+    out = b""
+    for part in (record, b""):
+        c = zlib.compressobj(1, zlib.DEFLATED, 31)
+        out += c.compress(part) + c.flush()
+        if out[-1] == 0:
+            break
+    return out
+
+
+def members(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """The place and content of each gzip member."""
+    at = 0
+    while at < len(data):
+        start, d, parts = at, zlib.decompressobj(31), []
+        while not d.eof:
+            piece = data[at : at + STEP]
+            if not piece:
+                raise ValueError(f"gzip member at {start} ends early")
+            parts.append(d.decompress(piece))
+            at += len(piece)
+        at -= len(d.unused_data)
+        yield start, b"".join(parts)
+
+
+def archives(records: Iterable[tuple[bytes, str]], opening) -> Iterator[pa.RecordBatch]:
+    """Files (column value, binary) of the given (record, identifier); each begins with what opening makes of its first identifier.
+
+    A record may hold b"%FILE%" in place of the identifier of the file's own first record.
+    """
+    out, n, size, own = [], 0, 0, ""
+
+    def batch() -> pa.RecordBatch:
+        return pa.record_batch([pa.array([b"".join(out)[:-1]], pa.binary())], names=["value"])  # the writer adds the last byte
+
+    for record, identifier in records:
+        if n and (n >= RECORDS or size + len(record) > FILE_BYTES):
+            yield batch()
+            out, n, size = [], 0, 0
+        if not n:
+            own, head = opening(identifier)
+            out.append(member(head))
+        out.append(member(record.replace(b"%FILE%", own.encode(), 1) if own else record))
+        n, size = n + 1, size + len(record)
+    if n:
+        yield batch()
+
+
+def _write(rows: DataFrame, path: str) -> None:
+    rows = rows.select(F.col("value").cast("string"))
+    rows.write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
 
 def filedesc(version: int = 1) -> str:
@@ -89,26 +134,38 @@ def filedesc(version: int = 1) -> str:
     return (own + f"{len(body)}\n" if version == 1 else own + f"200 - - 0 pages.arc {len(body)}\n") + body
 
 
+def arc_record(page_id: int | None, url: str, html: bytes, version: int = 1) -> bytes:
+    own = f"X-Page-Id: {page_id}\r\n" if page_id is not None else ""
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\n{own}Content-Length: {len(html)}\r\n\r\n".encode()
+    middle = f" 0.0.0.0 {DATE} text/html" if version == 1 else f" 0.0.0.0 {DATE} text/html 200 {hashlib.sha1(html).hexdigest()} - 0 pages.arc"
+    return f"{url}{middle} {len(head) + len(html)}\n".encode() + head + html + b"\n"
+
+
 def write_arc(pages: DataFrame, path: str, version: int = 1) -> None:
-    """ARC files of RECORDS records at most; the first record of each is the filedesc."""
-    numbered = arc_rows(pages, version).withColumn("n", F.monotonically_increasing_id())
-    # the writer starts a new file after RECORDS lines, so a filedesc before every (RECORDS - 1)th record begins each file
-    first = F.pmod(F.col("n").bitwiseAND(F.lit((1 << 33) - 1)), F.lit(RECORDS - 1)) == 0
-    rows = numbered.select(F.explode(F.when(first, F.array(F.lit(filedesc(version)), F.col("value"))).otherwise(F.array("value"))).alias("value"))
-    _write(rows, path, "\n")
+    """ARC files of page_id, url and html."""
+    url = F.coalesce("url", F.concat(F.lit("http://unknown.invalid/"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))))
+    rows = pages.select("page_id", F.regexp_replace(url, r"[\p{Cntrl}\s]", "%20").alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("html"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        records = ((arc_record(p.as_py(), u.as_py(), h.as_py(), version), "") for b in batches for p, u, h in zip(b["page_id"], b["url"], b["html"], strict=True))
+        yield from archives(records, lambda _: ("", filedesc(version).encode() + b"\n"))
 
-def _write(rows: DataFrame, path: str, separator: str) -> None:
-    rows.write.option("lineSep", separator).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", RECORDS).text(path)
+    with batches_of(pages.sparkSession, 256):
+        _write(rows.mapInArrow(run, "value binary"), path)
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+
 
+def fields_of(line: str) -> list[str]:
+    """A filedesc line tells the version by its number of fields."""
+    return FIELDS[2] if len(line.split(" ")) == len(FIELDS[2]) else FIELDS[1]
 
-def parse_arc(data: bytes) -> Iterator[dict]:
-    """The records of one ARC file as dicts of the header's fields, and content."""
-    at, fields = 0, FIELDS[1]
+
+def parse_arc(data: bytes, fields: list[str] | None = None) -> Iterator[dict]:
+    """The records of unpacked ARC content as dicts of the header's fields, and content. fields: those in force before it."""
+    at, fields = 0, fields or FIELDS[1]
     while at < len(data):
         end = data.index(b"\n", at)
         line = data[at:end].decode("utf-8")
@@ -116,8 +173,7 @@ def parse_arc(data: bytes) -> Iterator[dict]:
             at = end + 1
             continue
         if line.startswith("filedesc://"):
-            # its own line tells the version by its number of fields
-            fields = FIELDS[2] if len(line.split(" ")) == len(FIELDS[2]) else FIELDS[1]
+            fields = fields_of(line)
         parts = line.split(" ")
         if len(parts) != len(fields):
             raise ValueError(f"ARC header of {len(parts)} fields: {line[:200]}")
@@ -129,73 +185,99 @@ def parse_arc(data: bytes) -> Iterator[dict]:
         at = end + 1 + size
 
 
+def arc_records(path: str, data: bytes) -> Iterator[dict]:
+    """What an ARC file's records (but its filedesc) say, as the converter needs it."""
+    fields = FIELDS[1]
+    for start, unpacked in members(data):
+        for n, r in enumerate(parse_arc(unpacked, fields)):
+            fields = list(r)[:-1]
+            if r["URL"].startswith("filedesc://"):
+                continue  # the converter's warcinfo stands for it
+            row = {"url": r["URL"], "page_id": None, "date": r["Archive-date"], "mime": r["Content-type"], "place": hashlib.sha1(f"{path}:{start}:{n}".encode()).hexdigest()[:14]}
+            if r["content"].startswith(b"HTTP/"):
+                head, _, payload = r["content"].partition(b"\r\n\r\n")
+                own = [h[11:] for h in head.split(b"\r\n") if h.lower().startswith(b"x-page-id: ")]
+                row |= {"page_id": int(own[0]) if own else None, "payload": payload, "head": head + b"\r\n\r\n", "kind": "response"}
+            else:
+                row |= {"payload": r["content"], "head": b"", "kind": "resource"}
+            kept = (("WARC-IP-Address", "IP-address"), ("ARC-Result-Code", "Result-code"), ("ARC-Checksum", "Checksum"), ("ARC-Location", "Location"))
+            row["extra"] = "".join(f"{name}: {r[field]}\r\n" for name, field in kept if r.get(field, "-") not in NONE)
+            yield row | {"digest": hashlib.sha1(row["payload"]).hexdigest()}
+
+
+SCHEMA = pa.schema([("url", pa.string()), ("page_id", pa.int64()), ("date", pa.string()), ("mime", pa.string()), ("extra", pa.string()), ("payload", pa.binary()), ("digest", pa.string()), ("head", pa.binary()), ("kind", pa.string()), ("place", pa.string())])
+
+
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows: list[dict] = []
+    held = 0
     for batch in batches:
-        for content in batch["content"]:
-            rows: list[dict] = []
-            held = 0
-            for r in parse_arc(gzip.decompress(content.as_py())):
-                row = {"url": r["URL"], "page_id": None, "date": r["Archive-date"], "mime": r["Content-type"]}
-                if r["URL"].startswith("filedesc://"):
-                    continue  # what it says is in the converter's own warcinfo
-                if r["content"].startswith(b"HTTP/"):
-                    head, _, payload = r["content"].partition(b"\r\n\r\n")
-                    own = [h[11:] for h in head.split(b"\r\n") if h.lower().startswith(b"x-page-id: ")]
-                    row |= {"page_id": int(own[0]) if own else None, "payload": payload, "head": head + b"\r\n\r\n", "kind": "response"}
-                else:
-                    row |= {"payload": r["content"], "head": b"", "kind": "resource"}
-                row["digest"] = hashlib.sha1(row["payload"]).hexdigest()
+        for path, content in zip(batch["path"], batch["content"], strict=True):
+            for row in arc_records(path.as_py(), content.as_py()):
                 rows.append(row)
-                held += len(r["content"])
-                if held > 8 << 20:
-                    yield _record_batch(rows)
+                held += len(row["payload"])
+                if held > 4 << 20 or len(rows) == 1000:
+                    yield pa.RecordBatch.from_pylist(rows, schema=SCHEMA)
                     rows, held = [], 0
-            if rows:
-                yield _record_batch(rows)
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema=SCHEMA)
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """digest, page_id and place of the responses of LEAST bytes or more."""
+    for batch in batches:
+        for path, content in zip(batch["path"], batch["content"], strict=True):
+            rows = [(r["digest"], r["page_id"], r["place"]) for r in arc_records(path.as_py(), content.as_py()) if r["kind"] == "response" and len(r["payload"]) >= LEAST]
+            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string()))], names=["digest", "page_id", "place"])
 
 
-SCHEMA = pa.schema([("url", pa.string()), ("page_id", pa.int64()), ("date", pa.string()), ("mime", pa.string()), ("payload", pa.binary()), ("digest", pa.string()), ("head", pa.binary()), ("kind", pa.string())])
+def warc_record(r: dict) -> tuple[bytes, str]:
+    """The WARC record of one of _records, with keeper and keeper_place, and its identifier."""
+    again = r["keeper_place"] is not None and r["keeper_place"] != r["place"]
+    kind = "revisit" if again else r["kind"]
+    block = r["head"] if again else r["head"] + r["payload"]
+    d, identifier = r["date"], record_id(r["page_id"], r["place"])
+    lines = (
+        f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {identifier}\r\nWARC-Warcinfo-ID: %FILE%\r\n"
+        f"WARC-Date: {d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z\r\nWARC-Target-URI: {r['url']}\r\n{r['extra']}"
+        f"WARC-Payload-Digest: sha1:{r['digest'].upper()}\r\nWARC-Block-Digest: sha1:{hashlib.sha1(block).hexdigest().upper()}\r\n"
+    )
+    if again:
+        lines += f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: {record_id(r['keeper'], r['keeper_place'])}\r\n"
+    mime = r["mime"] if kind == "resource" else "application/http; msgtype=response"
+    return f"{lines}Content-Type: {mime}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n", identifier
 
 
-def _record_batch(rows: list[dict]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(rows, schema=SCHEMA)
+def warcinfo(identifier: str) -> tuple[str, bytes]:
+    """The identifier and the record that begin a file, of its first record's identifier."""
+    own = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, identifier)}>"
+    body = f"software: {SOFTWARE}\r\nformat: WARC File Format 1.1\r\ndescription: converted from ARC\r\n"
+    stamp = f"{DATE[:4]}-{DATE[4:6]}-{DATE[6:8]}T00:00:00Z"
+    return own, f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: {own}\r\nWARC-Date: {stamp}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(body)}\r\n\r\n{body}\r\n\r\n".encode()
 
 
-def warc_value(identifier: Column, refers: Column) -> Column:
-    """A WARC record without its last two line ends, from columns url, date, kind, head, payload, digest and the two identifiers."""
-    revisit = F.col("kind") == "revisit"
-    block = F.when(revisit, F.col("head")).otherwise(F.concat("head", "payload"))
-    d = F.col("date")
-    stamp = F.concat(F.substring(d, 1, 4), F.lit("-"), F.substring(d, 5, 2), F.lit("-"), F.substring(d, 7, 2), F.lit("T"), F.substring(d, 9, 2), F.lit(":"), F.substring(d, 11, 2), F.lit(":"), F.substring(d, 13, 2), F.lit("Z"))
-    mime = F.when(F.col("kind") == "resource", F.col("mime")).otherwise(F.lit("application/http; msgtype=response"))
-    lines = F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: "), F.col("kind"),
-        F.lit("\r\nWARC-Record-ID: "), identifier,
-        F.lit("\r\nWARC-Date: "), stamp,
-        F.lit("\r\nWARC-Target-URI: "), F.col("url"),
-        F.lit("\r\nWARC-Payload-Digest: sha1:"), F.upper("digest"),
-        F.lit("\r\nWARC-Block-Digest: sha1:"), F.upper(F.sha1(block)),
-        F.when(revisit, F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), refers)).otherwise(F.lit("")),
-        F.lit("\r\nContent-Type: "), mime,
-        F.lit("\r\nContent-Length: "), F.octet_length(block).cast("string"),
-        F.lit("\r\n\r\n"),
-    )
-    return F.concat(lines.cast("binary"), block).cast("string").alias("value")
+def _warcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from archives((warc_record(r) for b in batches for k in range(0, b.num_rows, 64) for r in b.slice(k, 64).to_pylist()), warcinfo)
 
 
 def convert(arc_files: DataFrame, path: str) -> None:
-    """Reads ARC files (column content) and writes the WARC files of all their records to path."""
-    records = arc_files.mapInArrow(_records, RECORD)  # read twice: once for the digests alone, which costs less than keeping the payloads
-    long = (F.octet_length("payload") >= LEAST) & (F.col("kind") == "response")
-    kept = records.where(long).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1 and keeper is not null").select(F.col("digest").alias("_d"), "keeper")
-    joined = records.join(kept, long & (F.col("digest") == F.col("_d")), "left")
-    again = F.col("keeper").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("keeper")))
-    typed = joined.withColumn("kind", F.when(again, F.lit("revisit")).otherwise(F.col("kind")))
-    _write(typed.select(warc_value(record_id(F.col("page_id"), F.col("digest")), record_id(F.col("keeper"), F.col("digest")))), path, "\r\n\r\n")
+    """Reads ARC files (columns path, content) and writes the WARC files of all their records to path."""
+    spark = arc_files.sparkSession
+    with batches_of(spark, 256):
+        # read twice: once for the digests alone, which costs less than keeping the payloads
+        slim = arc_files.mapInArrow(_digests, "digest string, page_id long, place string")
+        best = F.max(F.struct("page_id", "place"))  # null ids are the least
+        kept = slim.groupBy("digest").agg(best.alias("k"), F.count("*").alias("n")).where("n > 1 and k.page_id is not null")
+        kept = staged(kept.select("digest", F.col("k.page_id").alias("keeper"), F.col("k.place").alias("keeper_place")), "warc-kept", 256)
+        records = arc_files.mapInArrow(_records, RECORD)
+        long = (F.octet_length("payload") >= LEAST) & (F.col("kind") == "response")
+        own = small(kept.withColumnRenamed("digest", "kept_digest"), 1 << 17)
+        joined = records.join(own, long & (F.col("digest") == F.col("kept_digest")), "left").drop("kept_digest")
+        _write(joined.mapInArrow(_warcs, "value binary"), path)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The records of one WARC file: headers and block."""
+    """The records of unpacked WARC content: headers and block."""
     at = 0
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
@@ -212,7 +294,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch["content"]:
             rows = []
-            for h, block in parse_warc(gzip.decompress(content.as_py())):
+            for h, block in (r for _, unpacked in members(content.as_py()) for r in parse_warc(unpacked)):
+                if h["WARC-Type"] == "warcinfo":
+                    continue
                 digest = h["WARC-Payload-Digest"].removeprefix("sha1:").lower()
                 head, _, payload = block.partition(b"\r\n\r\n")
                 if h["WARC-Type"] == "revisit":
@@ -241,4 +325,5 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     arc, warc = new_path(spark, "arc"), new_path(spark, "warc")
     write_arc(pages, arc)
     convert(files(spark, arc), warc)
+    remove(spark, arc)
     return read_warc(files(spark, warc)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")

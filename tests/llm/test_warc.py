@@ -1,4 +1,3 @@
-import gzip
 import hashlib
 
 from pyspark.sql import functions as F
@@ -44,7 +43,10 @@ def test_identifiers_and_headers(spark):
     assert len({r.record_id for r in got}) == 4 and {r.date for r in got} == {"2020-01-01T00:00:00Z"}
     assert {r.page_id: r.refers_to for r in got} == {2**62: 2**62 + 2, 2**62 + 1: 2**62 + 2, 2**62 + 2: None, -(2**63): None}
     for f in warc.files(spark, out).collect():
-        for h, block in warc.parse_warc(gzip.decompress(f["content"])):
+        records = [r for _, unpacked in warc.members(f["content"]) for r in warc.parse_warc(unpacked)]
+        assert records[0][0]["WARC-Type"] == "warcinfo" and len(list(warc.members(f["content"]))) == len(records)
+        for h, block in records[1:]:
+            assert h["WARC-Warcinfo-ID"] == records[0][0]["WARC-Record-ID"]
             assert h["WARC-Block-Digest"] == "sha1:" + hashlib.sha1(block).hexdigest().upper()
             assert ("WARC-Refers-To" in h) == (h["WARC-Type"] == "revisit")
 
@@ -71,3 +73,27 @@ def test_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]
     got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.op7_warc(spark, sf).collect()]
     assert sorted(got) == sorted(expected(rows))
+
+
+def test_repeated_rows_have_identifiers_of_their_own(spark):
+    pages = spark.createDataFrame([(7, "http://h/p", "z" * 2000)] * 4 + [(3, "http://h/q", "z" * 2000), (9, "http://h/r", "short"), (9, "http://h/r", "short")], "page_id long, url string, html string")
+    got, _ = run(spark, pages)
+    assert len({r.record_id for r in got}) == 7
+    assert sorted((r.page_id, r.record_type, r.refers_to or 0) for r in got if r.page_id != 9) == [(3, "revisit", 7), (7, "response", 0), *[(7, "revisit", 7)] * 3]
+    assert [r.record_type for r in got if r.page_id == 9] == ["response"] * 2
+
+
+def test_files_are_bounded_by_bytes_and_fields_carry_over(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 5000)
+    records = [(bytes([65 + k]) * 2000, f"<urn:uuid:{k}>") for k in range(7)]
+    files = [bytes(b["value"][0].as_py()) + b"\0" for b in warc.archives(records, warc.warcinfo)]
+    got = [[m for _, m in warc.members(f)] for f in files]
+    assert [len(g) for g in got] == [3, 3, 3, 2] and [m for g in got for m in g[1:]] == [r for r, _ in records]
+    big = warc.member(b"x" * (17 << 20))
+    assert big[-1] == 0 and b"".join(m for _, m in warc.members(big)) == b"x" * (17 << 20)
+    two = b"http://a/ 1.2.3.4 19990101000000 text/html 302 abc http://b/ 0 f.arc 3\nxyz\n"
+    row = next(warc.arc_records("f", warc.member(warc.filedesc(2).encode() + b"\n") + warc.member(two)))
+    assert row["extra"] == "WARC-IP-Address: 1.2.3.4\r\nARC-Result-Code: 302\r\nARC-Checksum: abc\r\nARC-Location: http://b/\r\n"
+    record, _ = warc.warc_record(row | {"keeper": None, "keeper_place": None})
+    h, block = next(warc.parse_warc(record))
+    assert h["WARC-IP-Address"] == "1.2.3.4" and h["WARC-Type"] == "resource" and block == b"xyz"
