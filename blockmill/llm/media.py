@@ -6,15 +6,19 @@ bits for each place in time. Two recordings match at an offset if over the overl
 recording, all), at most MAX_ERROR of all bits differ, and at most MAX_SHARE of those that would by chance. They align at the matching
 offset of most equal integers, then of fewest bit errors.
 
-Searches go in blocks of the stated queries (QUERY_BLOCK at most are broadcast at a time) against all rows. Every offset of every pair is
+Rows of one fingerprint are one class, which is searched once and counts its rows. Searches go in blocks of the stated queries (QUERY_BLOCK at
+most in a broadcast, WAVE blocks in a plan) against all rows. Every offset of every pair is
 held against the rule: bit errors at all offsets are a correlation of the bits, made by Fourier transforms of whole batches, and what
 passes is verified bit by bit. No integer need be equal. Nothing is emitted but matches.
 
 The corpus tables hold no audio, so the query renders each row of embeddings as a recording of one tone a component; vectors that are
 nearly equal then sound nearly the same.
 
+Of each query row, alignments() gives how many rows and classes align with it, and the class of fewest bit errors, in aggregates that are
+summed before they are shuffled; search() gives the pairs of classes themselves.
+
 Defined cases: null, empty or unreadable audio has no fingerprint and matches nothing; recordings too short for one integer likewise;
-repeated rows are searched and found each; an empty table gives no rows. Columns other than the id and the audio are not read.
+repeated rows are of one class and counted each; null ids are no queries, and are counted; an empty table gives no rows. Columns other than the id and the audio are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ import io
 import math
 import wave
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +41,8 @@ LOWEST_HZ, HIGHEST_HZ = 400.0, 1800.0
 MAX_ERROR = 0.25
 MAX_SHARE = 0.5
 MIN_OVERLAP = 12
-QUERY_BLOCK = 2048
+QUERY_BLOCK = 8192
+WAVE = 16
 CHUNK = 1 << 23  # pairs times offsets that are held at a time
 SPAN = 8  # frames that the widest filter sees
 #: (kind, first pitch class, pitch classes, frames): 16 filters of 2 bits each, made by rule
@@ -222,7 +228,7 @@ def search(queries: DataFrame, rows: DataFrame, id_col: str) -> DataFrame:
     """Of every query (id_col, fingerprint) the rows it aligns with: query_id, id_col, offset, equal, overlap, error_rate."""
     total = queries.count()
     blocks = max(1, math.ceil(total / (QUERY_BLOCK // 2)))  # hashed into blocks of half the bound on average
-    out = None
+    waves, out = [], None
     schema = f"query_id long, `{id_col}` long, offset int, equal int, overlap int, error_rate double"
     for k in range(blocks):
         own = queries.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == k).toArrow()
@@ -238,7 +244,31 @@ def search(queries: DataFrame, rows: DataFrame, id_col: str) -> DataFrame:
 
         part = rows.select(F.col(id_col).cast("long").alias(id_col), "fingerprint").mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
-    return out
+        if blocks > WAVE and (k % WAVE == WAVE - 1 or k == blocks - 1):
+            waves.append(staged(out, f"chroma-wave{k // WAVE}"))
+            out = None
+    return reduce(DataFrame.unionByName, waves) if waves else out
+
+
+def alignments(queries: DataFrame, rows: DataFrame, id_col: str) -> DataFrame:
+    """One row per row of queries (id_col, fingerprint), itself among rows: query_id, class_id (the smallest id of its fingerprint, null if it
+    has none), n_matches (rows that align with it, but for itself), n_classes (their fingerprints, its own included), and best_class, best_offset
+    and best_error of the other class of fewest bit errors."""
+    classes = staged(rows.where(F.size("fingerprint") > 0).groupBy("fingerprint").agg(F.min(F.col(id_col).cast("long")).alias("class_id"), F.count("*").alias("copies")), "chroma-classes")
+    asked = staged(queries.select(F.col(id_col).cast("long").alias("query_id"), "fingerprint").join(classes, "fingerprint", "left"), "chroma-asked")
+    own = asked.where("class_id is not null").select("class_id", "fingerprint").distinct()
+    found = search(own, classes, "class_id").join(classes.select("class_id", "copies"), "class_id")
+    best = F.min(F.when(F.col("class_id") != F.col("query_id"), F.struct("error_rate", "class_id", "offset")))
+    per = found.groupBy("query_id").agg(F.sum("copies").alias("n"), F.count("*").alias("n_classes"), best.alias("best")).withColumnRenamed("query_id", "own")
+    return asked.join(per, asked["class_id"] == per["own"], "left").select(
+        "query_id",
+        "class_id",
+        F.coalesce(F.col("n") - 1, F.lit(0)).alias("n_matches"),
+        F.coalesce("n_classes", F.lit(0)).alias("n_classes"),
+        F.col("best.class_id").alias("best_class"),
+        F.col("best.offset").alias("best_offset"),
+        F.col("best.error_rate").alias("best_error"),
+    )
 
 
 RATE = 4000
@@ -277,6 +307,4 @@ def recordings(vectors: DataFrame) -> DataFrame:
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = staged(fingerprints(recordings(table(spark, sf_dir, "embeddings")), "vec_id"), "chroma")
-    found = search(prints.where("vec_id % 100 = 0"), prints, "vec_id")
-    matches = F.sort_array(F.collect_list(F.struct("vec_id", "offset", "equal", "overlap", "error_rate")))
-    return found.groupBy("query_id").agg(F.count("*").alias("n_matches"), matches.alias("matches"))
+    return alignments(prints.where("vec_id % 100 = 0"), prints, "vec_id")

@@ -123,3 +123,34 @@ def test_recall_by_bit_errors_at_all_offsets():
     assert got == [{k for k in range(5) if by_bit_errors(queries[k], p)} for p in rows]
     assert got[:6] == [{0}, {1}, {2}, {3}, {4}, {0}] and all(got[7 + k] == {k % 3} for k in range(30))
     assert {s for found in block.match_all(rows[7:]) for _, s, *_ in found} == {-9}
+
+
+def test_alignments_count_all_rows(spark, monkeypatch):
+    """Counts by classes equal those of all pairs of rows, by brute force over all offsets, whatever the blocks; other columns do not matter."""
+    rng = np.random.default_rng(12)
+    base = [rng.integers(0, 1 << 32, 40, dtype=np.uint32) for _ in range(4)]
+    prints = {}
+    for k in range(60):
+        p = base[k % 4].copy()
+        if k % 3:
+            p ^= np.uint32(1) << np.uint32(k % 5)
+        prints[k * 50] = p if k % 7 else p[5:]
+    prints[90001] = np.empty(0, np.uint32)
+    prints[90000] = None
+    rows = [(i, None if p is None else p.view(np.int32).tolist(), i, "x") for i, p in prints.items()] + [(None, base[0].view(np.int32).tolist(), 1, "n")] * 2
+    df = spark.createDataFrame(rows, "vec_id long, fingerprint array<int>, class_id long, copies string").select("vec_id", "fingerprint")
+    every = [(i, np.array(p or [], np.int32).view(np.uint32)) for i, p, *_ in rows]
+    want = {q: sum(by_bit_errors(prints[q], p) for i, p in every) - 1 for q in prints if q % 100 == 0 and prints[q] is not None and len(prints[q])}
+    got = {r.query_id: r for r in m.alignments(df.where("vec_id % 100 = 0"), df, "vec_id").collect()}
+    assert {q: r.n_matches for q, r in got.items() if r.class_id is not None} == want and got[90000].n_matches == got[90000].n_classes == 0
+    for r in got.values():
+        if r.best_class is not None:
+            assert m.bit_errors(prints[r.query_id], prints[r.best_class], r.best_offset)[1] == r.best_error > 0 or len(prints[r.best_class]) != len(prints[r.query_id])
+    monkeypatch.setattr(m, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(m, "WAVE", 2)
+    assert {r.query_id: tuple(r) for r in m.alignments(df.where("vec_id % 100 = 0"), df, "vec_id").collect()} == {q: tuple(r) for q, r in got.items()}
+
+
+def test_op6_on_the_table(spark):
+    got = m.op6_media(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.query_id for r in got) == [r.vec_id for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id % 100 = 0").orderBy("vec_id").collect()]
