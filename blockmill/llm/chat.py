@@ -150,4 +150,5 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     probe = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, LEARNT, probe)], "conv_id long, turn long, role string, text string")
-    return digests(format_conversations(rows.unionByName(own)))
+    # apart, so that a conversation -7 of the table's own stays one of its own
+    return digests(format_conversations(rows)).unionByName(digests(format_conversations(own)))

@@ -32,12 +32,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blockmill.llm.common import components, staged, table
+from blockmill.llm.common import components, release, staged, table
 
 LINK = 0.98
 SINE = float(np.sqrt(1 - LINK * LINK))  # of the link angle
 APART = 2 * LINK * LINK - 1  # the cosine of twice the link angle
-CENTRES = 256  # of a label at most
+CENTRES = 2048  # of a label at most
 ALL_CENTRES = 1 << 15  # which bounds what is broadcast
 SHARD = 600  # vectors to a centre
 PROBES = 64  # further sampled vectors of a label, which say how often its vectors would be copied
@@ -84,8 +84,8 @@ def reach(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """
     sims = x @ c.T
     home = sims.argmax(axis=1)
-    far = np.sqrt(np.maximum(((c[:, None] - c[None]) ** 2).sum(axis=2), 0))
-    return home, sims[np.arange(len(x)), home][:, None] - sims <= SINE * far[home] + 1e-9
+    far = np.sqrt(np.maximum(2 - 2 * (c[np.unique(home)] @ c.T), 0))[np.unique(home, return_inverse=True)[1]]
+    return home, sims[np.arange(len(x)), home][:, None] - sims <= SINE * far + 1e-9
 
 
 def fitted(rows: list[tuple[int, bool, list[float]]]) -> np.ndarray | None:
@@ -104,11 +104,11 @@ def assign(nodes: DataFrame, centres: dict) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels, units = batch["label"].to_numpy(zero_copy_only=False), batch["unit"]
+            labels, units = np.array(batch["label"].to_pylist(), object), batch["unit"]
             out: list = [None] * batch.num_rows
-            for label in np.unique(labels):
+            for label in sorted(set(labels)):
                 at = np.flatnonzero(labels == label)
-                c = shared.value.get(int(label))
+                c = shared.value.get(label)
                 if c is None:
                     for i in at:
                         out[i] = [0]
@@ -222,14 +222,14 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     v = v.withColumn("top", F.when(fine, F.array_max(F.transform("e", F.abs)))).withColumn("ok", F.col("top") > 0)
     scaled = v.withColumn("e", F.when(F.col("ok"), F.transform("e", lambda c: c / F.col("top")))).withColumn("norm", F.when(F.col("ok"), norm))
     unit = scaled.select("vec_id", F.when(F.col("ok"), F.col("label")).alias("label"), F.when(F.col("ok"), F.transform("e", lambda c: c / F.col("norm"))).alias("unit"))
-    unit = unit.withColumn("label", F.when(F.col("unit").isNotNull(), F.xxhash64("label", F.size("unit"))))  # lengths differ: never compared
+    unit = unit.withColumn("label", F.when(F.col("unit").isNotNull(), F.concat_ws(":", "label", F.size("unit"))))  # lengths differ: never compared
     rows = staged(unit, "emb-unit")
     nodes = staged(
         rows.where("unit is not null").groupBy("label", "unit").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), "emb-nodes"
     )
     sample: dict[int, list] = {}
     for r in staged(centre_rows(nodes), "emb-centres").orderBy("label", "place").toLocalIterator():
-        sample.setdefault(int(r["label"]), []).append((r["n"], r["probe"], r["unit"]))
+        sample.setdefault(r["label"], []).append((r["n"], r["probe"], r["unit"]))
     centres = {k: c for k, rows_ in sample.items() if (c := fitted(rows_)) is not None}
     placed = staged(assign(nodes, centres), "emb-placed")
     members = placed.select("label", "node", "copies", "unit", F.posexplode("shards").alias("nth", "shard")).withColumn("home", F.col("nth") == 0).drop("nth")
@@ -248,6 +248,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     found = staged(cells.groupBy(*key).applyInPandas(_compare, "node long, links long, root long"), "emb-found")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(found.where("node <> root").select(F.col("node").alias("src"), F.col("root").alias("dst")), "emb")
+    release(placed)
     ends = nodes.join(links, "node", "left").join(joined, "node", "left").select(
         "label", "unit", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")
     )

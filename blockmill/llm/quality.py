@@ -8,7 +8,7 @@ sum over i<j of <v_i, v_j> x_i x_j = half of sum over f of (sum v_if x_i)^2 - su
 The machine is fitted on a bounded sample (PER_CLASS documents of each class, those with the smallest seeded hashes). Scoring is one
 narrow pass over every whole text; the model that is broadcast has a fixed size.
 
-Defined cases: a null text is an empty one, and has only statistics; repeated rows are scored alike, each once; an empty table gives no
+Defined cases: a null text is an empty one, and has only statistics; repeated rows are scored alike, each once, and learnt from once (of different texts of an id, from the smallest); an empty table gives no
 rows; without labelled rows of both classes every score is 1, so nothing is rejected. Labels, lang, source and doc_id are never inputs,
 and columns other than doc_id, text and the metadata are not read.
 """
@@ -184,7 +184,9 @@ def _inputs(docs: DataFrame) -> list:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed: int = SEED) -> Machine:
     """docs: doc_id, text and METADATA. labels: doc_id, quality. At most per_class labelled documents of each class outside fold 0."""
     ids = labelled_sample(labels, "quality", per_class, seed)
-    rows = docs.select("doc_id", *_inputs(docs)).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).toArrow()  # at most 2 * per_class rows
+    rows = docs.select("doc_id", *_inputs(docs)).join(F.broadcast(ids), "doc_id")
+    inputs = F.struct("text", *(c for c in METADATA if c in docs.columns))
+    rows = rows.groupBy("doc_id", "label").agg(F.min(inputs).alias("r")).select("doc_id", "label", "r.*").toArrow()  # at most 2 * per_class rows
     rows = rows.sort_by("doc_id")
     return fit_machine(rows["text"].to_pylist(), _metadata(rows), rows["label"].to_numpy().astype(float), seed=seed)
 

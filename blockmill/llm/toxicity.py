@@ -13,7 +13,7 @@ The labels may be fitted on a bounded sample (PER_CLASS documents of each class,
 that is broadcast is bounded by that sample. Scoring covers every whole text in one narrow pass.
 
 Defined cases: a null text is an empty one; a text without words has evidence 0 and gets the curve's value there; repeated rows are
-scored alike, each once; an empty table gives no rows; without labelled rows of both classes every score is 0.
+scored alike, each once, and learnt from once; an empty table gives no rows; without labelled rows of both classes every score is 0.
 Extra columns of the input, whatever their names, are never read.
 """
 
@@ -112,6 +112,7 @@ class Evidence:
                 total = np.concatenate([[0.0], np.cumsum(v)])
                 out[a:b, k] = (total[first[1:]] - total[first[:-1]]) / np.maximum(n, 1)
                 mean = (total[ends] - total[begin]) / np.minimum(WINDOW, n[doc])
+                mean[ends - begin < np.minimum(WINDOW, n[doc])] = -np.inf  # a text's first words, where longer windows follow
                 out[a:b, k + 1][full] = np.maximum.reduceat(mean, first[:-1][full])
         return out
 
@@ -243,7 +244,7 @@ def _counts(rows: DataFrame) -> Evidence:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed: int = SEED) -> Evidence:
     """docs: doc_id, text. labels: doc_id, toxic. Learns from at most per_class labelled documents of each class outside fold 0."""
     ids = labelled_sample(labels, "toxic", per_class, seed)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most 2 * per_class ids
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").distinct()  # at most 2 * per_class ids
     rows = staged(rows, "toxicity-sample")
     model = _counts(rows.where(F.col("fold") != CALIBRATE))
     shared = docs.sparkSession.sparkContext.broadcast(model)

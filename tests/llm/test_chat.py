@@ -63,3 +63,10 @@ def test_table(spark):
     rows += [(-7, 0, "user", probe), (-7, 1, "assistant", probe)]
     got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.op2_chat(spark, sf).collect()}
     assert got == expected(rows)
+
+
+def test_own_conversation_stays_apart(spark, tmp_path):
+    rows = [(-7, 0, "user", "mine"), (-7, 1, "assistant", None), (1, 0, "user", "x")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = chat.op2_chat(spark, str(tmp_path)).collect()
+    assert sorted((r.conv_id, r.n_turns, r.loss_chars) for r in got) == [(-7, 2, 0), (-7, 2, 21), (1, 1, 0)]

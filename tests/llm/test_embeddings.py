@@ -1,5 +1,4 @@
 import numpy as np
-import pytest
 
 from blockmill.llm import embeddings as e
 
@@ -82,11 +81,13 @@ def test_robust_pruning_keeps_degree_and_reach():
 
 
 def test_audit_against_brute_force(spark):
-    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    found, there = e.audit(df, e.near_duplicates(df), every=1)
-    assert found >= 0.9 * there
-    with pytest.raises(AssertionError):
-        assert found > there
+    df = spark.createDataFrame(cloud(np.random.default_rng(9), 900), "vec_id long, embedding array<float>, label int")
+    df = df.unionByName(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").selectExpr("vec_id + 1000 as vec_id", "slice(embedding, 1, 16) as embedding", "label"))
+    result = e.near_duplicates(df)
+    found, there = e.audit(df, result, every=1)
+    assert found == there == result.agg({"n_links": "sum"}).first()[0] > 0
+    lost = result.withColumn("n_links", result["n_links"] - 1)
+    assert e.audit(df, lost, every=1)[0] < there
 
 
 def all_links(x):
@@ -134,3 +135,19 @@ def test_two_dense_groups_are_linked(spark):
     for others in (0, 50, 200):
         got, parts, want = found(spark, np.concatenate([*groups, rng.normal(size=(others, 64))]))
         assert (got == want).all() and want.sum() == 39_800 and len(parts) == 1 + others
+
+
+def test_dense_clouds_lose_and_add_no_link(spark):
+    """One cloud of 2,000 vectors about as far apart as links reach, and three of 8,000 in all, in one label."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(3, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    cloud_ = lambda b, n: b + rng.normal(size=(n, 64)) * 0.145 / np.sqrt(64)
+    for x in (cloud_(base[0], 2000), np.concatenate([cloud_(b, n) for b, n in zip(base, (4000, 2500, 1500))])):
+        got, _, want = found(spark, x)
+        assert (got == want).all() and 0.2 < want.mean() / len(x) * (1 if len(x) == 2000 else 3) < 1.5
+
+
+def test_equal_label_hashes_are_no_matter(spark):
+    rows = [(1, [1.0, 0.0], 12), (2, [1.0, 0.0], 1), (3, [1.0, 0.0, 0.0], 12), (4, [1.0, 0.01], 12)]
+    assert run(spark, rows) == brute(rows)

@@ -42,3 +42,20 @@ def test_clean_documents_stay(spark):
 def test_stages_are_the_operators():
     assert [n for n, _ in p.STAGES] == ["toxicity", "quality", "near_duplicates", "mixing", "encoding"]
     assert {toxicity, quality, minhash, mixing, bpe} <= {v for v in vars(sys.modules["corpus_pipeline"]).values() if hasattr(v, "__file__")}
+
+
+def test_empty_extra_and_null_columns(spark):
+    """Columns of any name pass all stages but are not read; null texts, null ids and repeated rows have their defined results; so has an empty table."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    extra = ["block", "chosen", "_s", "_gone", "gone", "row", "taken", "target", "size", "score", "label", "fold"]
+    wide = docs.selectExpr("*", *(f"cast(doc_id + {k} as string) as `{c}`" for k, c in enumerate(extra)))
+    odd = wide.limit(2).selectExpr(*(f"cast(null as {t}) as `{c}`" for c, t in wide.dtypes))
+    wide = wide.unionByName(odd).unionByName(wide.limit(3))
+    for name, stage in p.STAGES:
+        wide = p.staged(stage(spark, wide, SF), f"test-wide-{name}")
+        assert wide.columns[: 5 + len(extra)] == docs.columns + extra, name
+    assert wide.count() > 0 and all(r[c] == str(r.doc_id + k) for r in wide.limit(20).collect() for k, c in enumerate(extra) if r.doc_id is not None)
+    none = docs.limit(0)
+    for name, stage in p.STAGES:
+        none = p.staged(stage(spark, none, SF), f"test-none-{name}")
+        assert none.count() == 0

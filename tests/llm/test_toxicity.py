@@ -77,3 +77,67 @@ def test_pair_discounts_come_from_the_counts():
     once = pa.table({"label": [0, 1], "n1": [60, 10], "n2": [20, 0]})
     assert t.pair_discounts(once) == (0.6, t.MOST_DISCOUNT)
     assert t.pair_discounts(once.slice(0, 0)) == (t.LEAST_DISCOUNT, t.LEAST_DISCOUNT)
+
+
+class Plain:
+    """The model as the docstring has it, with dictionaries."""
+
+    def __init__(self, texts, labels):
+        grams = {(c, *g) for t, c in zip(texts, labels) for w in [t.split()] for g in zip(["<", "<", *w], ["<", *w], w)}
+        self.n = {}
+        for c, _, h, w in grams:
+            self.n[c, h, w] = self.n.get((c, h, w), 0) + 1
+        self.cont, stems, self.total, self.kinds = {}, set(), {}, {}
+        for (c, h, w), n in self.n.items():
+            self.cont[c, w] = self.cont.get((c, w), 0) + 1
+            stems.add((c, h, w[: t_stem()]))
+            self.total[c, h] = self.total.get((c, h), 0) + n
+            self.kinds[c, h] = self.kinds.get((c, h), 0) + 1
+        self.of = {}
+        for c, _, s in stems:
+            self.of[c, s] = self.of.get((c, s), 0) + 1
+        once = [{n: sum(v == n for (k, *_), v in self.n.items() if k == c) for n in (1, 2)} for c in (0, 1)]
+        self.discount = [min(t.MOST_DISCOUNT, max(t.LEAST_DISCOUNT, o[1] / max(1, o[1] + 2 * o[2]))) for o in once]
+
+    def stem_p(self, c, s):
+        total, d = sum(v for (k, _), v in self.of.items() if k == c), t.WORD_DISCOUNT
+        freed = sum(min(v, d) for (k, _), v in self.of.items() if k == c) / total
+        classes = sum((k, s) in self.of for k in (0, 1)) or 1
+        return max(self.of.get((c, s), 0) - d, 0) / total + freed * classes / (len(self.of) + 1)
+
+    def word_p(self, c, w):
+        total, d, s = sum(v for (k, _), v in self.cont.items() if k == c), t.WORD_DISCOUNT, w[: t_stem()]
+        freed = sum(min(v, d) for (k, _), v in self.cont.items() if k == c) / total
+        classes = sum((k, w) in self.cont for k in (0, 1)) or 1
+        of_stem = sum(v[: t_stem()] == s for _, v in self.cont) + 1
+        return max(self.cont.get((c, w), 0) - d, 0) / total + freed * self.stem_p(c, s) * classes / of_stem
+
+    def pair_p(self, c, h, w):
+        if (c, h) not in self.total:
+            return self.word_p(c, w)
+        d = self.discount[c]
+        return max(self.n.get((c, h, w), 0) - d, 0) / self.total[c, h] + d * self.kinds[c, h] / self.total[c, h] * self.word_p(c, w)
+
+    def evidence(self, text):
+        w = text.split()
+        words_ = [np.log(self.word_p(1, x) / self.word_p(0, x)) for x in w]
+        pairs = [np.log(self.pair_p(1, h, x) / self.pair_p(0, h, x)) for h, x in zip(["<", *w], w)]
+        best = lambda v: max(np.mean(v[max(0, k + 1 - t.WINDOW) : k + 1]) for k in range(min(t.WINDOW, len(v)) - 1, len(v)))
+        return [np.mean(words_), best(words_), np.mean(pairs), best(pairs)]
+
+
+def t_stem():
+    return t.STEM
+
+
+def test_evidence_equals_a_plain_scorer(spark):
+    rng = np.random.default_rng(5)
+    kinds = [f"{a}{b}" for a in ("stemone", "stemtwo", "x", "other") for b in range(8)]
+    texts = [" ".join(rng.choice(kinds, int(rng.integers(1, 30)), p=None if k % 2 else np.arange(1, 33) / 528)) for k in range(60)]
+    labels = [k % 2 for k in range(60)]
+    plain = Plain(texts, labels)
+    model = t._counts(spark.createDataFrame(list(zip(texts, labels)), "text string, label int"))
+    new = [" ".join(rng.choice([*kinds, "stemone99", "unknown", "stemtwo77"], 12)) for _ in range(40)]
+    got = model.evidence(texts + new)
+    want = np.array([plain.evidence(x) for x in texts + new])
+    assert np.allclose(got, want, atol=1e-4), [(k, got[k], want[k], (texts + new)[k]) for k in np.flatnonzero(np.abs(got - want).max(axis=1) > 1e-4)[:3]]
