@@ -25,6 +25,11 @@ def next_token_pairs(blocks: DataFrame, *keys: str) -> DataFrame:
     return blocks.select(*keys, pairs.alias("pos", "pair")).select(*keys, "pos", "pair.input", "pair.target")
 
 
+def flatten(batches: DataFrame, *keys: str) -> DataFrame:
+    """One row per token: keys, pos (its place in tokens), token."""
+    return batches.select(*keys, F.posexplode("tokens").alias("pos", "token"))
+
+
 def softcap(x: Column, cap: float = 15.0) -> Column:
     return F.transform(x, lambda v: F.tanh(v / cap) * cap)
 

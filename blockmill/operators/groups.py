@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,3 +58,33 @@ def step(params: DataFrame, grads: DataFrame, groups: DataFrame, state: DataFram
     value, kept = update(F.col("value"), grad, F.col("state"))
     live = F.col("grad").isNotNull() & F.col("type_tag").isNotNull()
     return joined.select("param_id", F.when(live, value).otherwise(F.col("value")).alias("value"), F.when(live, kept).otherwise(F.col("state")).alias("state"), live.alias("updated"))
+
+
+def sum_grads(parts: Sequence[DataFrame]) -> DataFrame:
+    """The gradients of several devices (param_id, grad each), added by parameter and place; a parameter may lack some of them."""
+    every = reduce(DataFrame.unionByName, [p.select("param_id", "grad") for p in parts])
+    places = every.select("param_id", F.posexplode("grad").alias("k", "g")).groupBy("param_id", "k").agg(F.sum("g").alias("g"))
+    return places.groupBy("param_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "g"))), lambda x: x["g"]).alias("grad"))
+
+
+def step_multi(params: DataFrame, grads: Sequence[DataFrame], groups: DataFrame, state: DataFrame, update: Callable[[Column, Column, Column], tuple[Column, Column]], clip_at: float | None = None) -> DataFrame:
+    """step() with the gradients of several devices."""
+    return step(params, sum_grads(grads), groups, state, update, clip_at)
+
+
+def to_record(stepped: DataFrame, groups: DataFrame) -> DataFrame:
+    """The state that is to be saved after a step: type_tag, group_idx, param_id, state."""
+    return groups.join(stepped.where(F.col("state").isNotNull()).select("param_id", "state"), "param_id").select("type_tag", "group_idx", "param_id", "state")
+
+
+def save_record(record: DataFrame, path: str) -> None:
+    record.write.mode("overwrite").parquet(path)
+
+
+def load_record(spark: SparkSession, path: str, groups: DataFrame) -> DataFrame:
+    """A saved state. Invalid if it names a parameter that its group has not."""
+    record = spark.read.parquet(path)
+    stray = record.join(groups, ["type_tag", "group_idx", "param_id"], "left_anti").first()
+    if stray:
+        raise Invalid(f"parameter {stray['param_id']} of the record is not in group {(stray['type_tag'], stray['group_idx'])}")
+    return record

@@ -68,7 +68,8 @@ def place(order: Iterable[tuple[int, int]], options: PackOptions) -> Iterator[tu
 
 
 def plan(lengths: DataFrame, options: PackOptions, group: str | None = None) -> DataFrame:
-    """lengths: arrival, batch, length (and the group column). Adds pick, row, off, take, tail; each group is packed by itself."""
+    """lengths: arrival, batch, length (and the group column). Gives arrival, pick, row, off, take, tail, and the number of the group's full rows;
+    each group is packed by itself."""
     key = group or "_all"
     source = lengths if group else lengths.withColumn(key, F.lit(0))
     kind = source.schema[key].dataType.simpleString()
@@ -78,28 +79,30 @@ def plan(lengths: DataFrame, options: PackOptions, group: str | None = None) ->
         parts = [list(zip(g["length"], g["arrival"], strict=True)) for _, g in pdf.groupby("batch", sort=True)]
         rows = [(k, *p) for k, p in enumerate(place(pick_order(parts, options.min_buffer), options))]
         out = pd.DataFrame(rows, columns=["pick", "arrival", "row", "off", "take", "tail"])
+        # only a group's last row can be short
+        last = out.iloc[-1]
+        out["full_rows"] = last["row"] + int(last["off"] + len(options.bos) + last["take"] + last["tail"] >= options.seq_len)
         out[key] = pdf[key].iloc[0]
         return out
 
     out = source.select(key, "arrival", "batch", "length").groupBy(key).applyInPandas(
-        run, f"pick long, arrival long, row long, off int, take int, tail int, `{key}` {kind}"
+        run, f"pick long, arrival long, row long, off int, take int, tail int, full_rows long, `{key}` {kind}"
     )
     return out if group else out.drop(key)
 
 
 def blocks(sequences: DataFrame, options: PackOptions, group: str | None = None) -> DataFrame:
-    """sequences: arrival long (unique in its group), batch, tokens array<int>. One row per packed row: batch_id, row_in_batch, tokens."""
+    """sequences: arrival long (unique in its group), batch, tokens array<int>. One row per packed row: batch_id, row_in_batch, tokens.
+
+    A column length, the number of tokens, spares making the tokens for their lengths.
+    """
     key = [group] if group else []
-    lengths = sequences.select(*key, "arrival", "batch", F.size("tokens").alias("length"))
+    lengths = sequences.select(*key, "arrival", "batch", F.col("length") if "length" in sequences.columns else F.size("tokens").alias("length"))
     placed = plan(lengths, options, group)
     ids = lambda t: F.array(*map(F.lit, t)).cast("array<int>")
     piece = F.concat(ids(options.bos), F.slice("tokens", F.lit(1), F.col("take")), F.slice(ids(options.eos), F.lit(1), F.col("tail")))
-    cut = placed.join(sequences.select(*key, "arrival", "tokens"), [*key, "arrival"]).select(*key, "row", "pick", piece.alias("piece"))
-    rows = cut.groupBy(*key, "row").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pick", "piece"))), lambda x: x["piece"])).alias("tokens"))
+    cut = placed.join(sequences.select(*key, "arrival", "tokens"), [*key, "arrival"]).select(*key, "row", "pick", "full_rows", piece.alias("piece"))
+    rows = cut.groupBy(*key, "row", "full_rows").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pick", "piece"))), lambda x: x["piece"])).alias("tokens"))
     full = rows.where(F.size("tokens") == options.seq_len)
-    # full rows are numbered without gaps: only a group's last row can be short
-    whole = placed.groupBy(*key).agg(F.max(F.struct("pick", "row", F.col("off") + len(options.bos) + F.col("take") + F.col("tail"))).alias("last"))
-    whole = whole.select(*key, (F.col("last.row") + F.when(F.col("last.col3") >= options.seq_len, 1).otherwise(0)).alias("rows"))
-    counted = full.join(whole, key) if key else full.crossJoin(whole)  # without a group, whole is one row
     size = options.batch_size
-    return counted.where(F.expr(f"row div {size} < rows div {size}")).select(*key, F.expr(f"row div {size}").alias("batch_id"), F.expr(f"cast(row % {size} as int)").alias("row_in_batch"), "tokens")
+    return full.where(F.expr(f"row div {size} < full_rows div {size}")).select(*key, F.expr(f"row div {size}").alias("batch_id"), F.expr(f"cast(row % {size} as int)").alias("row_in_batch"), "tokens")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -61,12 +63,42 @@ def tokenize(df: DataFrame, encoder: Callable[[], Callable[[list[str]], list[lis
     return rest.mapInArrow(run, schema)
 
 
+def file_encoder(path: str) -> Callable[[], Callable[[list[str]], list[list[int]]]]:
+    """An encoder for tokenize() of a tokenizer's JSON file (vocabulary, merges, rules), which every worker must be able to read."""
+
+    def make() -> Callable[[list[str]], list[list[int]]]:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.no_padding()
+        tokenizer.no_truncation()
+        return lambda texts: [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    return make
+
+
 class Vocabulary:
     """Token ids by their text, and special tokens."""
 
     def __init__(self, tokens: dict[str, int], special: dict[str, int] | None = None):
         self.tokens, self.special = dict(tokens), dict(special or {})
 
+    @classmethod
+    def load(cls, path: str) -> Vocabulary:
+        """Of a file: JSON of a tokenizer (model.vocab and added_tokens) or of a plain map, or lines of a token in base64 and its id."""
+        with open(path, "rb") as f:
+            data = f.read()
+        if not data.lstrip().startswith(b"{"):
+            pairs = [line.split() for line in data.splitlines() if line.strip()]
+            return cls({base64.b64decode(t).decode("utf-8", "surrogateescape"): int(i) for t, i in pairs})
+        made = json.loads(data)
+        if "model" not in made:
+            return cls(made)
+        special = {t["content"]: t["id"] for t in made.get("added_tokens") or [] if t.get("special")}
+        vocab = made["model"]["vocab"]
+        tokens = vocab if isinstance(vocab, dict) else {t: k for k, (t, _) in enumerate(vocab)}
+        return cls({t: i for t, i in tokens.items() if t not in special}, special)
+
     @property
     def max_token(self) -> int:
         ids = [*self.tokens.values(), *self.special.values()]

@@ -6,6 +6,7 @@ import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,12 @@ class Epoch:
     text: Observation
     packed: Observation
     began: float
+    kept: DataFrame | None = None
+
+    def close(self) -> None:
+        """Gives back the disk that an encoder's tokens take."""
+        if self.kept is not None:
+            self.kept.unpersist()
 
     def stats(self) -> dict:
         seconds = max(time.time() - self.began, 1e-9)
@@ -66,20 +73,23 @@ class CorpusLoader:
         # the second name is one of a kind, since the observation belongs to one pass
         tag = f"{epoch}-{time.time_ns()}"
         seen, text = watch(rows, f"text-{tag}", files=F.size(F.collect_set("shard_pos")), bytes=F.sum(byte_length(F.col("text"))))
-        tokens = seen.withColumn("tokens", byte_tokens(F.col("text"))) if self.encoder is None else tokenize(seen, self.encoder)
+        if self.encoder is None:
+            tokens = seen.withColumn("tokens", byte_tokens(F.col("text"))).withColumn("length", byte_length(F.col("text")).cast("int"))
+        else:  # kept on disk, since lengths and pieces both need them
+            tokens = tokenize(seen, self.encoder).withColumn("length", F.size("tokens")).persist(StorageLevel.DISK_ONLY)
         batch = F.expr(f"row_index div {self.arrival_batch}")
         if self.by_shard:
-            made = blocks(tokens.select("shard_pos", F.col("row_index").alias("arrival"), batch.alias("batch"), "tokens"), self.options, "shard_pos")
+            made = blocks(tokens.select("shard_pos", F.col("row_index").alias("arrival"), batch.alias("batch"), "tokens", "length"), self.options, "shard_pos")
         else:
             place = F.col("shard_pos").cast("long") * (1 << 40)
-            made = blocks(tokens.select((place + F.col("row_index")).alias("arrival"), (place + batch).alias("batch"), "tokens"), self.options)
+            made = blocks(tokens.select((place + F.col("row_index")).alias("arrival"), (place + batch).alias("batch"), "tokens", "length"), self.options)
         counted, packed = watch(made, f"packed-{tag}", tokens=F.sum(F.size("tokens")))
         if self.seed is not None:
             keys = ["shard_pos", "batch_id"] if self.by_shard else ["batch_id"]
             # by hash, not by range: a range sort would run the plan once more to sample it, and the counters would see it twice
             key = order_key(*keys, seed=self.seed, epoch=epoch)
-            counted = counted.repartition(key).sortWithinPartitions(key, *keys)
-        return Epoch(counted, len(paths), text, packed, time.time())
+            counted = counted.repartition(key).sortWithinPartitions(key, *keys, "row_in_batch")
+        return Epoch(counted, len(paths), text, packed, time.time(), tokens if self.encoder else None)
 
 
 def to_blocks(epoch: DataFrame) -> DataFrame:

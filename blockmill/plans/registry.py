@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from blockmill.functions import tensors, training
 from blockmill.operators import groups, packing, shuffle, text
 from blockmill.plans import moduletree
-from blockmill.plans.loader import CorpusLoader
-from blockmill.sources.shards import ShardSource, parse_shards
-from blockmill.sources.shards import train_val_split as split_shards
+from blockmill.plans.loader import CorpusLoader, to_blocks
+from blockmill.sources.shards import ShardSource, parse_shards, split_column
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -73,9 +72,8 @@ select source, case when k > n - greatest(ceil(n * 0.1)::bigint, 1) then 'valida
 from documents join s using (source) group by all""")
 def train_val_split(spark, sf):
     rows = docs(spark, sf)
-    train, val = split_shards([r.source for r in rows.select("source").distinct().orderBy("source").collect()])  # the shard list
-    part = spark.createDataFrame([(s, "train") for s in train] + [(s, "validation") for s in val], "source string, part string")
-    return rows.join(part, "source").groupBy("source", "part").agg(F.count("*").alias("n_docs"))
+    per_source = rows.groupBy("source").agg(F.count("*").alias("n_docs"))
+    return split_column(per_source, "source").select("source", "part", "n_docs")
 
 
 @query(rf"select doc_id, len(regexp_extract_all(text, '{text.LEXER}'))::bigint as n_words from documents")
@@ -118,15 +116,28 @@ def pack_rows_global(spark, sf):
 select "row" // {PACK.batch_size} as batch_id, count(distinct "row") as n_rows, sum(take + 1)::bigint as n_tokens
 from f, full_rows where i > 0 and "row" // {PACK.batch_size} < full_rows.n // {PACK.batch_size} group by 1""")
 def pack_blocks_drop_last(spark, sf):
-    rows = text.select_text(docs(spark, sf), keep=("doc_id",)).select(F.col("doc_id").alias("arrival"), F.lit(0).alias("batch"), text.byte_tokens(F.col("text")).alias("tokens"))
+    rows = text.select_text(docs(spark, sf), keep=("doc_id",)).select(F.col("doc_id").alias("arrival"), F.lit(0).alias("batch"), text.byte_tokens(F.col("text")).alias("tokens"), text.byte_length(F.col("text")).alias("length"))
     made = packing.blocks(rows, PACK)
     return made.groupBy("batch_id").agg(F.count_distinct("row_in_batch").alias("n_rows"), F.sum(F.size("tokens")).alias("n_tokens"))
 
 
-@query()
+_PICKED = """
+with recursive b as materialized (
+  select row_number() over (order by doc_id // 100) as nb, list({'k': strlen(text)::bigint, 'd': doc_id}) as items from documents where text is not null group by doc_id // 100),
+p as (
+  select 0::bigint as i, null::bigint as doc_id, null::bigint as k, []::struct(k bigint, d bigint)[] as waiting, 1::bigint as next_batch
+  union all
+  select i + 1, w[1].d, w[1].k, w[2:], n from (
+    select p.i, list_sort(case when admit then list_concat(p.waiting, b.items) else p.waiting end) as w, case when admit then p.next_batch + 1 else p.next_batch end as n
+    from (select *, len(waiting) < 64 as short from p) p left join b on b.nb = p.next_batch, lateral (select short and b.items is not null as admit))
+  where len(w) > 0),
+s as materialized (select i, doc_id, k from p where i > 0),"""
+
+
+@query(_PICKED + "\nf as (" + _PACKED.split("\nf as (")[1] + ' select i - 1 as pick, doc_id as arrival, "row", off::int as off, take::int as take, 0 as tail from f where i > 0')
 def pack_rows_buffered(spark, sf):
     options = packing.PackOptions(batch_size=4, seq_len=2048, min_buffer=64, bos=(BOS,))
-    return packing.plan(_lengths(spark, sf, batch=100), options)
+    return packing.plan(_lengths(spark, sf, batch=100), options).drop("full_rows")
 
 
 @query()
@@ -134,21 +145,37 @@ def dense_blocks(spark, sf):
     """Documents by source as shards: bytes as tokens, packed by shard into rows of 512, four to a block."""
     options = packing.PackOptions(batch_size=4, seq_len=512, min_buffer=512, bos=(BOS,))
     rows = text.select_text(docs(spark, sf), keep=("doc_id", "source"))
-    return packing.blocks(rows.select("source", F.col("doc_id").alias("arrival"), F.expr("doc_id div 1024").alias("batch"), text.byte_tokens(F.col("text")).alias("tokens")), options, "source")
+    return packing.blocks(rows.select("source", F.col("doc_id").alias("arrival"), F.expr("doc_id div 1024").alias("batch"), text.byte_tokens(F.col("text")).alias("tokens"), text.byte_length(F.col("text")).alias("length")), options, "source")
 
 
-@query("select count(distinct doc_id) > 0 as any_rows, 1 as n_files, sum(strlen(text))::bigint as n_bytes from documents where text is not null")
+@query(_PACKED + f"""
+select count(distinct case when "row" // {PACK.batch_size} < n // {PACK.batch_size} then "row" end) as n_rows, 1 as n_files, 1 as n_items,
+  (select sum(strlen(text))::bigint from documents) as n_bytes, (max(n) // {PACK.batch_size} * {PACK.batch_size * PACK.seq_len})::bigint as n_tokens
+from f, (select max(next_row) as n from f) where i > 0""")
 def epoch_stats(spark, sf):
-    loader = CorpusLoader(spark, (f"{sf}/documents.parquet",), packing.PackOptions(4, 2048, 512, (BOS,)), seed=1)
+    loader = CorpusLoader(spark, (f"{sf}/documents.parquet",), PACK, seed=1)
     epoch = loader.start_epoch()
     n = epoch.blocks.count()
     s = epoch.stats()
-    return spark.createDataFrame([(n > 0, s["file_count"], s["byte_count"])], "any_rows boolean, n_files int, n_bytes long")
+    return spark.createDataFrame([(n, s["file_count"], s["progress"][1], s["byte_count"], s["token_count"])], "n_rows long, n_files int, n_items int, n_bytes long, n_tokens long")
 
 
-@query()
+@query(_PACKED + f"""
+select "row" // {PACK.batch_size} as batch_id, {PACK.batch_size}::bigint as n_rows, {PACK.batch_size * PACK.seq_len}::bigint as n_tokens
+from f, (select max(next_row) as n from f) where i > 0 and "row" // {PACK.batch_size} < n // {PACK.batch_size} group by 1""")
+def block_sink(spark, sf):
+    """The loader's blocks, one row each."""
+    epoch = CorpusLoader(spark, (f"{sf}/benchmark.parquet", f"{sf}/documents.parquet"), PACK).slice(1, 2).start_epoch()
+    rows = to_blocks(epoch.blocks)
+    return rows.select("batch_id", F.size("rows").cast("long").alias("n_rows"), F.size(F.flatten("rows")).cast("long").alias("n_tokens"))
+
+
+@query("select doc_id, true as in_reach from documents")
 def shuffle_buffered(spark, sf):
-    return shuffle.buffered_shuffle(docs(spark, sf), "doc_id", fill_rate=8, buffer_size=128, seed=3)
+    """The order itself depends on the generator; what holds for any is that each id comes once, and none before the buffer could hold it."""
+    out = shuffle.buffered_shuffle(docs(spark, sf), "doc_id", fill_rate=8, buffer_size=128, seed=3)
+    numbered = shuffle.global_index(docs(spark, sf).select("doc_id"), "doc_id")
+    return out.join(numbered, "doc_id").select("doc_id", (F.col("row_no") <= F.col("position") + 128).alias("in_reach"))
 
 
 @query("select doc_id from documents")
@@ -275,3 +302,6 @@ def learning_rates(spark, sf):
 def model_shape(spark, sf):
     c = training.GptConfig()
     return spark.createDataFrame([(c.flops_per_token(0, 0), c.head_dim, c.hidden_size, c.max_seq_len)], "attention_flops long, head_dim long, hidden_size long, max_seq_len long")
+
+
+from blockmill.plans import source_queries, structure_queries  # noqa: E402,F401  they add theirs

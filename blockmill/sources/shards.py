@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from blockmill.errors import Invalid, ResourceNotFound
@@ -67,7 +67,17 @@ def train_val_split(shards: Sequence, share: float = 0.10) -> tuple[list, list]:
     return list(shards[:-n]), list(shards[-n:])
 
 
+def split_column(shards: DataFrame, column: str, share: float = 0.10) -> DataFrame:
+    """shards, a row each, with part: the same split by the order of a column, without a list on the driver."""
+    n = F.count("*").over(Window.partitionBy())
+    held = F.greatest(F.ceil(n * share), F.lit(1))
+    place = F.row_number().over(Window.orderBy(column))
+    return shards.withColumn("part", F.when(place > n - held, "validation").otherwise("train"))
+
+
 class ShardCache:
+    """Shards in a folder. On a cluster it must be one that driver and executors share, since its paths are read by Spark."""
+
     def __init__(self, cache_dir: str, source: ShardSource = ShardSource(), fetcher: Fetcher = copy_fetcher):
         path = os.path.expanduser(os.path.expandvars(cache_dir))
         os.makedirs(path, exist_ok=True)
@@ -128,18 +138,44 @@ class ShardCache:
         return every.join(have.withColumn("cached", F.lit(True)), "shard_id", "left").select("shard_id", path.alias("path"), F.coalesce("cached", F.lit(False)).alias("cached"))
 
 
+def _uri(spark: SparkSession, path: str) -> str:
+    """The path as file names of a scan begin: absolute, with its scheme, percent-encoded."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") or "/")
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return re.sub(r"^(\w+):/+", r"\1:/", system.makeQualified(at).toUri().toString())
+
+
 def read_shards(spark: SparkSession, paths: Sequence[str], skip_corrupt: bool = False) -> DataFrame:
-    """All rows of the shards with shard_pos (the place of the path in the list) and row_index (in its file).
+    """All rows of the shards with shard_pos (the place of the path in the list) and row_index (in its file; in a shard that is a folder of
+    part files, counted on from file to file in the order of their names).
 
-    A shard that cannot be read fails the query, or with skip_corrupt is left out.
+    A shard that cannot be read fails the query, or with skip_corrupt is left out. A path may be listed more than once.
     """
     reader = spark.read.option("ignoreCorruptFiles", str(skip_corrupt).lower()).option("ignoreMissingFiles", str(skip_corrupt).lower())
-    names = {os.path.basename(p.rstrip("/")): k for k, p in enumerate(paths)}
-    if len(names) == len(paths):
-        place = F.element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
-        return reader.parquet(*paths).select("*", place.alias("shard_pos"), F.col("_metadata.row_index").alias("row_index"))
-    parts = [reader.parquet(p).select("*", F.lit(k).alias("shard_pos"), F.col("_metadata.row_index").alias("row_index")) for k, p in enumerate(paths)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
+    places: dict[str, list[int]] = {}
+    for k, path in enumerate(paths):
+        places.setdefault(_uri(spark, path), []).append(k)
+    rows = reader.parquet(*dict.fromkeys(paths))
+    found = []
+    for file in sorted(rows.inputFiles()):
+        short = re.sub(r"^(\w+):/+", r"\1:/", file)
+        at = short
+        while at not in places:
+            at, slash, _ = at.rpartition("/")
+            if not slash:
+                raise Invalid(f"{file} belongs to no shard of the list")
+        found += [(short, k) for k in places[at]]
+    own = F.regexp_replace(F.col("_metadata.file_path"), r"^(\w+):/+", "$1:/")
+    scan = rows.select("*", own.alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    listed = spark.createDataFrame(found, "_file string, shard_pos int")
+    per_shard: dict[int, int] = {}
+    for _, k in found:
+        per_shard[k] = per_shard.get(k, 0) + 1
+    if max(per_shard.values(), default=0) > 1:
+        counts = scan.groupBy("_file").agg(F.count("*").alias("_n"))
+        before = F.sum("_n").over(Window.partitionBy("shard_pos").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))
+        listed = listed.join(counts, "_file", "left").select("_file", "shard_pos", F.coalesce(before, F.lit(0)).alias("_before"))
+    else:
+        listed = listed.withColumn("_before", F.lit(0).cast("long"))
+    # a row for each file of the list, which the driver holds as well
+    return scan.join(F.broadcast(listed), "_file").select(*(f"`{c}`" for c in rows.columns), "shard_pos", (F.col("_before") + F.col("_row")).alias("row_index"))

@@ -314,3 +314,95 @@ def test_entry(spark):
 
     assert e.entry(spark).limit(1).count() == 1
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_shards_of_every_kind_of_path(spark, tmp_path):
+    """Plain files, folders of part files, names with blanks and signs, relative paths, and a path listed twice."""
+    import pandas as pd
+
+    plain, odd, folder, many = tmp_path / "a.parquet", tmp_path / "b c+%d é.parquet", tmp_path / "folder x", tmp_path / "nested"
+    pd.DataFrame({"n": [1, 2]}).to_parquet(plain)
+    pd.DataFrame({"n": [3]}).to_parquet(odd)
+    spark.range(10, 16).selectExpr("id as n").repartition(3).write.parquet(str(folder))
+    many.mkdir()
+    pd.DataFrame({"n": [20]}).to_parquet(many / "a.parquet")
+    paths = [str(folder), str(odd), str(plain), f"file://{many}", str(odd)]
+    rows = shards.read_shards(spark, paths).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.shard_pos, []).append((r.row_index, r.n))
+    assert sorted(n for _, n in by[0]) == list(range(10, 16)) and sorted(k for k, _ in by[0]) == list(range(6))
+    assert by[1] == by[4] == [(0, 3)] and sorted(by[2]) == [(0, 1), (1, 2)] and by[3] == [(0, 20)]
+    os.chdir(tmp_path)
+    assert {(r.shard_pos, r.n) for r in shards.read_shards(spark, [str(plain), str(odd)]).collect()} == {(0, 1), (0, 2), (1, 3)}
+
+
+def test_packing_makes_tokens_once(spark):
+    """One fold, and no tokens where only lengths are needed."""
+    plan = __import__("blockmill.plans.registry", fromlist=["x"]).QUERIES["dense_blocks"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    body = plan.split("Initial Plan")[-1]
+    assert body.count("FlatMapGroupsInPandas") == 1 and body.count("decode(") <= 1 and body.count("Scan parquet") == 2
+
+
+def test_tokenizer_of_a_file(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    t = Tokenizer(models.BPE({"a": 0, "b": 1, "ab": 2, "c": 3}, [("a", "b")]))
+    t.pre_tokenizer = pre_tokenizers.Whitespace()
+    t.add_special_tokens(["<s>"])
+    path = str(tmp_path / "t.json")
+    t.save(path)
+    df = spark.createDataFrame([(1, "ab c"), (2, None), (3, "")], "id int, text string")
+    assert {r.id: r.tokens for r in text.tokenize(df, text.file_encoder(path)).collect()} == {1: [2, 3], 2: None, 3: []}
+    v = text.Vocabulary.load(path)
+    assert v.tokens["ab"] == 2 and v.special == {"<s>": 4} and v.max_token == 4 and v.add_special("<s>") == 4 and v.add_special("<e>") == 5
+    (tmp_path / "r.tiktoken").write_text("YQ== 0\nYg== 1\n")
+    assert text.Vocabulary.load(str(tmp_path / "r.tiktoken")).tokens == {"a": 0, "b": 1}
+    one = str(tmp_path / "one.parquet")
+    spark.createDataFrame([("ab c " * 9,)] * 6, "text string").toPandas().to_parquet(one)
+    loader = CorpusLoader(spark, (one,), packing.PackOptions(1, 18, 2), encoder=text.file_encoder(path))
+    epoch = loader.start_epoch()
+    assert [r.tokens for r in epoch.blocks.collect()] == [[2, 3] * 9] * 6 and epoch.stats()["token_count"] == 108
+    epoch.close()
+
+
+def test_gradients_of_devices_and_records(spark, tmp_path):
+    member = groups.assign(spark, [[["a"], ["b"]]])
+    params = spark.createDataFrame([("a", [1.0, 1.0]), ("b", [2.0])], "param_id string, value array<double>")
+    one = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0])], "param_id string, grad array<double>")
+    two = spark.createDataFrame([("a", [0.5, 0.5])], "param_id string, grad array<double>")
+    state = spark.createDataFrame([], "type_tag int, group_idx int, param_id string, state double")
+    out = groups.step_multi(params, [one, two], member, state, lambda v, g, s: (F.zip_with(v, g, lambda x, y: x - y), F.coalesce(s, F.lit(0.0)) + 1))
+    assert {r.param_id: (r.value, r.state) for r in out.collect()} == {"a": ([-0.5, -1.5], 1.0), "b": ([1.0], 1.0)}
+    path = str(tmp_path / "record")
+    groups.save_record(groups.to_record(out, member), path)
+    assert {tuple(r) for r in groups.load_record(spark, path, member).collect()} == {(0, 0, "a", 1.0), (0, 1, "b", 1.0)}
+    with pytest.raises(Invalid, match="not in group"):
+        groups.load_record(spark, path, groups.assign(spark, [[["a"]]]))
+
+
+def test_more_paths(spark):
+    t = mt.ModuleTree.build(spark, mt.Module("Tuple", [linear(2, 3, 1), mt.Module("Array", [linear(4, 5, 3)]), mt.Module("Vec", [linear(6, 7, 5), linear(8, 9, 7)])]))
+    ids = lambda q: [r.id for r in q.to_df().orderBy("pre").collect()]
+    for path in ("*//Param[@rank=2 and contains(@shape,'6')]", "*//Param[@name='bias' or @shape='2 3']", "*//Param[not(@rank=2)]", "*//Param[starts-with(@param_id,'P') and (@rank=1 or @shape='8 9')]/..", "*//Param[2]/ancestor::*[1]/*[1]", "Tuple/(Vec)/*", "*//Param[last()]"):
+        q = t.select(path)
+        theirs = spark.range(1).select(F.xpath(F.lit(t.to_xml()), F.lit(q.expr.replace("(Vec)", "Vec") + "/@id")).alias("x")).first().x
+        assert sorted(theirs) == sorted(ids(q)) and theirs, path
+    assert ids(t.select("Tuple/(Array|Vec)")) == ["n:5", "n:9"]
+    assert [r.id for r in t.select("*/Vec").union(t.select("*/Array")).orderBy("pre").collect()] == ["n:5", "n:9"]
+    for bad in ("*[@rank=]", "*[@rank=1 and]", "*[not(@rank=1]", "*[contains(@name)]", "*//..", "(A|)"):
+        with pytest.raises(ParseError) as e:
+            t.select(bad)
+        assert str(e.value).startswith("XPST0003: ") and "\n  /XmlModuleTree" in str(e.value) and "^" in str(e.value)
+    desc = t.param_descs()[0]
+    assert mt.desc_of(mt.node_of(desc)) == desc
+    assert t.debug(True).startswith("ModuleTree {\n<XmlModuleTree") and t.debug() == repr(t)
+
+
+def test_tree_of_a_configuration(spark, capsys):
+    small = training.GptConfig(vocab_size=11, n_layer=2, n_head=4, n_kv_head=2, n_embed=8)
+    t = mt.ModuleTree.build(spark, mt.tree_of(small))
+    total = sum(d.tensor.num_elements for d in t.param_descs())
+    assert total == 2 * 11 * 8 + 2 * (2 * 64 + 2 * 32 + 2 * 8 * 32) and t.select("*/Vec/GPTBlock").to_df().count() == 2
+    t.print_node(2)
+    assert capsys.readouterr().out.startswith('<Embedding id="n:2" name="wte" class="struct">\n  <Param')
