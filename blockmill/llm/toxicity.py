@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockmill.llm import words
-from blockmill.llm.common import fold, labelled_sample, slices, staged, table
+from blockmill.llm.common import fold, labelled_sample, release, slices, staged, table
 
 PER_CLASS = 2000
 SEED = 11
@@ -236,7 +236,7 @@ def _counts(rows: DataFrame) -> Evidence:
         pairs.groupBy("label", "w").agg(F.min("s").alias("s"), F.count("*").alias("cont")).toArrow(),
         pairs.select("label", "h", "s").distinct().groupBy("label", "s").agg(F.count("*").alias("cont")).toArrow(),
         pairs.groupBy("label", "h").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).toArrow(),
-        pairs.select("label", "h", "w", "n").toArrow(),
+        pairs.select("label", "h", "w", F.col("n").cast("int").alias("n")).toArrow(),
         pair_discounts(once.toArrow()),
     )
 
@@ -255,10 +255,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed: in
             yield pa.record_batch([batch["label"], *(pa.array(x[:, k]) for k in range(4))], names=["label", *FEATURES])
 
     held = rows.where(F.col("fold") == CALIBRATE).select("label", "text").mapInArrow(evidence, ", ".join(["label int", *(f"{k} double" for k in FEATURES)])).toArrow()
-    model.curve = fit_curve(np.column_stack([held[k].to_numpy() for k in FEATURES]), held["label"].to_numpy())
-    shared.unpersist()
+    curve = fit_curve(np.column_stack([held[k].to_numpy() for k in FEATURES]), held["label"].to_numpy())
+    shared.destroy()
+    del model, shared  # the driver holds one model at a time
     whole = _counts(rows)  # the curve is fitted; the counts may now have all folds
-    whole.curve = model.curve
+    whole.curve = curve
+    release(rows)
     return whole
 
 
