@@ -19,6 +19,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from blockmill.llm.common import table, tokenizer_path
 
 FILE = "word_bpe_49k.json"
-CACHE = 160_000
+CACHE = 400_000
 ROWS = 512  # of one output batch
 #: Unicode white space
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -84,7 +85,7 @@ class Bpe:
         self.normalizer, self.pre = whole.normalizer, whole.pre_tokenizer
         self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
         self.odd = re.compile("[\x1c-\x1f]")  # white space to str.split() alone
-        self.kept_words, self.kept_chunks = Kept(lambda w: tuple(self.coded(w.encode())), cache // 2), Kept(lambda c: tuple(self.chunk(c)), cache)
+        self.kept_words, self.kept_chunks = Kept(lambda w: tuple(self.coded(w.encode())), cache // 2), Kept(self.chunk, cache)
 
     @classmethod
     def load(cls, name: str = FILE) -> Bpe:
@@ -96,27 +97,37 @@ class Bpe:
 
     def merge(self, alive: list[int]) -> list[int]:
         """The ids that are left of a list of symbols when no neighbouring pair has a rank."""
-        n, ranks = len(alive), self.rank
-        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        # an entry is a rank and the place of its left symbol; it is stale if the pair there has another rank by now
-        queue = [found << 32 | k for k in range(n - 1) if (found := ranks.get(alive[k] << 32 | alive[k + 1])) is not None]
+        n, get, made = len(alive), self.rank.get, self.made
+        # of each place the rank of the pair that begins there, -1 for none. A queue's entry is rank * n + place; it is stale if another
+        # rank, or none, stands at its place by now
+        now = [get(a << 32 | b, -1) for a, b in zip(alive, alive[1:])]
+        queue = [rank * n + k for k, rank in enumerate(now) if rank >= 0]
+        if not queue:
+            return alive
+        now.append(-1)
         heapq.heapify(queue)
+        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
+        pop, push = heapq.heappop, heapq.heappush
         while queue:
-            entry = heapq.heappop(queue)
-            k, rank = entry & 0xFFFFFFFF, entry >> 32
-            r = right[k]
-            if r < 0 or alive[k] < 0 or ranks.get(alive[k] << 32 | alive[r]) != rank:
+            rank, k = divmod(pop(queue), n)
+            if now[k] != rank:
                 continue
-            new = alive[k] = self.made[rank]
-            alive[r] = -1
+            r = right[k]
+            new = alive[k] = made[rank]
+            alive[r] = now[r] = -1
             right[k] = after = right[r]
             if after >= 0:
                 left[after] = k
-                if (found := ranks.get(new << 32 | alive[after])) is not None:
-                    heapq.heappush(queue, found << 32 | k)
+                now[k] = found = get(new << 32 | alive[after], -1)
+                if found >= 0:
+                    push(queue, found * n + k)
+            else:
+                now[k] = -1
             before = left[k]
-            if before >= 0 and (found := ranks.get(alive[before] << 32 | new)) is not None:
-                heapq.heappush(queue, found << 32 | before)
+            if before >= 0:
+                now[before] = found = get(alive[before] << 32 | new, -1)
+                if found >= 0:
+                    push(queue, found * n + before)
         return [i for i in alive if i >= 0]
 
     def coded(self, word: bytes) -> list[int]:
@@ -127,14 +138,17 @@ class Bpe:
             symbols = [i for i in symbols if i is not None]
         return self.merge(symbols) if len(symbols) > 1 else symbols
 
-    def chunk(self, chunk: str) -> list[int]:
+    def chunk(self, chunk: str) -> tuple[int, ...]:
         """The ids of normalised text without white space, word by word."""
-        out: list[int] = []
         kept = self.kept_words
+        if chunk.isalpha():  # one word
+            ids = kept.young.get(chunk)
+            return kept.add(chunk) if ids is None else ids
+        out: list[int] = []
         for w in self.words.findall(chunk):
             ids = kept.young.get(w)
             out += kept.add(w) if ids is None else ids
-        return out
+        return tuple(out)
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
@@ -176,7 +190,7 @@ def encode(docs: DataFrame, text_col: str = "text", name: str = FILE, decoded: b
                 part = batch.slice(k, ROWS)
                 ids = [bpe.encode(t) for t in part[text_col].to_pylist()]
                 n = np.fromiter(map(len, ids), np.int64, len(ids))
-                flat = np.fromiter((i for x in ids for i in x), np.int32, int(n.sum()))
+                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum()))
                 cols = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat)), pa.array(n)]
                 if decoded:
                     cols.append(pa.array([bpe.decode(x) for x in ids]))
