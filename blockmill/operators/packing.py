@@ -79,9 +79,9 @@ def plan(lengths: DataFrame, options: PackOptions, group: str | None = None) ->
         parts = [list(zip(g["length"], g["arrival"], strict=True)) for _, g in pdf.groupby("batch", sort=True)]
         rows = [(k, *p) for k, p in enumerate(place(pick_order(parts, options.min_buffer), options))]
         out = pd.DataFrame(rows, columns=["pick", "arrival", "row", "off", "take", "tail"])
-        # only a group's last row can be short
-        last = out.iloc[-1]
-        out["full_rows"] = last["row"] + int(last["off"] + len(options.bos) + last["take"] + last["tail"] >= options.seq_len)
+        # only a group's last row can be short; without a buffer nothing is picked
+        ends = out["off"] + len(options.bos) + out["take"] + out["tail"]
+        out["full_rows"] = out["row"].iloc[-1] + int(ends.iloc[-1] >= options.seq_len) if rows else 0
         out[key] = pdf[key].iloc[0]
         return out
 
