@@ -8,7 +8,9 @@ The rendered conversation is encoded once, with offsets. Both the turns' text sp
 assistant turn are a range found by binary search; they make up the loss mask. A character of several byte tokens is in all their spans,
 so the masked text is the union of the spans of each masked run.
 
-Rows meet by conversation in one shuffle; a conversation is the unit that is rendered and encoded, so one of them must fit in a task.
+Rows meet by conversation in one shuffle; a conversation is the unit that is rendered, so its text must fit in a task. Encodings, which take
+some 160 times the text, are made of SEGMENT characters at a time: short conversations together, a long one in runs of whole turns. Since no
+token spans a marker, its tokens and offsets are those of encoding it in one piece.
 
 Defined cases: a null text or role is an empty one; a null conv_id is a conversation of its own; rows are ordered by turn (null first),
 then role and text, and repeated rows are all kept; an empty table gives no rows; columns other than conv_id, turn, role and text are not
@@ -33,7 +35,8 @@ TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: fixed control strings of common chat formats, escaped as well so that a text cannot pass for a marker of theirs
 CONTROL = [TURN, TEXT, END, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|endoftext|>", "<|startoftext|>", "<|im_start|>", "<|im_end|>"]
 LEARNT = "assistant"
-ROWS = 256  # conversations encoded at a time
+ROWS = 256  # conversations held at a time
+SEGMENT = 1 << 18  # characters encoded at a time, or one turn
 
 _rest = "|".join(re.escape(c[1:]) for c in sorted(CONTROL, key=len, reverse=True))
 # every control string begins with < or [ ; what follows holds neither but for the second < of <<, which begins no control string there
@@ -98,6 +101,42 @@ def masked_spans(offsets: np.ndarray, m: np.ndarray) -> list[tuple[int, int]]:
     return [(int(offsets[a:b, 0].min()), int(offsets[a:b, 1].max())) for a, b in zip(edge[0::2], edge[1::2], strict=True)]
 
 
+def segments(text: str) -> Iterator[tuple[int, str]]:
+    """A rendered text in runs of whole turns of SEGMENT characters at most (or one turn), each with its place."""
+    at = 0
+    while at < len(text):
+        end = len(text)
+        if end - at > SEGMENT:
+            last = text.rfind(END, at, at + SEGMENT)
+            last = last if last >= 0 else text.find(END, at)
+            end = last + len(END)
+        yield at, text[at:end]
+        at = end
+
+
+def encode(tokenizer, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Ids and offsets (tokens x 2) of each text."""
+    ids: list[list[np.ndarray]] = [[] for _ in texts]
+    offsets: list[list[np.ndarray]] = [[] for _ in texts]
+
+    def flush(jobs: list[tuple[int, int, str]]) -> None:
+        for (k, at, _), e in zip(jobs, tokenizer.encode_batch([p for *_, p in jobs], add_special_tokens=False), strict=True):
+            ids[k].append(np.array(e.ids, np.int32))
+            offsets[k].append(np.array(e.offsets, np.int64).reshape(-1, 2) + at)
+
+    jobs, size = [], 0
+    for k, text in enumerate(texts):
+        for at, part in segments(text):
+            if jobs and size + len(part) > SEGMENT:
+                flush(jobs)
+                jobs, size = [], 0
+            jobs.append((k, at, part))
+            size += len(part)
+    flush(jobs)
+    none = [np.empty(0, np.int32)], [np.empty((0, 2), np.int64)]
+    return [np.concatenate(x or none[0]) for x in ids], [np.concatenate(x or none[1]) for x in offsets]
+
+
 def format_conversations(rows: DataFrame, name: str = FILE) -> DataFrame:
     """One row per conversation: conv_id, formatted, input_ids and loss_mask (arrays of one length), and loss_spans of formatted."""
     grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("turns"))
@@ -108,13 +147,9 @@ def format_conversations(rows: DataFrame, name: str = FILE) -> DataFrame:
             for k in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(k, ROWS)
                 made = [render([(t["role"], t["text"]) for t in turns]) for turns in batch["turns"].to_pylist()]
-                ids, masks, spans = [], [], []
-                for (_, own), e in zip(made, tokenizer.encode_batch([t for t, _ in made], add_special_tokens=False), strict=True):
-                    offsets = np.array(e.offsets, np.int64).reshape(-1, 2)
-                    m = mask(offsets, own)
-                    ids.append(np.array(e.ids, np.int32))
-                    masks.append(m)
-                    spans.append([{"from": a, "to": b} for a, b in masked_spans(offsets, m)])
+                ids, offsets = encode(tokenizer, [t for t, _ in made])
+                masks = [mask(o, own) for o, (_, own) in zip(offsets, made, strict=True)]
+                spans = [[{"from": a, "to": b} for a, b in masked_spans(o, m)] for o, m in zip(offsets, masks, strict=True)]
                 yield pa.record_batch(
                     [batch["conv_id"], pa.array([t for t, _ in made], pa.string()), pa.array(ids, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.int8())), pa.array(spans, pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())])))],
                     names=["conv_id", "formatted", "input_ids", "loss_mask", "loss_spans"],

@@ -70,3 +70,17 @@ def test_own_conversation_stays_apart(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = chat.op2_chat(spark, str(tmp_path)).collect()
     assert sorted((r.conv_id, r.n_turns, r.loss_chars) for r in got) == [(-7, 2, 0), (-7, 2, 21), (1, 1, 0)]
+
+
+def test_long_conversations_are_encoded_in_runs_of_turns(monkeypatch):
+    rng = random.Random(4)
+    words = ["hello", "é", "<|end|>", "[INST]", " ", "\n", "日本", "x" * 50, "<|turn|>"]
+    texts = [chat.render([(rng.choice(["user", "assistant"]), "".join(rng.choice(words) for _ in range(rng.randrange(30)))) for _ in range(n)])[0] for n in (40, 0, 1, 3, 25)]
+    tokenizer = chat._tokenizer(chat.FILE)
+    whole = [tokenizer.encode(t, add_special_tokens=False) for t in texts]
+    for size in (10, 300, 1 << 18):
+        monkeypatch.setattr(chat, "SEGMENT", size)
+        assert all("".join(p for _, p in chat.segments(t)) == t for t in texts)
+        ids, offsets = chat.encode(tokenizer, texts)
+        assert [i.tolist() for i in ids] == [e.ids for e in whole]
+        assert [[tuple(x) for x in o.tolist()] for o in offsets] == [e.offsets for e in whole]
