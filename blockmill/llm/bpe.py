@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from blockmill.llm.common import table, tokenizer_path
 
 FILE = "word_bpe_49k.json"
-CACHE = 400_000
+CACHE = 300_000
 ROWS = 512  # of one output batch
 #: Unicode white space
 SPACE = "\t-\r \x85\xa0  -     　"
