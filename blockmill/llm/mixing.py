@@ -148,13 +148,13 @@ def laid(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None
 
 
 def mix(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with size, source_size and taken (long), target (double), and the shard (int) in which the text first comes, null if never."""
+    """docs with size, source_size and taken (long), target (double), and the shard (int) in which the text first comes, -1 if never."""
     return _mixed(docs, text_col, [c for c in docs.columns if c.lower() not in OUTPUTS])
 
 
 def _mixed(docs: DataFrame, text_col: str, rest: list[str]) -> DataFrame:
     return laid(docs, text_col, rest).select(
-        *(F.col("row").getField(c).alias(c) for c in rest), "size", "source_size", "target", "taken", F.array_min(F.transform("rounds", lambda r: r["shard"])).cast("int").alias("shard")
+        *(F.col("row").getField(c).alias(c) for c in rest), "size", "source_size", "target", "taken", F.coalesce(F.array_min(F.transform("rounds", lambda r: r["shard"])), F.lit(-1)).cast("int").alias("shard")
     )
 
 
@@ -232,6 +232,6 @@ seated as (
 shards as (
   select s.rn, s.extra, case when s.seat is null then null else coalesce(w.shard, {SHARDS - 1}) end as shard
   from seated s left join won w on w.idx = s.idx and w.seat = s.seat)
-select doc_id, size, source_size, target, (passes * size + coalesce(extra, 0))::bigint as taken, shard::int as shard
+select doc_id, size, source_size, target, (passes * size + coalesce(extra, 0))::bigint as taken, coalesce(shard, -1)::int as shard
 from numbered left join shards using (rn)
 """
