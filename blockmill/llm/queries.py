@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockmill.llm import bpe, chat, embeddings, media, minhash, mixing, quality, sharding, toxicity, warc
+from blockmill.llm import bpe, chat, embeddings, lloyd, media, merkle, minhash, mixing, quality, sharding, tokenfiles, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -19,5 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embeddings": embeddings.op8_embeddings,
     "op9_quality": quality.op9_quality,
     "op10_minhash": minhash.op10_minhash,
+    "op11_merkle": merkle.op11_merkle,
+    "op12_clusters": lloyd.op12_clusters,
+    "op13_tokens": tokenfiles.op13_tokens,
 }
-SQL: dict[str, str] = {"op4_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op4_mixing": mixing.SQL, "op11_merkle": merkle.SQL}
