@@ -4,8 +4,15 @@ The rule: before each pick, whole arrival batches are admitted until min_buffer
 of equals the earliest. A row is filled with BOS, the sequence's head and EOS, cut at the row's end; what is cut off is lost. Rows that
 are not full, and blocks that lack rows, are dropped.
 
-Which sequence comes next does not depend on how full the row is, so the order is a heap's, and the places are a fold over lengths alone.
-Only lengths go through that sequential part, one task for each group; the tokens are then cut and joined by row, in parallel.
+pick_order() and place() are the rule, literally. plan() gives the same for any number of sequences in parallel, over lengths alone:
+
+Order. Picks take the smallest first, so whenever a batch is admitted, what waits is the min_buffer - 1 largest sequences of all before. A
+sequence is thus picked in the round of the first batch, from its own on, after which min_buffer - 1 larger ones have been seen, and the
+order of picks is that of (round, length, arrival). The largest of a union are found from the largest of its parts, so a running total in
+two levels gives each chunk of sequences what waits at its begin, and chunks settle the rounds of what they pick by themselves.
+
+Places. A chunk of picks turns the fill of a row, 0 to seq_len - 1, into another fill and a number of full rows. Such functions are tables of
+seq_len entries, and are put one after another by indexing, again in two levels; then each chunk places its picks from its own begin.
 """
 
 from __future__ import annotations
@@ -14,11 +21,15 @@ import heapq
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockmill.errors import Invalid
+from blockmill.operators.scan import prefixes
+from blockmill.operators.shuffle import global_index
+from blockmill.sources.staging import quoted, staged
 
 
 @dataclass(frozen=True)
@@ -51,13 +62,12 @@ def pick_order(batches: Iterable[list[tuple[int, int]]], min_buffer: int) -> Ite
         yield heapq.heappop(waiting)
 
 
-def place(order: Iterable[tuple[int, int]], options: PackOptions) -> Iterator[tuple[int, int, int, int, int]]:
-    """(arrival, row, offset of BOS, tokens taken, EOS tokens taken) of each pick."""
-    row = fill = 0
+def place(order: Iterable[tuple[int, int]], options: PackOptions, row: int = 0, fill: int = 0) -> Iterator[tuple[int, int, int, int, int]]:
+    """(arrival, row, offset of BOS, tokens taken, EOS tokens taken) of each pick, from a row and its fill on."""
     b, e, width = len(options.bos), len(options.eos), options.seq_len
     for length, arrival in order:
         room = width - fill - b
-        if room < 0:
+        if room < 0 or fill < 0:
             raise Invalid("BOS does not fit in what is left of a row")
         take = min(length, room)
         tail = min(e, room - take)
@@ -67,28 +77,135 @@ def place(order: Iterable[tuple[int, int]], options: PackOptions) -> Iterator[tu
             row, fill = row + 1, 0
 
 
-def plan(lengths: DataFrame, options: PackOptions, group: str | None = None) -> DataFrame:
-    """lengths: arrival, batch, length (and the group column). Gives arrival, pick, row, off, take, tail, and the number of the group's full rows;
-    each group is packed by itself."""
-    key = group or "_all"
-    source = lengths if group else lengths.withColumn(key, F.lit(0))
-    kind = source.schema[key].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["batch", "arrival"], kind="stable")
-        parts = [list(zip(g["length"], g["arrival"], strict=True)) for _, g in pdf.groupby("batch", sort=True)]
-        rows = [(k, *p) for k, p in enumerate(place(pick_order(parts, options.min_buffer), options))]
-        out = pd.DataFrame(rows, columns=["pick", "arrival", "row", "off", "take", "tail"])
-        # only a group's last row can be short; without a buffer nothing is picked
-        ends = out["off"] + len(options.bos) + out["take"] + out["tail"]
-        out["full_rows"] = out["row"].iloc[-1] + int(ends.iloc[-1] >= options.seq_len) if rows else 0
-        out[key] = pdf[key].iloc[0]
+CHUNK = 1 << 16
+
+
+def plan(lengths: DataFrame, options: PackOptions, group: str | None = None, chunk: int = CHUNK) -> DataFrame:
+    """lengths: arrival (unique in its group), batch, length (and the group column). Gives arrival, pick, row, off, take, tail, and the number of
+    the group's full rows; each group is packed by itself. A task holds chunk lengths, or a few times min_buffer if that is more."""
+    key = "_group"
+    own = F.col(quoted(group)) if group else F.lit(0)
+    source = staged(lengths.select(own.alias(key), F.col("arrival").cast("long"), F.col("batch").cast("long"), F.col("length").cast("long")), "pack-lengths")
+    most = source.groupBy(quoted(key)).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    wait = options.min_buffer - 1
+    if wait < 0:  # without a buffer nothing is picked
+        rounds = source.where("false").withColumn("round", F.col("batch"))
+    elif wait == 0:
+        rounds = source.withColumn("round", F.col("batch"))
+    elif wait >= most:
+        rounds = source.withColumn("round", F.lit(0).cast("long"))
+    else:
+        rounds = staged(_rounds(source, key, wait, max(chunk, 4 * wait), most), "pack-rounds")
+    picks = global_index(rounds.select(quoted(key), "arrival", "length", "round"), "round", "length", "arrival", group=key)
+    chunked = picks.select(quoted(key), "arrival", "length", F.col("row_no").alias("pick"), F.expr(f"row_no div {chunk}").alias("part"))
+    out = _places(chunked, key, options, most // chunk + 1)
+    return out.withColumnRenamed(key, group) if group else out.drop(key)
+
+
+def _pairs(payload: bytes | None) -> np.ndarray:
+    """(length, arrival) pairs, ascending."""
+    return np.frombuffer(payload or b"", "<i8").reshape(-1, 2)
+
+
+def _largest(pairs: np.ndarray, most: int) -> np.ndarray:
+    return pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))][-most:]
+
+
+def _rounds(source: DataFrame, key: str, wait: int, chunk: int, most: int) -> DataFrame:
+    """The key, arrival, length and round of every sequence, where at most `wait` are left when the next batch is admitted."""
+    own, kind = quoted(key), source.schema[key].dataType.simpleString()
+    placed = global_index(source, "batch", "length", "arrival", group=key)
+    rows = placed.select(own, "arrival", "batch", "length", F.expr(f"row_no div {chunk}").alias("part"))
+
+    def top(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = _largest(pdf[["length", "arrival"]].to_numpy(np.int64), wait)
+        return pd.DataFrame({key: pdf[key].iloc[:1], "part": pdf["part"].iloc[:1], "payload": [found.astype("<i8").tobytes()]})
+
+    def settle(pdf: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        # a batch that is cut by chunks is admitted in pieces: what goes out early goes in the same round
+        pdf = pdf.sort_values("batch", kind="stable")
+        pairs, batch = pdf[["length", "arrival"]].to_numpy(np.int64), pdf["batch"].to_numpy()
+        waiting, out, rounds = _pairs(before["prefix"].iloc[0]), [], []
+        ends = np.append(np.flatnonzero(np.diff(batch)) + 1, len(batch))
+        first = 0
+        for last in ends:
+            every = np.concatenate([waiting, pairs[first:last]])
+            every = every[np.lexsort((every[:, 1], every[:, 0]))]
+            go = max(0, len(every) - wait) if not (last == len(batch) and before["last"].iloc[0]) else len(every)
+            out.append(every[:go])
+            rounds.append(np.full(go, batch[first]))
+            waiting, first = every[go:], last
+        found = np.concatenate(out)
+        return pd.DataFrame({key: pdf[key].iloc[0], "arrival": found[:, 1], "length": found[:, 0], "round": np.concatenate(rounds)})
+
+    tops = rows.groupBy(own, "part").applyInPandas(top, f"{own} {kind}, part long, payload binary")
+    merge = lambda a, b: _largest(np.concatenate([_pairs(a), _pairs(b)]), wait).astype("<i8").tobytes()
+    before = prefixes(tops, key, merge, most // chunk + 1)
+    return rows.groupBy(own, "part").cogroup(before.groupBy(own, "part")).applyInPandas(settle, f"{own} {kind}, arrival long, length long, round long")
+
+
+BAD = -1  # of a fill from which a BOS would not fit
+
+
+def table(sizes: np.ndarray, options: PackOptions) -> tuple[np.ndarray, np.ndarray]:
+    """Of every fill (0 to seq_len - 1) the fill after picks of these lengths, and the rows that they complete."""
+    b, width = len(options.bos), options.seq_len
+    fill, full = np.arange(width), np.zeros(width, np.int64)
+    of, extra = np.arange(width), np.zeros(width, np.int64)  # fills that have met share an entry, the rows they had more are kept apart
+    for k, size in enumerate((sizes + b + len(options.eos)).tolist()):
+        if b > 1:
+            fill = np.where(fill + b > width, BAD, fill)
+        new = np.where(fill < 0, BAD, fill + size)
+        over = new >= width
+        full += over
+        fill = np.where(over, 0, new)
+        if len(fill) > 1 and (k % 8 == 7 or k < 4):
+            fill, first, back = np.unique(fill, return_index=True, return_inverse=True)
+            extra += (full - full[first][back])[of]
+            of, full = back[of], full[first]
+    return fill[of], full[of] + extra
+
+
+def _packed(fill: np.ndarray, full: np.ndarray) -> bytes:
+    return fill.astype("<i8").tobytes() + full.astype("<i8").tobytes()
+
+
+def _unpacked(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(payload, "<i8")
+    return both[: len(both) // 2], both[len(both) // 2 :]
+
+
+def compose(a: bytes, b: bytes) -> bytes:
+    """The table of what a and then b do."""
+    (fa, ra), (fb, rb) = _unpacked(a), _unpacked(b)
+    good = fa >= 0
+    at = np.where(good, fa, 0)
+    return _packed(np.where(good, fb[at], BAD), ra + np.where(good, rb[at], 0))
+
+
+def _places(picks: DataFrame, key: str, options: PackOptions, parts: int) -> DataFrame:
+    own, kind = quoted(key), picks.schema[key].dataType.simpleString()
+
+    def make(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = table(pdf.sort_values("pick")["length"].to_numpy(), options)
+        return pd.DataFrame({key: pdf[key].iloc[:1], "part": pdf["part"].iloc[:1], "payload": [_packed(*found)]})
+
+    def lay(pdf: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pick")
+        fill, row = 0, 0
+        if before["prefix"].iloc[0] is not None:
+            fills, rows = _unpacked(before["prefix"].iloc[0])
+            fill, row = int(fills[0]), int(rows[0])
+        order = zip(pdf["length"].tolist(), pdf["arrival"].tolist(), strict=True)
+        out = pd.DataFrame(list(place(order, options, row, fill)), columns=["arrival", "row", "off", "take", "tail"])
+        out[key], out["pick"] = pdf[key].iloc[0], pdf["pick"].to_numpy()
+        out["full_rows"] = int(_unpacked(before["total"].iloc[0])[1][0])
         return out
 
-    out = source.select(key, "arrival", "batch", "length").groupBy(key).applyInPandas(
-        run, f"pick long, arrival long, row long, off int, take int, tail int, full_rows long, `{key}` {kind}"
-    )
-    return out if group else out.drop(key)
+    tables = picks.groupBy(own, "part").applyInPandas(make, f"{own} {kind}, part long, payload binary")
+    before = prefixes(tables, key, compose, parts)
+    schema = f"pick long, arrival long, row long, off int, take int, tail int, full_rows long, {own} {kind}"
+    return picks.groupBy(own, "part").cogroup(before.groupBy(own, "part")).applyInPandas(lay, schema)
 
 
 def blocks(sequences: DataFrame, options: PackOptions, group: str | None = None) -> DataFrame:

@@ -140,8 +140,32 @@ def pack_rows_buffered(spark, sf):
     return packing.plan(_lengths(spark, sf, batch=100), options).drop("full_rows")
 
 
-@query()
+@query("""
+with recursive s as (select source, doc_id, strlen(text)::bigint as k, row_number() over (partition by source order by doc_id // 1024, doc_id) as seen from documents where text is not null),
+o as (select source, doc_id, k, doc_id // 1024 as batch from s),
+b as (select source, batch, row_number() over (partition by source order by batch) as nb, list({'k': k, 'd': doc_id}) as items from o group by source, batch),
+p as (
+  select source, 0::bigint as i, null::bigint as doc_id, null::bigint as k, []::struct(k bigint, d bigint)[] as waiting, 1::bigint as next_batch from (select distinct source from o)
+  union all
+  select source, i + 1, w[1].d, w[1].k, w[2:], n from (
+    select p.source, p.i, list_sort(case when admit then list_concat(p.waiting, b.items) else p.waiting end) as w, case when admit then p.next_batch + 1 else p.next_batch end as n
+    from (select *, len(waiting) < 512 as short from p) p left join b on b.source = p.source and b.nb = p.next_batch, lateral (select short and b.items is not null as admit))
+  where len(w) > 0),
+picks as materialized (select source, i, doc_id, k from p where i > 0),
+f as (
+  select source, 0::bigint as i, 0::bigint as doc_id, 0::bigint as "row", 0::bigint as take, 0::bigint as next_row, 0::bigint as fill from (select distinct source from picks)
+  union all
+  select f.source, q.i, q.doc_id, f.next_row, least(q.k, 512 - f.fill - 1), case when f.fill + 1 + q.k >= 512 then f.next_row + 1 else f.next_row end, case when f.fill + 1 + q.k >= 512 then 0 else f.fill + 1 + q.k end
+  from f join picks q on q.source = f.source and q.i = f.i + 1),
+full_rows as (select source, max(next_row) as n from f group by source)
+select f.source, "row" // 4 as batch_id, ("row" % 4)::int as row_in_batch, 512 as n_tokens, sum(256 + coalesce((select list_sum(list_transform(range(1, f.take::int + 1), lambda i: ('0x' || substr(hex(encode(d.text)), (2 * i - 1)::int, 2))::int))), 0))::bigint as total
+from f join full_rows using (source) join documents d using (doc_id) where i > 0 and "row" // 4 < n // 4 group by all""")
 def dense_blocks(spark, sf):
+    rows = packed_blocks(spark, sf)
+    return rows.select("source", "batch_id", "row_in_batch", F.size("tokens").alias("n_tokens"), F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+def packed_blocks(spark, sf):
     """Documents by source as shards: bytes as tokens, packed by shard into rows of 512, four to a block."""
     options = packing.PackOptions(batch_size=4, seq_len=512, min_buffer=512, bos=(BOS,))
     rows = text.select_text(docs(spark, sf), keep=("doc_id", "source"))
@@ -170,17 +194,26 @@ def block_sink(spark, sf):
     return rows.select("batch_id", F.size("rows").cast("long").alias("n_rows"), F.size(F.flatten("rows")).cast("long").alias("n_tokens"))
 
 
-@query("select doc_id, true as in_reach from documents")
+_DRAW = "('0x' || substr(md5('3:{}:' || {}), 1, 8))::bigint"
+
+
+@query(f"""
+with d as (select doc_id, row_number() over (order by doc_id) - 1 as t, count(*) over () as n from documents),
+h as (select *, least(128, (t + 1) * 8) as held from d),
+w as (select *, held + t < n as refills, sum((held + t < n)::int) over ()::bigint as steps from h),
+x as (select *, case when refills then {_DRAW.format("step", "t")} % held else t - steps end as slot from w),
+l as (select *, lag(t) over (partition by slot order by t) as last from x),
+i as (select *, case when last is null then slot + slot // 8 else least(128, (last + 1) * 8) + last end as item,
+  steps + row_number() over (partition by refills order by {_DRAW.format("rest", "slot")}, slot) - 1 as rest from l)
+select d.doc_id, case when refills then i.t else i.rest end as position from i join d on d.t = i.item""")
 def shuffle_buffered(spark, sf):
-    """The order itself depends on the generator; what holds for any is that each id comes once, and none before the buffer could hold it."""
-    out = shuffle.buffered_shuffle(docs(spark, sf), "doc_id", fill_rate=8, buffer_size=128, seed=3)
-    numbered = shuffle.global_index(docs(spark, sf).select("doc_id"), "doc_id")
-    return out.join(numbered, "doc_id").select("doc_id", (F.col("row_no") <= F.col("position") + 128).alias("in_reach"))
+    return shuffle.buffered_shuffle(docs(spark, sf), "doc_id", fill_rate=8, buffer_size=128, seed=3)
 
 
-@query("select doc_id from documents")
+@query("select doc_id, row_number() over (order by md5('3:1:' || doc_id), doc_id) - 1 as place from documents")
 def shuffle_hashed(spark, sf):
-    return shuffle.hash_shuffle(docs(spark, sf).select("doc_id"), "doc_id", seed=3, epoch=1)
+    order = docs(spark, sf).select("doc_id", shuffle.order_key("doc_id", seed=3, epoch=1).alias("key"))
+    return shuffle.global_index(order, "key", "doc_id").select("doc_id", F.col("row_no").alias("place"))
 
 
 @query("select doc_id, (row_number() over (order by doc_id) - 1) // 64 as batch_id, ((row_number() over (order by doc_id) - 1) % 64)::int as row_in_batch from documents")

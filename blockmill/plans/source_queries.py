@@ -88,12 +88,14 @@ def folder_scan(spark, sf):
     return read_shards(spark, [f"{root}/shard 1", f"{root}/one/{file}"])
 
 
-@query("select 7 as epoch, count(distinct source) as n_shards, true as same_again, true as moved from documents")
+@query("""
+with s as (select source, row_number() over (order by source) - 1 as k from (select distinct source from documents))
+select source, epoch, row_number() over (partition by epoch order by md5('3:' || epoch || ':' || k), k) - 1 as place from s, (values (7), (8)) as e(epoch)""")
 def shard_orders(spark, sf):
-    """The epoch's order of shards is a permutation, the same for the same seed and epoch, and another in the next."""
-    names = [f"src{k}" for k in range(docs(spark, sf).select("source").distinct().count())]
-    one, two, other = (shuffle.shard_order(names, 3, e) for e in (7, 7, 8))
-    return spark.createDataFrame([(7, len(set(one) & set(names)), one == two, one != names and other != one)], "epoch int, n_shards long, same_again boolean, moved boolean")
+    """The places of the sources, as shards, in two epochs."""
+    names = [r.source for r in docs(spark, sf).select("source").distinct().orderBy("source").collect()]  # a name a shard, as a list of shards is
+    rows = [(name, epoch, place) for epoch in (7, 8) for place, name in enumerate(shuffle.shard_order(names, 3, epoch))]
+    return spark.createDataFrame(rows, "source string, epoch int, place long")
 
 
 @query("select item_id, len(string_split(text, ' '))::bigint as n_tokens, list_sum(list_transform(string_split(text, ' '), lambda w: len(w)))::bigint as total from benchmark")

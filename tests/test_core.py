@@ -1,6 +1,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,8 +148,66 @@ def test_buffered_shuffle_bounds(spark):
     for bad in ((0, 5), (6, 5), (1, 1)):
         with pytest.raises(Invalid):
             list(shuffle.buffered([], *bad))
-    got = shuffle.buffered_shuffle(spark.range(50), "id", seed=4).orderBy("position").collect()
-    assert [r.id for r in got] == list(shuffle.buffered(range(50), seed=4))
+    for n in (0, 1, 7, 8, 50, 128, 129, 700):
+        got = shuffle.buffered_shuffle(spark.range(n).repartition(3), "id", seed=4, steps=64).orderBy("position").collect()
+        assert [r.id for r in got] == list(shuffle.buffered(range(n), seed=4)), n
+        assert [r.position for r in got] == list(range(n))
+    df = spark.range(90).selectExpr("id as k", "case when id % 3 > 0 then id % 3 end as item")
+    got = shuffle.buffered_shuffle(df, "k", 2, 5, seed=1, group="item", steps=4).collect()
+    for g in (None, 1, 2):
+        of = [r.k for r in sorted(got, key=lambda r: r.position) if r.item == g]
+        assert of == list(shuffle.buffered([k for k in range(90) if k % 3 == (g or 0)], 2, 5, seed=1))
+
+
+def test_row_numbers_of_large_and_repeated_values(spark):
+    top = (1 << 60) + 1
+    df = spark.range(3000).selectExpr(f"case when id < 500 then null when id < 2500 then {top} else {top} + id end as v", "id as _tie", "id as row")
+    got = shuffle.global_index(df.repartition(5), "v", range_rows=100).collect()
+    assert sorted(r.row_no for r in got) == list(range(3000))
+    assert all((r.row < 500) == (r.row_no < 500) and (r.row < 2500) == (r.row_no < 2500) for r in got)
+    assert all(r.row == r.row_no for r in got if r.row >= 2500)
+    ranges = spark.read.parquet(*[f for f in shuffle.global_index(df, "v", range_rows=100).inputFiles()]).groupBy("_part").count().collect()
+    assert max(r["count"] for r in ranges) < 400
+    by = shuffle.global_index(df, "row", group="v", range_rows=100).collect()
+    assert sorted(r.row_no for r in by if r.v is None) == list(range(500)) and all(r.row_no == r.row - 500 for r in by if r.v == top)
+
+
+@pytest.mark.parametrize("min_buffer", [1, 2, 7, 30, 1000])
+def test_parallel_packing_equals_the_literal_rule(spark, min_buffer):
+    """Groups of many shapes in one frame, cut into small chunks; batches larger than a chunk, ties, a null group, an end that is cut."""
+    rng = random.Random(min_buffer)
+    o = packing.PackOptions(2, rng.randrange(5, 40), min_buffer, (9,), tuple([8] * rng.randrange(3)))
+    rows, want = [], {}
+    for g in range(25):
+        n, per, top = rng.randrange(1, 150), rng.choice([1, 3, 7, 200]), rng.choice([3, 60])
+        sizes, name = [rng.randrange(top) for _ in range(n)], f"g{g}" if g else None
+        rows += [(name, k, k // per, size) for k, size in enumerate(sizes)]
+        batches = [[(sizes[k], k) for k in range(a, min(a + per, n))] for a in range(0, n, per)]
+        want[name] = [(p, *x) for p, x in enumerate(packing.place(packing.pick_order(batches, min_buffer), o))]
+    got: dict = {}
+    for r in packing.plan(spark.createDataFrame(rows, "part string, arrival long, batch long, length long"), o, "part", chunk=16).collect():
+        got.setdefault(r.part, []).append((r.pick, r.arrival, r.row, r.off, r.take, r.tail))
+    assert {g: sorted(v) for g, v in got.items()} == want
+
+
+def test_tables_of_fills():
+    rng = random.Random(2)
+    for _ in range(2000):
+        o = packing.PackOptions(2, rng.randrange(2, 30), 3, tuple([9] * rng.randrange(3)), tuple([8] * rng.randrange(3)))
+        sizes = [rng.randrange(40) for _ in range(rng.randrange(1, 60))]
+        fill, full = packing.table(np.array(sizes), o)
+        k = rng.randrange(len(sizes))
+        if k:
+            halves = packing.compose(*(packing._packed(*packing.table(np.array(s), o)) for s in (sizes[:k], sizes[k:])))
+            assert (packing._unpacked(halves)[0] == fill).all() and (packing._unpacked(halves)[1] == full)[fill >= 0].all()
+        start = rng.randrange(o.seq_len)
+        try:
+            *_, (_, row, off, take, tail) = packing.place([(size, 0) for size in sizes], o, 0, start)
+        except Invalid:
+            assert fill[start] == packing.BAD
+            continue
+        end = off + len(o.bos) + take + tail
+        assert (fill[start], full[start]) == ((0, row + 1) if end >= o.seq_len else (end, row))
 
 
 def test_hashed_orders(spark):
