@@ -13,9 +13,10 @@ Committing: file names are made for each attempt, and the manifest (Parquet, com
 counted; files that it does not list are leftovers of lost tasks, and sweep() deletes them. Paths may be local to a shared mount or any that
 pyarrow's file systems open; only local ones are memory-mapped, others are read in whole.
 
-Encoding is the tokenizers library's. It drops ASCII white space and nothing reaches across it, so texts are cut there, and a worker keeps
-the ids of chunks that it has met: of at most KEEP chunks of at most KEEP_BYTES bytes each, older ones dropped by halves. Longer ones are
-encoded where they stand.
+Encoding is the tokenizers library's, a word at a time. Where a text stays below U+0530 it is normalised and cut into words here, by the
+rules of the file, as in bpe; a worker keeps the ids of words and of what stands between white space, about KEEP of them of at most KEEP_CHARS
+characters each, the older half dropped when the younger is full, and the library encodes new words many at once, each ending in a token
+that ends a word. Other texts go through the library whole.
 
 Defined cases: a null text is an empty one and has its end id alone; null ids come first; rows of one doc_id are ordered by a hash of their
 text, and equal rows are all kept; an empty table gives no files and no rows; columns other than doc_id and the text are not read.
@@ -23,24 +24,33 @@ text, and equal rows are all kept; an empty table gives no files and no rows; co
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import unicodedata
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from blockmill.llm.bpe import PLAIN, SPACE
 from blockmill.llm.common import batches_of, new_path, release, slices, staged, table, tokenizer_path
 
 FILE = "word_bpe_49k.json"
 END = 1
 FILE_BYTES = 32 << 20  # of text, whose ids become one file, on average
 BATCH = 512  # documents encoded or read at a time
-KEEP, KEEP_BYTES = 200_000, 64
+KEEP, KEEP_CHARS = 1_000_000, 32
+WORDS = 1000  # encoded in one call
+WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
+MARKS = ".,;:!?"  # other signs that one word may end with
+ODD = re.compile("[\x1c-\x1f]")  # white space to str.split() alone
 MAGIC = 0x424C4F434B4D494C
 HEADER = 6
 MANIFEST = "part int, name string, n_docs long, n_tokens long"
@@ -54,11 +64,21 @@ class Encoder:
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
-        self.whole = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.whole = Tokenizer.from_str(json.dumps(spec))
         self.whole.no_padding()
         self.whole.no_truncation()
         self.width = 2 if self.whole.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
+        vocab = self.whole.get_vocab(with_added_tokens=True)
+        suffix = spec["model"].get("end_of_word_suffix") or ""
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or "(?!)")
+        # a file of other rules goes through the library whole
+        self.known = bool(suffix) and name_of_rules(spec)
         self.half, self.young, self.old = keep // 2, {}, {}
 
     @classmethod
@@ -69,33 +89,85 @@ class Encoder:
         return _encoders[path]
 
     def packed(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.whole.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.kind).tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new_words(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for k in range(0, len(words), WORDS):
+            part = words[k : k + WORDS]
+            ids = np.array(self.whole.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(part):
+                data, w = ids.tobytes(), self.width
+                at = (ends * w).tolist()
+                out += [data[a:b] for a, b in zip([0, *at], at)]
+            else:
+                out += self.packed(part)
+        return out
+
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """Puts the ids of chunks into the younger generation, which lacks them; gives those that are too long to be kept."""
+        long_: dict[str, bytes] = {}
+        words: set[str] = set()
+        cut: list[tuple[str, list[str]]] = []
+        young, old = self.young, self.old
+        for c in chunks:
+            if (ids := old.get(c)) is not None:
+                young[c] = ids
+            elif c.isalpha():
+                words.add(c)
+            else:
+                own = [c[:-1], c[-1]] if c[-1] in MARKS and c[:-1].isalpha() else WORD.findall(c)
+                cut.append((c, own))
+                words.update(own)
+        todo = []
+        for w in words:
+            if w not in young:
+                if (ids := old.get(w)) is not None:
+                    young[w] = ids
+                else:
+                    todo.append(w)
+        for w, ids in zip(todo, self._new_words(todo), strict=True):
+            (young if len(w) <= KEEP_CHARS else long_)[w] = ids
+        for c, own in cut:
+            (young if len(c) <= KEEP_CHARS else long_)[c] = b"".join([young[w] if w in young else long_[w] for w in own])
+        return long_
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, one after another."""
-        # bytes are cut at ASCII white space alone
-        cut = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        every = set().union(*cut)
-        here: dict[bytes, bytes] = {}
-        missing = []
-        for c in every:
-            found = self.young.get(c)
-            if found is None and (found := self.old.get(c)) is not None:
-                self.young[c] = found
-            if found is None:
-                missing.append(c)
+        out: list[bytes] = [b""] * len(texts)
+        cut: list[tuple[int, list[str], list[bytes | None]]] = []
+        whole: list[int] = []
+        missing: set[str] = set()
+        get = self.young.get
+        for k, t in enumerate(texts):
+            if not t:
+                continue
+            if not self.known or not (t.isascii() or max(t) < PLAIN) or ODD.search(t) or self.special.search(t):
+                whole.append(k)
+                continue
+            if not t.isascii():
+                t = unicodedata.normalize("NFC", t).replace("Σ", "σ")
+            words = t.lower().split()
+            ids = list(map(get, words))
+            if None in ids:
+                missing.update([w for w, i in zip(words, ids) if i is None])
+                cut.append((k, words, ids))
             else:
-                here[c] = found
-        for k in range(0, len(missing), 4096):
-            part = missing[k : k + 4096]
-            for c, ids in zip(part, self.packed([c.decode("utf-8", "replace") for c in part]), strict=True):
-                here[c] = ids
-                if len(c) <= KEEP_BYTES:
-                    self.young[c] = ids
+                out[k] = b"".join(ids)
+        long_ = self._learn(missing)
+        for k, words, ids in cut:
+            out[k] = b"".join([i if i is not None else get(w) or long_.get(w, b"") for w, i in zip(words, ids)])
+        for k in whole:
+            out[k] = self.packed([texts[k]])[0]
         if len(self.young) >= self.half:
             self.young, self.old = {}, self.young
-        get = here.__getitem__
-        return [b"".join(map(get, words)) for words in cut]
+        return out
+
+
+def name_of_rules(spec: dict) -> bool:
+    """Whether a tokenizer file normalises and cuts as encode() does: composed, in small letters, runs of letters, single digits, runs of other signs."""
+    return "lowercase" in json.dumps(spec["normalizer"]).lower() and "NFC" in json.dumps(spec["normalizer"]) and "[\\\\p{L}]+|[\\\\p{N}]" in json.dumps(spec["pre_tokenizer"])
 
 
 def _system(path: str) -> tuple[pafs.FileSystem, str]:

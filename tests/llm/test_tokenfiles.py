@@ -34,7 +34,16 @@ def test_chunks_are_encoded_as_whole_texts_are(library):
         for k in range(0, len(texts), 100):
             for text, got in zip(texts[k : k + 100], encoder.encode(texts[k : k + 100]), strict=True):
                 assert np.frombuffer(got, encoder.kind).tolist() == library.encode(text or "", add_special_tokens=False).ids, repr(text)
-    assert len(small.young) < 32 + 3000 and all(len(c) <= t.KEEP_BYTES for c in [*small.young, *small.old])
+    assert all(len(c) <= t.KEEP_CHARS for c in [*small.young, *small.old])
+
+
+def test_what_is_kept_is_bounded():
+    """Distinct chunks, long ones and short ones: neither stays beyond the bound."""
+    e = t.Encoder(tokenizer_path(t.FILE), keep=400)
+    for k in range(50):
+        e.encode([" ".join(f"w{k}x{j}" for j in range(100)), "q" * 20000 + str(k)])
+    held = [*e.young.items(), *e.old.items()]
+    assert len(held) < 400 + 2 * 300 and sum(len(c) + len(i) for c, i in held) < 60_000
 
 
 def test_query_equals_the_library(spark, library):
