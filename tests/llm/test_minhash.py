@@ -1,5 +1,5 @@
 import random
-from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -20,26 +20,20 @@ def plain_words(text):
     return out
 
 
-def labelled(text):
-    w = plain_words(text)
-    k = min(m.K, len(w))
-    seen, out = {}, []
-    for i in range(len(w) - k + 1 if w else 0):
-        s = tuple(w[i : i + k])
-        seen[s] = seen.get(s, 0) + 1
-        out.append((s, seen[s]))
-    return out
-
-
 def alignment(a, b):
-    """Longest common subsequence of two lists of distinct items, over what they have together."""
-    place = {x: i for i, x in enumerate(b)}
-    tails = []
+    """The longest common subsequence of two word lists, over the longer one's length; row by row."""
+    row = [0] * (len(b) + 1)
     for x in a:
-        if x in place:
-            at = bisect_left(tails, place[x])
-            tails[at : at + 1] = [place[x]]
-    return len(tails) / (len(a) + len(b) - len(tails)) if a and b else 0.0
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1] / max(len(a), len(b)) if a and b else 0.0
+
+
+def may_link(a, b):
+    """Whether two texts share words enough for a link, repeats counted."""
+    return sum((Counter(a) & Counter(b)).values()) >= m.THRESHOLD * max(len(a), len(b))
 
 
 def brute(rows):
@@ -48,7 +42,7 @@ def brute(rows):
     text = {}
     for i, t in rows:
         text.setdefault(i, t)
-    grams = {i: labelled(text[i]) for i in ids}
+    own = {i: plain_words(text[i]) for i in ids}
     root = {i: i for i in ids}
 
     def find(i):
@@ -58,7 +52,7 @@ def brute(rows):
 
     for n, i in enumerate(ids):
         for j in ids[:n]:
-            if alignment(grams[i], grams[j]) >= m.THRESHOLD:
+            if own[i] and own[j] and may_link(own[i], own[j]) and (own[i] == own[j] or alignment(own[i], own[j]) >= m.THRESHOLD):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return {i: find(i) for i in ids}
@@ -68,19 +62,48 @@ def text_of(rng, n):
     return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7))) for _ in range(n))
 
 
+def hashed(text):
+    return m.unpacked(m.short(next(m._each([text]))))
+
+
 def test_similarity_equals_brute_force():
     rng = random.Random(1)
-    for _ in range(300):
-        a = text_of(rng, rng.randrange(1, 60)).split()
+    linked = 0
+    for k in range(1500):
+        a = [rng.choice("abcdefgh") if k % 2 else text_of(rng, 1) for _ in range(rng.randrange(1, 60))]
         b = a[:]
-        for _ in range(rng.randrange(0, 4)):
-            at = rng.randrange(len(b))
-            b[at : at + rng.randrange(0, 2)] = rng.choice([["x"], ["y", "z"], a[:6]])
-        a, b = " ".join(a), " ".join(b)
-        ha, hb = (m.kmers(next(m._each([t]))) for t in (a, b))
-        want = alignment(labelled(a), labelled(b))
-        got = m.similarity(ha, hb)
+        for _ in range(rng.randrange(0, 14)):
+            at = rng.randrange(len(b) or 1)
+            b[at : at + rng.randrange(0, 2)] = rng.choice([["x"], ["y", "z"], a[:6], []])
+        want = alignment(a, b)
+        got = m.similarity(hashed(" ".join(a)), hashed(" ".join(b)))
         assert got == pytest.approx(want) if want >= m.THRESHOLD else got <= want + 1e-12
+        linked += want >= m.THRESHOLD
+    assert 300 < linked < 1400
+
+
+def test_an_edit_costs_a_word(spark):
+    """Scattered edits of single words: the similarity is that of words, and such pairs are found."""
+    rng = random.Random(11)
+    rows, of = [], {}
+    for g in range(150):
+        n, edits = rng.choice([(60, 2), (120, 3), (300, 12), (300, 24), (2000, 150)])
+        w = text_of(rng, n).split()
+        near = w[:]
+        for at in rng.sample(range(n), edits):
+            near[at] = rng.choice(["qq", "", f"q{at}", f"{near[at]} q{at}"])
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(near))]
+        assert m.similarity(hashed(rows[-2][1]), hashed(rows[-1][1])) >= 1 - edits / n - 0.01
+    got = {r.doc_id: r.class_id for r in m.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[2 * g + 1] == 2 * g for g in range(150)) >= 148 and all(got[2 * g] == 2 * g for g in range(150))
+
+
+def test_long_texts_align_in_their_band():
+    rng = random.Random(12)
+    w = text_of(rng, 20000).split()
+    near = [x if rng.random() > 0.05 else "edit" for x in w]
+    assert 0.93 < m.similarity(hashed(" ".join(w)), hashed(" ".join(near))) < 0.97
+    assert m.similarity(hashed(" ".join(w)), hashed(" ".join(w[10000:] + w[:10000]))) < m.THRESHOLD
 
 
 def test_kmers_are_labelled_and_in_order():
@@ -148,7 +171,7 @@ def test_hot_group_without_a_common_centre(spark, monkeypatch):
     assert got == want
     cell = pd.DataFrame({"bucket": 1, "i": 0, "j": 0, "block": 0, "doc_id": range(120), "comp": range(120)})
     hs = list(m._each([t for _, t in rows]))
-    cell["words"], cell["bands"] = [m.short(h) for h in hs], [np.array([1] + [0] * 15)] * 120
+    cell["words"], cell["bands"] = [m.short(h) for h in hs], [np.array([1] + [0] * (m.BANDS - 1))] * 120
     root = list(range(120))
     for a, b in m._across(cell).itertuples(index=False):
         lo, hi = sorted((root[a], root[b]))
@@ -196,7 +219,7 @@ def test_two_texts_under_one_id(spark):
 
 
 def edited(base, rng, share):
-    """base with so many of its words replaced by new ones, in one run (which changes few k-mers more than words)."""
+    """base with so many of its words replaced by new ones, in one run (which changes few pairs more than words)."""
     w, n = base[:], int(len(base) * share)
     at = rng.randrange(len(w) - n)
     w[at : at + n] = [f"u{rng.random()}" for _ in range(n)]
@@ -224,21 +247,30 @@ def test_shared_passage_across_components(spark, monkeypatch, hot):
 
 
 def test_rare_grams_meet_every_link(spark):
-    """Every pair of members that links across components shares a rare k-mer."""
+    """Every pair of members that links across components shares a rare pair of neighbouring words."""
     rng = random.Random(10)
     base = text_of(rng, 60).split()
-    texts = [" ".join(edited(base, rng, rng.choice([0.05, 0.1, 0.3]))) for _ in range(40)]
+    texts = [" ".join(edited(base, rng, rng.choice([0.05, 0.1, 0.15, 0.3]))) for _ in range(40)]
     packed = [m.short(h) for h in m._each(texts)]
-    rows = [(i, i, len(m.grams(p)), bytearray(p)) for i, p in enumerate(packed)]
+    rows = [(i, i, len(m.unpacked(p)), bytearray(p)) for i, p in enumerate(packed)]
     found = {}
-    for r in m.rare(spark.createDataFrame(rows, "doc_id long, comp long, kn long, words binary")).collect():
+    for r in m.rare(spark.createDataFrame(rows, "doc_id long, comp long, n_words long, words binary")).collect():
         found.setdefault(r.doc_id, set()).add(r.gram)
     for i in range(40):
         for j in range(i):
-            if m.similarity(m.grams(packed[i]), m.grams(packed[j])) >= m.THRESHOLD:
+            if m.similarity(m.unpacked(packed[i]), m.unpacked(packed[j])) >= m.THRESHOLD:
                 assert found.get(i, set()) & found.get(j, set())
 
 
+def test_links_are_given_out(spark):
+    rng = random.Random(13)
+    w = text_of(rng, 100).split()
+    rows = [(5, " ".join(w)), (3, " ".join(w)), (9, " ".join(["new", *w])), (7, text_of(rng, 50)), (8, None)]
+    classed, edges = m.found(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [tuple(r) for r in edges.collect()] == [(3, 9)]
+    assert {r.doc_id: (r.class_id, r.text_id) for r in classed.collect()} == {5: (3, 3), 3: (3, 3), 9: (3, 9), 7: (7, 7), 8: (8, None)}
+
+
 def test_keep_with_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b c d e f", 1, 2), (2, "a b c d e f", 3, 4), (None, None, 5, 6)], "doc_id long, text string, _gone int, gone int")
     got = m.keep(df)
