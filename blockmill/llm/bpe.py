@@ -4,9 +4,8 @@ A text is cut at the special tokens, normalised, split into words, and each word
 priority queue holds the merge ranks of neighbouring symbols; the lowest rank (leftmost first) is merged, its neighbours' new pairs are
 pushed, and entries whose symbols have changed meanwhile are skipped as stale. Decoding concatenates vocabulary strings.
 
-Words repeat, so each Python worker keeps the ids of up to CACHE chunks between white space, and of half as many words; memory is bounded by
-that and by the batch. One narrow pass over
-whole texts, no shuffle.
+Words repeat, so each Python worker keeps the ids of chunks between white space, in CACHE_BYTES, and of words, in half as much. Keys beyond
+KEY characters are encoded each time and not kept, so a worker holds those bytes, and beside them one batch. One narrow pass over whole texts, no shuffle.
 
 Defined cases: a null text is an empty one and has no ids; repeated rows are encoded alike; an empty table gives no rows; the outputs
 replace input columns of the same names.
@@ -27,10 +26,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockmill.llm.common import table, tokenizer_path
+from blockmill.llm.common import quoted, table, tokenizer_path
 
 FILE = "word_bpe_49k.json"
-CACHE = 300_000
+CACHE_BYTES = 80 << 20
+ENTRY_BYTES = 200  # of a dictionary's entry, its string and its tuple, without what they hold
+KEY = 64
 ROWS = 512  # of one output batch
 #: Unicode white space
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -47,23 +48,26 @@ def byte_symbols() -> list[str]:
 
 
 class Kept:
-    """What has been computed lately: two generations of at most half the entries each; the older one is dropped when the younger is full."""
+    """What has been computed lately: two generations of at most half the bytes each; the older one is dropped when the younger is full."""
 
     def __init__(self, make: Callable[[str], tuple[int, ...]], most: int):
-        self.make, self.half, self.young, self.old = make, most // 2, {}, {}
+        self.make, self.half, self.size, self.young, self.old = make, most // 2, 0, {}, {}
 
     def add(self, key: str) -> tuple[int, ...]:
-        if len(self.young) >= self.half:
-            self.young, self.old = {}, self.young
+        if len(key) > KEY:
+            return self.make(key)
         found = self.old.get(key)
         if found is None:
             found = self.make(key)
+        self.size += ENTRY_BYTES + 4 * len(key) + 8 * len(found)
+        if self.size >= self.half:
+            self.size, self.young, self.old = 0, {}, self.young
         self.young[key] = found
         return found
 
 
 class Bpe:
-    def __init__(self, spec: dict, cache: int = CACHE):
+    def __init__(self, spec: dict, cache: int = CACHE_BYTES):
         model = spec["model"]
         self.ids: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"] or ""
@@ -181,7 +185,7 @@ def encode(docs: DataFrame, text_col: str = "text", name: str = FILE, decoded: b
     """docs with ids array<int> and n_tokens long; with decoded also the string that decoding the ids gives."""
     new = {"ids": "array<int>", "n_tokens": "bigint"} | ({"decoded": "string"} if decoded else {})
     rest = docs.drop(*new)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema), *(f"{k} {v}" for k, v in new.items())])
+    schema = ", ".join([*(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in rest.schema), *(f"{k} {v}" for k, v in new.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Bpe.load(name)

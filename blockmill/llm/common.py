@@ -99,6 +99,16 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def quoted(name: str) -> str:
+    """A column's name as col() reads it, whatever signs it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def field(struct: str, name: str) -> Column:
+    """A struct column's field, whatever signs its name holds."""
+    return F.col(f"{struct}.{quoted(name)}")
+
+
 def fold(id_col: Column) -> Column:
     """crc32 of the id as text, mod 5; fold 0 is held out. Null ids count as fold 1."""
     return F.coalesce(F.crc32(id_col.cast("string")) % 5, F.lit(1))

@@ -14,11 +14,13 @@ source's last seat is cut or lengthened until it gives the target to the word; o
 A document gives the words that lie in the taken blocks.
 
 The running word count within a source is made of two levels, hash buckets and rows within a bucket, so a source with a third of all
-rows is spread over BUCKETS groups. There are fewer than SEATS blocks and one more for each source, whatever the rows. Sources are sorted in
+rows is spread over BUCKETS groups. The order is that of a hash of the id. Where more than SPREAD rows of a source share an id, or have none, the
+hash is of the content and of a number among equal rows as well, so that they do not meet in one bucket; equal rows are counted before they
+are shuffled. There are fewer than SEATS blocks and one more for each source, whatever the rows. Sources are sorted in
 one task, a row each.
 
 Defined cases: a null text has no words; null sources are a source of their own, sorted last; null ids are ordered as an empty id;
-repeated rows each take their own place in the order; an empty table gives no rows, and sources without words a target of 0. mix() replaces
+repeated rows each take their own place in the order (where they are spread, map columns are not supported); an empty table gives no rows, and sources without words a target of 0. mix() replaces
 columns of the input called like its outputs; expand() keeps all columns, whatever their names.
 """
 
@@ -27,13 +29,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from blockmill.llm.common import staged, table
+from blockmill.llm.common import field, quoted, small, staged, table
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = 2
 SEATS = 4096
 SHARDS = 16  # divides SEATS
 SEED = 5
+SPREAD = 64  # rows of one id in a source, beyond which they are spread
 BUCKETS = 3  # hex digits of a hash: 4096 buckets
 OUTPUTS = ("size", "source_size", "target", "taken", "shard")
 
@@ -110,13 +113,29 @@ def plan(docs_sizes: DataFrame) -> DataFrame:
     )
 
 
+def ordered(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """row (the columns of docs, or those to carry), source, size, order, the hash by which a source's rows stand, and bucket, its first digits."""
+    text = F.col(quoted(text_col))
+    sized = docs.select(F.struct(*(F.col(quoted(c)) for c in carry or docs.columns)).alias("row"), F.col("source"), word_count(text).alias("size"), F.col("doc_id").cast("string").alias("id"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("content"))
+    order = lambda *parts: F.md5(F.concat_ws(":", F.lit(SEED), F.coalesce("id", F.lit("")), *parts).cast("binary"))
+    keyed = sized.withColumn("order", order())
+    hot = staged(sized.groupBy("source", "id").agg(F.count("*").alias("n")).where(F.col("n") > SPREAD).select(F.col("source").alias("s"), F.col("id").alias("i")), "mix-hot")
+    if not hot.isEmpty():
+        few = small(hot)
+        same = F.col("source").eqNullSafe(F.col("s")) & F.col("id").eqNullSafe(F.col("i"))
+        # equal rows are counted and listed again, each with a number
+        copies = sized.join(few, same, "left_semi").groupBy("row", "source", "size", "id", "content").agg(F.count("*").alias("n"))
+        apart = copies.select("row", "source", "size", "id", "content", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("nth"))
+        columns = ["row", "source", "size", "id", "content", "order"]
+        keyed = keyed.join(few, same, "left_anti").select(columns).unionByName(apart.withColumn("order", order("content", F.col("nth").cast("string"))).select(columns))
+    return keyed.withColumn("bucket", F.substring("order", 1, BUCKETS)).drop("id", "content")
+
+
 def laid(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """One row per row of docs: row (its columns, or those to carry), size, source_size, target, taken, passes, and rounds: for each time that the mix comes to
     the text, the shard of its first taken word there, and its pieces (words from and to, in blocks of the source)."""
-    sized = docs.select(F.struct(*(F.col(f"`{c}`") for c in carry or docs.columns)).alias("row"), F.col("source"), word_count(F.col(text_col)).alias("size"), F.col("doc_id").cast("string").alias("id"))
-    sources = staged(plan(sized.select("source", "size")), "mix-plan")
-    order = F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce("id", F.lit(""))).cast("binary"))
-    keyed = sized.withColumn("order", order).withColumn("bucket", F.substring("order", 1, BUCKETS)).drop("id")
+    sources = staged(plan(docs.select("source", word_count(F.col(quoted(text_col))).alias("size"))), "mix-plan")
+    keyed = ordered(docs, text_col, carry)
     by_bucket = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     up_to = F.sum("words").over(Window.partitionBy("source").orderBy("bucket")) - F.col("words")
     offsets = by_bucket.select(F.col("source").alias("s"), F.col("bucket").alias("b"), up_to.alias("before"))
@@ -154,7 +173,7 @@ def mix(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def _mixed(docs: DataFrame, text_col: str, rest: list[str]) -> DataFrame:
     return laid(docs, text_col, rest).select(
-        *(F.col("row").getField(c).alias(c) for c in rest), "size", "source_size", "target", "taken", F.coalesce(F.array_min(F.transform("rounds", lambda r: r["shard"])), F.lit(-1)).cast("int").alias("shard")
+        *(field("row", c).alias(c) for c in rest), "size", "source_size", "target", "taken", F.coalesce(F.array_min(F.transform("rounds", lambda r: r["shard"])), F.lit(-1)).cast("int").alias("shard")
     )
 
 
@@ -165,12 +184,12 @@ def expand(docs: DataFrame, text_col: str = "text", shard_col: str | None = None
     new text. Texts that are not taken go.
     """
     each = laid(docs, text_col).select("row", "size", F.explode("rounds").alias("r"))
-    text = F.col("row").getField(text_col)
+    text = field("row", text_col)
     words = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     part = F.array_join(F.flatten(F.transform("r.pieces", lambda p: F.slice(words, (p["from"] + 1).cast("int"), (p["to"] - p["from"]).cast("int")))), "")
     whole = F.expr("aggregate(r.pieces, 0L, (a, p) -> a + p.to - p.from) = size")
     new = F.when(whole, text).otherwise(part)
-    cols = [new.alias(c) if c == text_col else F.length(new).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("row").getField(c).alias(c) for c in docs.columns]
+    cols = [new.alias(c) if c == text_col else F.length(new).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else field("row", c).alias(c) for c in docs.columns]
     return each.select(*cols, *([F.col("r.shard").cast("int").alias(shard_col)] if shard_col else []))
 
 
@@ -182,7 +201,8 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = rf"""
 with docs as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^ \t-\r]+')), 0)::bigint as size,
-         md5('{SEED}:' || coalesce(doc_id::varchar, '')) as ord
+         md5('{SEED}:' || coalesce(doc_id::varchar, '') || case when count(*) over (partition by source, doc_id) > {SPREAD}
+           then ':' || md5(coalesce(text, '')) || ':' || row_number() over (partition by source, doc_id, text) else '' end) as ord
   from documents),
 sizes as (select source, sum(size)::bigint as source_size from docs group by source),
 ranked as (

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from blockmill.llm.common import new_path, release, staged, table
+from blockmill.llm.common import new_path, quoted, release, staged, table
 
 SHARDS = 40
 BUCKET_BYTES = 16 << 20
@@ -37,7 +37,7 @@ def size_of(text: Column) -> Column:
 def shuffled(docs: DataFrame, key: tuple[str, ...] = ("doc_id", "text"), text_col: str = "text", shards: int = SHARDS, bucket_bytes: int = BUCKET_BYTES, seed: int = SEED) -> DataFrame:
     """docs with shard int (0 to shards - 1) and slot long (gapless from 0 in each shard)."""
     docs = docs.drop("shard", "slot")
-    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(*key, F.lit(seed)).alias("order"))
+    keyed = docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"), F.xxhash64(*key, F.lit(seed)).alias("order"))
     by_key = staged(docs.groupBy(F.xxhash64(*key, F.lit(seed)).alias("order")).agg(F.sum(size_of(F.col(text_col))).alias("bytes"), F.count("*").alias("n")), "shard-keys")
     total, n = by_key.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     buckets = min(MOST_BUCKETS, max(1, -(-total // bucket_bytes)))

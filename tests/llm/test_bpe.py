@@ -33,7 +33,7 @@ def test_caches_may_be_dropped():
     import json
 
     with open(tokenizer_path(bpe.FILE), encoding="utf-8") as f:
-        small = bpe.Bpe(json.load(f), cache=8)
+        small = bpe.Bpe(json.load(f), cache=2000)
     text = "the quick brown fox jumps over the lazy dog and the quick red fox again " * 3
     assert small.encode(text) == bpe.Bpe.load().encode(text)
 
@@ -58,3 +58,25 @@ def test_edge_cases(spark):
     empty = hashlib.sha256(b"").hexdigest()
     assert {r.ids_sha256 for r in bpe.digests(got).where("n_tokens = 0").collect()} == {empty}
     assert bpe.encode(df.limit(0)).count() == 0
+
+
+def test_what_is_kept_is_bounded_by_bytes():
+    """Long chunks without blanks, chunks of many ids, and many short ones."""
+    import json
+    import sys
+
+    with open(tokenizer_path(bpe.FILE), encoding="utf-8") as f:
+        b = bpe.Bpe(json.load(f), cache=1 << 20)
+    rng = random.Random(3)
+    for k in range(300):
+        b.encode("".join(rng.choice("abcdefgh!?") for _ in range(20_000)))
+        b.encode(" ".join(f"w{k}q{j}" for j in range(100)) + " " + "".join(rng.choice("äöü") for _ in range(60)))
+    held = [(k, v) for kept in (b.kept_words, b.kept_chunks) for part in (kept.young, kept.old) for k, v in part.items()]
+    assert held and all(len(k) <= bpe.KEY for k, _ in held)
+    assert sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in held) + sum(sys.getsizeof(p) for kept in (b.kept_words, b.kept_chunks) for p in (kept.young, kept.old)) < 1.6 * (1 << 20)
+
+
+def test_column_names_with_backticks(spark):
+    df = spark.createDataFrame([(1, "a b", 5)], ["doc_id", "text", "odd`name"])
+    got = bpe.encode(df)
+    assert got.columns == ["doc_id", "text", "odd`name", "ids", "n_tokens"] and got.first()[2] == 5

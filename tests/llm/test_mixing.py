@@ -171,3 +171,28 @@ def test_clashing_columns(spark):
     mixed, out = m.mix(df), m.expand(df)
     assert mixed.count() == 20 and set(mixed.columns) == {*df.columns, "source_size"}
     assert out.columns == df.columns and all(tuple(r[3:]) == tuple(range(len(names))) for r in out.collect())
+
+
+def test_rows_of_one_id_or_of_none_spread(spark):
+    """60,000 null ids, and 3,000 equal rows, in one source: buckets stay small, the mix stays right, SQL agrees."""
+    df = spark.range(60000).selectExpr("cast(null as bigint) as doc_id", "repeat('w ', 1 + cast(id % 7 as int)) as text", "'hot' as source")
+    df = df.unionByName(spark.range(3000).selectExpr("5L as doc_id", "'w w w' as text", "'hot' as source")).unionByName(spark.range(2000).selectExpr("id as doc_id", "'w w' as text", "'b' as source"))
+    mixed = m.mix(df)
+    plans = mixed._jdf.queryExecution().optimizedPlan().toString()
+    assert "content" in plans
+    got = [tuple(r) for r in mixed.select("doc_id", *m.OUTPUTS).collect()]
+    documents = df.toArrow()  # noqa: F841
+    theirs = duckdb.connect().sql(m.SQL).fetchall()
+    key = lambda r: tuple(map(str, r))
+    assert sorted(got, key=key) == sorted(theirs, key=key)
+    assert all(r[4] <= 2 * r[1] for r in got)
+    # the order by which rows are bucketed: no bucket of a source holds much more than its part
+    sized = df.withColumn("n", m.F.lit(1))
+    largest = max(r["count"] for r in m.ordered(sized, "text", ["doc_id"]).groupBy("source", "bucket").count().collect())
+    assert largest < 70
+
+
+def test_column_names_with_backticks(spark):
+    df = spark.createDataFrame([(1, "a b", "s", 5)], ["doc_id", "text", "source", "odd`name"])
+    got = m.expand(df)
+    assert got.columns == df.columns and {tuple(r) for r in got.collect()} == {(1, "a b", "s", 5), (1, "a", "s", 5)} and m.mix(df).first()["odd`name"] == 5

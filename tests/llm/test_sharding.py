@@ -68,3 +68,9 @@ def test_repeated_rows_spread_and_clashing_names(spark):
     passes = [p for p in out.inputFiles() if "shuffled" in p]
     sizes = [r["count"] for r in spark.read.parquet(*passes).groupBy("bucket").count().collect()]
     assert len(sizes) > 20 and max(sizes) < 3 * 42000 / len(sizes)
+
+
+def test_column_names_with_backticks(spark):
+    df = spark.createDataFrame([(1, "a b", 5), (2, "c", 6)], ["doc_id", "text", "odd`name"])
+    got = s.shuffled(df)
+    assert got.columns == [*df.columns, "shard", "slot"] and {r[2] for r in got.collect()} == {5, 6}
