@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockmill.llm.common import quoted, table, tokenizer_path
+from blockmill.llm.common import table, tokenizer_path
 
 FILE = "word_bpe_49k.json"
 CACHE_BYTES = 80 << 20
@@ -185,14 +185,16 @@ def encode(docs: DataFrame, text_col: str = "text", name: str = FILE, decoded: b
     """docs with ids array<int> and n_tokens long; with decoded also the string that decoding the ids gives."""
     new = {"ids": "array<int>", "n_tokens": "bigint"} | ({"decoded": "string"} if decoded else {})
     rest = docs.drop(*new)
-    schema = ", ".join([*(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in rest.schema), *(f"{k} {v}" for k, v in new.items())])
+    # mapInArrow() takes plain column names alone
+    at = rest.columns.index(text_col)
+    schema = ", ".join([*(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(rest.schema)), *(f"{k} {v}" for k, v in new.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Bpe.load(name)
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
                 part = batch.slice(k, ROWS)
-                ids = [bpe.encode(t) for t in part[text_col].to_pylist()]
+                ids = [bpe.encode(t) for t in part.column(at).to_pylist()]
                 n = np.fromiter(map(len, ids), np.int64, len(ids))
                 flat = np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum()))
                 cols = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat)), pa.array(n)]
@@ -200,7 +202,7 @@ def encode(docs: DataFrame, text_col: str = "text", name: str = FILE, decoded: b
                     cols.append(pa.array([bpe.decode(x) for x in ids]))
                 yield pa.RecordBatch.from_arrays([*part.columns, *cols], names=[*part.schema.names, *new])
 
-    return rest.mapInArrow(run, schema)
+    return rest.toDF(*(f"c{k}" for k in range(len(rest.columns)))).mapInArrow(run, schema).toDF(*rest.columns, *new)
 
 
 def digests(encoded: DataFrame) -> DataFrame:
