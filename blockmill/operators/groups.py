@@ -62,9 +62,13 @@ def step(params: DataFrame, grads: DataFrame, groups: DataFrame, state: DataFram
 
 def sum_grads(parts: Sequence[DataFrame]) -> DataFrame:
     """The gradients of several devices (param_id, grad each), added by parameter and place; a parameter may lack some of them."""
-    every = reduce(DataFrame.unionByName, [p.select("param_id", "grad") for p in parts])
-    places = every.select("param_id", F.posexplode("grad").alias("k", "g")).groupBy("param_id", "k").agg(F.sum("g").alias("g"))
-    return places.groupBy("param_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "g"))), lambda x: x["g"]).alias("grad"))
+    # arrays are added whole, so a gradient's elements are never rows
+    every = [p.select("param_id", F.col("grad").alias(f"g{k}")) for k, p in enumerate(parts)]
+    joined = reduce(lambda a, b: a.join(b, "param_id", "full"), every)
+    none = F.array().cast(every[0].schema["g0"].dataType)
+    grads = [F.coalesce(f"g{k}", none) for k in range(len(parts))]
+    add = lambda a, b: F.zip_with(a, b, lambda x, y: F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0)))
+    return joined.select("param_id", reduce(add, grads).alias("grad"))
 
 
 def step_multi(params: DataFrame, grads: Sequence[DataFrame], groups: DataFrame, state: DataFrame, update: Callable[[Column, Column, Column], tuple[Column, Column]], clip_at: float | None = None) -> DataFrame:

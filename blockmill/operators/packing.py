@@ -208,14 +208,14 @@ def _places(picks: DataFrame, key: str, options: PackOptions, parts: int) -> Dat
     return picks.groupBy(own, "part").cogroup(before.groupBy(own, "part")).applyInPandas(lay, schema)
 
 
-def blocks(sequences: DataFrame, options: PackOptions, group: str | None = None) -> DataFrame:
+def blocks(sequences: DataFrame, options: PackOptions, group: str | None = None, placed: DataFrame | None = None) -> DataFrame:
     """sequences: arrival long (unique in its group), batch, tokens array<int>. One row per packed row: batch_id, row_in_batch, tokens.
 
-    A column length, the number of tokens, spares making the tokens for their lengths.
+    A column length, the number of tokens, spares making the tokens for their lengths; placed, what plan() gives, spares planning.
     """
     key = [group] if group else []
     lengths = sequences.select(*key, "arrival", "batch", F.col("length") if "length" in sequences.columns else F.size("tokens").alias("length"))
-    placed = plan(lengths, options, group)
+    placed = plan(lengths, options, group) if placed is None else placed
     ids = lambda t: F.array(*map(F.lit, t)).cast("array<int>")
     piece = F.concat(ids(options.bos), F.slice("tokens", F.lit(1), F.col("take")), F.slice(ids(options.eos), F.lit(1), F.col("tail")))
     cut = placed.join(sequences.select(*key, "arrival", "tokens"), [*key, "arrival"]).select(*key, "row", "pick", "full_rows", piece.alias("piece"))

@@ -6,37 +6,44 @@ import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockmill.functions.training import human_size
-from blockmill.operators.packing import PackOptions, blocks
+from blockmill.operators.packing import PackOptions, blocks, plan
 from blockmill.operators.shuffle import order_key, shard_order
-from blockmill.operators.text import byte_length, byte_tokens, select_text, tokenize, watch
+from blockmill.operators.text import byte_length, byte_tokens, select_text, tokenize
 from blockmill.sources.shards import read_shards
+from blockmill.sources.staging import release, staged
 
 
 @dataclass
 class Epoch:
-    """The blocks of one pass (batch_id, row_in_batch, tokens, by shard_pos unless packed as one) and its counters, once it has run."""
+    """The blocks of one pass (batch_id, row_in_batch, tokens, by shard_pos unless packed as one) and its counters.
+
+    Counters are sums over what tasks have committed to the shared folder (seen: a row each text; placed: a row each packed text), so a task that
+    runs twice, or a plan that is sampled or run again, counts once.
+    """
 
     blocks: DataFrame
     items_total: int
-    text: Observation
-    packed: Observation
+    seen: DataFrame
+    placed: DataFrame
+    options: PackOptions
     began: float
-    kept: DataFrame | None = None
+    kept: tuple[DataFrame, ...] = ()
 
     def close(self) -> None:
-        """Gives back the disk that an encoder's tokens take."""
-        if self.kept is not None:
-            self.kept.unpersist()
+        """Deletes what the epoch has in the shared folder; its blocks cannot be read any more."""
+        release(*self.kept)
 
     def stats(self) -> dict:
         seconds = max(time.time() - self.began, 1e-9)
-        seen, made = self.text.get, self.packed.get
-        out = {"file_count": seen["files"], "items_total": self.items_total, "byte_count": seen["bytes"] or 0, "token_count": made["tokens"] or 0, "seconds": seconds}
+        seen = self.seen.agg(F.count_distinct("shard_pos").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+        size = self.options.batch_size
+        groups = self.placed.groupBy(*(c for c in self.placed.columns if c == "shard_pos")).agg(F.max("full_rows").alias("n"))
+        rows = groups.agg(F.coalesce(F.sum(F.expr(f"n div {size} * {size}")), F.lit(0)).alias("rows")).first()["rows"]
+        out = {"file_count": seen["files"], "items_total": self.items_total, "byte_count": seen["bytes"], "token_count": rows * self.options.seq_len, "seconds": seconds}
         return out | {"progress": (out["file_count"], self.items_total), "bytes_per_s": out["byte_count"] / seconds, "tokens_per_s": out["token_count"] / seconds}
 
     def report(self) -> str:
@@ -68,28 +75,28 @@ class CorpusLoader:
         return replace(self, paths=self.paths[start:end])
 
     def start_epoch(self, epoch: int = 0) -> Epoch:
+        began = time.time()
         paths = list(self.paths) if self.seed is None else shard_order(self.paths, self.seed, epoch)
         rows = select_text(read_shards(self.spark, paths), self.text_column, keep=("shard_pos", "row_index"))
-        # the second name is one of a kind, since the observation belongs to one pass
-        tag = f"{epoch}-{time.time_ns()}"
-        seen, text = watch(rows, f"text-{tag}", files=F.size(F.collect_set("shard_pos")), bytes=F.sum(byte_length(F.col("text"))))
+        kept = []
         if self.encoder is None:
-            tokens = seen.withColumn("tokens", byte_tokens(F.col("text"))).withColumn("length", byte_length(F.col("text")).cast("int"))
-        else:  # kept on disk, since lengths and pieces both need them
-            tokens = tokenize(seen, self.encoder).withColumn("length", F.size("tokens")).persist(StorageLevel.DISK_ONLY)
+            tokens = rows.withColumn("tokens", byte_tokens(F.col("text"))).withColumn("length", byte_length(F.col("text")).cast("int"))
+        else:  # lengths and pieces both need them
+            tokens = staged(tokenize(rows, self.encoder).withColumn("length", F.size("tokens")), "tokens")
+            kept.append(tokens)
         batch = F.expr(f"row_index div {self.arrival_batch}")
         if self.by_shard:
-            made = blocks(tokens.select("shard_pos", F.col("row_index").alias("arrival"), batch.alias("batch"), "tokens", "length"), self.options, "shard_pos")
+            arrival, group = F.col("row_index"), "shard_pos"
         else:
-            place = F.col("shard_pos").cast("long") * (1 << 40)
-            made = blocks(tokens.select((place + F.col("row_index")).alias("arrival"), (place + batch).alias("batch"), "tokens", "length"), self.options)
-        counted, packed = watch(made, f"packed-{tag}", tokens=F.sum(F.size("tokens")))
+            start = F.col("shard_pos").cast("long") * (1 << 40)
+            arrival, batch, group = start + F.col("row_index"), start + batch, None
+        seen = staged(tokens.select("shard_pos", arrival.alias("arrival"), batch.alias("batch"), "length", byte_length(F.col("text")).alias("bytes")), "texts")
+        placed = staged(plan(seen, self.options, group), "placed")
+        made = blocks(tokens.select("shard_pos", arrival.alias("arrival"), batch.alias("batch"), "tokens"), self.options, group, placed)
         if self.seed is not None:
             keys = ["shard_pos", "batch_id"] if self.by_shard else ["batch_id"]
-            # by hash, not by range: a range sort would run the plan once more to sample it, and the counters would see it twice
-            key = order_key(*keys, seed=self.seed, epoch=epoch)
-            counted = counted.repartition(key).sortWithinPartitions(key, *keys, "row_in_batch")
-        return Epoch(counted, len(paths), text, packed, time.time(), tokens if self.encoder else None)
+            made = made.orderBy(order_key(*keys, seed=self.seed, epoch=epoch), *keys, "row_in_batch")
+        return Epoch(made, len(paths), seen, placed, self.options, began, (*kept, seen, placed))
 
 
 def to_blocks(epoch: DataFrame) -> DataFrame:

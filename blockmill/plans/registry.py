@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from blockmill.functions import tensors, training
 from blockmill.operators import groups, packing, shuffle, text
-from blockmill.plans import moduletree
+from blockmill.plans import moduletree, sink
 from blockmill.plans.loader import CorpusLoader, to_blocks
 from blockmill.sources.shards import ShardSource, parse_shards, split_column
+from blockmill.sources.staging import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -188,9 +189,11 @@ def epoch_stats(spark, sf):
 select "row" // {PACK.batch_size} as batch_id, {PACK.batch_size}::bigint as n_rows, {PACK.batch_size * PACK.seq_len}::bigint as n_tokens
 from f, (select max(next_row) as n from f) where i > 0 and "row" // {PACK.batch_size} < n // {PACK.batch_size} group by 1""")
 def block_sink(spark, sf):
-    """The loader's blocks, one row each."""
-    epoch = CorpusLoader(spark, (f"{sf}/benchmark.parquet", f"{sf}/documents.parquet"), PACK).slice(1, 2).start_epoch()
-    rows = to_blocks(epoch.blocks)
+    """The loader's blocks, published by the sink and read back, one row each."""
+    epoch = CorpusLoader(spark, (f"{sf}/benchmark.parquet", f"{sf}/documents.parquet"), PACK, seed=1).slice(1, 2).start_epoch()
+    root = new_path(spark, "sink")
+    sink.publish(epoch.blocks, root, 0, PACK)
+    rows = to_blocks(sink.read(spark, root))
     return rows.select("batch_id", F.size("rows").cast("long").alias("n_rows"), F.size(F.flatten("rows")).cast("long").alias("n_tokens"))
 
 
@@ -318,11 +321,12 @@ def group_update(spark, sf):
     return out.select("param_id", "updated", _total(F.col("value")).alias("total"))
 
 
-@query("select d.doc_id, round(e.embedding[1]::double, 6) as first from documents d join embeddings e on e.vec_id = d.n_chars % 256")
+@query(f"select item_id, pos::int as pos, round(e.embedding[1]::double, 6) as first from (select item_id, unnest(tokens) as token, generate_subscripts(tokens, 1) - 1 as pos from (select item_id, {_BYTES} as tokens from benchmark)) join embeddings e on e.vec_id = token")
 def embedding_lookup(spark, sf):
+    """The vectors of a text's tokens, in place."""
     vectors = _vectors(spark, sf).select(F.col("vec_id").alias("token"), F.col("e").alias("vector"))
-    tokens = docs(spark, sf).select("doc_id", (F.col("n_chars") % 256).alias("token"))
-    return training.embed(tokens, vectors).select("doc_id", F.round(F.col("vector")[0], 6).alias("first"))
+    rows = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", F.posexplode(text.byte_tokens(F.col("text"))).alias("pos", "token"))
+    return training.embed(rows, vectors).select("item_id", "pos", F.round(F.col("vector")[0], 6).alias("first"))
 
 
 @query("select i as step, round(1e6 * least(1.0, 1e-10 + (1 - 1e-10) * i / 300) * 0.5 * 5e-5 * (1 + cos(pi() * least(i, 2000) / 2000)), 6) as rate from (select unnest(range(0, 2400, 50)) as i)")

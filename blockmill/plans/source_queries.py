@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
 import shutil
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -12,19 +12,21 @@ from blockmill.errors import BlockmillError, Invalid
 from blockmill.functions import tensors, training
 from blockmill.operators import groups, shuffle, text
 from blockmill.plans.registry import docs, query
-from blockmill.sources.shards import ShardCache, ShardSource, parse_shards, read_shards
+from blockmill.sources.shardlist import ShardList
+from blockmill.sources.shards import ShardCache, ShardSource, parse_shards, read_shards, scan_shards
+from blockmill.sources.staging import new_path
 
 TABLES = ("region", "nation", "supplier")
 
 
-def _cache(sf: str) -> ShardCache:
+def _cache(spark, sf: str) -> ShardCache:
     """A cache of three tables as shards 0, 12 and 312; its fetcher copies from the table folder."""
 
     def fetch(source: str, target: str) -> None:
         shard = int(os.path.basename(source).split("_")[1].split(".")[0])
         shutil.copyfile(f"{sf}/{TABLES[(0, 12, 312).index(shard)]}.parquet", target)
 
-    return ShardCache(tempfile.mkdtemp(prefix="blockmill-cache-"), ShardSource(base_url=sf), fetch)
+    return ShardCache(new_path(spark, "cache").removeprefix("file:"), ShardSource(base_url=sf), fetch)
 
 
 _COUNTS = "(select count(*) from {})"
@@ -37,7 +39,7 @@ _COUNTS = "(select count(*) from {})"
 )
 def cache_reads(spark, sf):
     """Each shard before and after it is fetched, and its rows when it is read with fetching."""
-    cache, out = _cache(sf), []
+    cache, out = _cache(spark, sf), []
     for s in (0, 12, 312):
         had = cache.has_shard(s)
         n = cache.read_batches(spark, s, download=True).count()
@@ -48,7 +50,7 @@ def cache_reads(spark, sf):
 @query("select * from (values (0, 0, 'shard_00000.parquet', true), (1, 12, 'shard_00012.parquet', true), (2, 312, 'shard_00312.parquet', true)) as v(place, shard_id, file, in_order)")
 def cache_listing(spark, sf):
     """Paths and ids of a cache that was filled out of order."""
-    cache = _cache(sf)
+    cache = _cache(spark, sf)
     given = cache.load_shards([312, 0, 12, 312])
     paths, ids = cache.list_cached_shard_paths(), cache.list_cached_shard_ids()
     ordered = given == [cache.format_shard_path(s) for s in (312, 0, 12, 312)] and cache.load_shard(0) == cache.try_shard_path(0)
@@ -57,14 +59,14 @@ def cache_listing(spark, sf):
 
 @query("select i as shard_id, 'shard_' || lpad(i::varchar, 5, '0') || '.parquet' as file, i in (0, 12, 312) as cached from (select unnest(range(0, 1822)) as i)")
 def shard_catalog(spark, sf):
-    cache = _cache(sf)
+    cache = _cache(spark, sf)
     cache.load_shards([12, 312, 0])
     return cache.catalog(spark).select("shard_id", F.element_at(F.split("path", "/"), -1).alias("file"), "cached")
 
 
 @query("select * from (values ('shard 5 not found'), ('not a shard range: x'), ('3..2 is outside of 0..9'), ('..10 is outside of 0..9')) as v(message)")
 def shard_errors(spark, sf):
-    cache, out = _cache(sf), []
+    cache, out = _cache(spark, sf), []
     for f in (lambda: cache.try_shard_path(5), *(lambda a=a: parse_shards(a, 9) for a in ("x", "3..2", "..10"))):
         try:
             f()
@@ -81,11 +83,54 @@ def ordered_scan(spark, sf):
 @query("select r_name as name, 1 as shard_pos, row_number() over (order by r_regionkey) - 1 as row_index from region union all select n_name, 0, row_number() over (order by n_nationkey) - 1 from nation")
 def folder_scan(spark, sf):
     """Two shards, one a folder of part files with a blank in its name, the other a file."""
-    root = tempfile.mkdtemp(prefix="blockmill shards ")
+    root = new_path(spark, "two shards")
     spark.read.parquet(f"{sf}/nation.parquet").selectExpr("n_name as name", "n_nationkey").repartitionByRange(3, "n_nationkey").sortWithinPartitions("n_nationkey").select("name").write.parquet(f"{root}/shard 1")
     spark.read.parquet(f"{sf}/region.parquet").coalesce(1).orderBy("r_regionkey").selectExpr("r_name as name").write.parquet(f"{root}/one")
-    file = next(f for f in os.listdir(f"{root}/one") if f.endswith(".parquet"))
-    return read_shards(spark, [f"{root}/shard 1", f"{root}/one/{file}"])
+    return read_shards(spark, [f"{root}/shard 1", spark.read.parquet(f"{root}/one").inputFiles()[0].replace("%20", " ")])
+
+
+def _shards(spark, sf: str) -> list[str]:
+    """documents, a file that is no parquet file, documents' texts in parts, a path that is not there, benchmark, whose columns are others, and documents again."""
+    root = new_path(spark, "shards")
+    spark.read.parquet(f"{sf}/benchmark.parquet").select("text").write.text(f"{root}/corrupt")
+    docs(spark, sf).select("text", "doc_id").repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").write.parquet(f"{root}/parts")
+    return [f"{sf}/documents.parquet", f"{root}/corrupt", f"{root}/parts", f"{root}/nowhere", f"{sf}/benchmark.parquet", f"{sf}/documents.parquet"]
+
+
+_DOCS_AS_SHARDS = "select doc_id, k::int as shard_pos, row_number() over (partition by k order by doc_id) - 1 as row_index, strlen(text)::bigint as n_bytes, '' as error from documents, (values {}) as s(k)"
+
+
+@query(_DOCS_AS_SHARDS.format("(0), (2), (5)") + " union all select -1, k::int, -1, -1, e from (values (1, 'corrupt'), (3, 'missing'), (4, 'schema')) as v(k, e)")
+def scan_with_errors(spark, sf):
+    """The rows of the shards that can be read, and of each other shard one error."""
+    rows, errors = scan_shards(spark, _shards(spark, sf), "doc_id long, text string")
+    good = rows.select("doc_id", "shard_pos", "row_index", text.byte_length(F.col("text")).alias("n_bytes"), F.lit("").alias("error"))
+    none = F.lit(-1).cast("long")
+    return good.unionByName(errors.select(none.alias("doc_id"), "shard_pos", none.alias("row_index"), none.alias("n_bytes"), F.col("kind").alias("error")))
+
+
+@query(_DOCS_AS_SHARDS.format("(0), (2)") + " union all select -1, k::int, -1, -1, e from (values (1, 'ArrowInvalid'), (3, 'FileNotFoundError'), (4, 'Invalid')) as v(k, e)")
+def shard_source(spark, sf):
+    """The same list by the data source, whose errors are rows, without its last shard."""
+    spark.dataSource.register(ShardList)
+    rows = spark.read.format("blockmill_shards").schema("doc_id long, text string, shard_pos int, row_index long, error string").options(paths=json.dumps(_shards(spark, sf)), shards="..5", on_error="row").load()
+    or_less = lambda c: F.coalesce(c, F.lit(-1))
+    return rows.select(or_less(F.col("doc_id")).alias("doc_id"), "shard_pos", or_less(F.col("row_index")).alias("row_index"), or_less(text.byte_length(F.col("text"))).alias("n_bytes"), F.coalesce(F.substring_index("error", ":", 1), F.lit("")).alias("error"))
+
+
+@query("select doc_id, e::int as epoch, k::int as shard_pos, row_number() over (partition by e, k order by doc_id) - 1 as row_index from documents, (values (0), (1)) as s(k), (values (0), (1)) as r(e)")
+def shard_stream(spark, sf):
+    """Two shards as a stream of two epochs, three shards a run, restarted from its checkpoint."""
+    spark.dataSource.register(ShardList)
+    shards = _shards(spark, sf)
+    out, kept = new_path(spark, "stream"), new_path(spark, "stream-checkpoint")
+    stream = spark.readStream.format("blockmill_shards").schema("doc_id long, shard_pos int, row_index long, error string, epoch int").options(paths=json.dumps([shards[0], shards[2]]), epochs=2, per_batch=3).load()
+    for _ in range(2):  # each takes what is there when it begins: three shards, and after the restart all that are left
+        running = stream.drop("error").writeStream.format("parquet").option("path", out).option("checkpointLocation", kept).trigger(availableNow=True).start()
+        if not running.awaitTermination(600):
+            running.stop()
+            raise BlockmillError("the stream does not end")
+    return spark.read.schema("doc_id long, shard_pos int, row_index long, epoch int").parquet(out)
 
 
 @query("""
@@ -159,7 +204,7 @@ def group_update_multi(spark, sf):
     two = v.where("vec_id % 2 = 0").select("param_id", F.transform("value", lambda x: 2 * x).alias("grad"))
     none = spark.createDataFrame([], "type_tag int, group_idx int, param_id string, state double")
     out = groups.step_multi(v.select("param_id", "value"), [one, two], member, none, lambda x, g, s: (F.zip_with(x, g, lambda a, b: a - 0.1 * b), F.coalesce(s, F.lit(0.0)) + 1))
-    path = tempfile.mkdtemp(prefix="blockmill-record-")
+    path = new_path(spark, "record")
     groups.save_record(groups.to_record(out, member), path)
     kept = groups.load_record(spark, path, member)
     total = F.round(F.aggregate("value", F.lit(0.0), lambda a, x: a + x), 6)

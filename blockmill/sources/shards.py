@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from blockmill.errors import Invalid, ResourceNotFound
 
@@ -145,26 +146,70 @@ def _uri(spark: SparkSession, path: str) -> str:
     return re.sub(r"^(\w+):/+", r"\1:/", system.makeQualified(at).toUri().toString())
 
 
-def read_shards(spark: SparkSession, paths: Sequence[str], skip_corrupt: bool = False) -> DataFrame:
+def probe(spark: SparkSession, paths: Sequence[str], columns: str | None = None) -> list[str | None]:
+    """Of each shard what is wrong with it, or None: that it is not there, that a footer of its files cannot be read, or that it lacks a
+    column of columns (a schema as text) or has it in another type.
+
+    Footers are read by Spark's own schema inference, a small job a shard, PARALLEL at a time, so any path that Spark opens will do.
+    """
+    wanted = {f.name: f.dataType for f in spark.createDataFrame([], columns).schema} if columns else {}
+
+    def look(path: str) -> str | None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            return "missing: no such path"
+        try:
+            have = {f.name: f.dataType for f in spark.read.option("mergeSchema", True).parquet(path).schema}
+        except Exception as e:  # of many kinds, by the file's fault
+            return f"corrupt: {str(e).splitlines()[0][:200]}"
+        for name, kind in wanted.items():
+            if have.get(name) != kind:
+                return f"schema: column {name} is {have[name].simpleString() if name in have else 'not there'}, not {kind.simpleString()}"
+        return None
+
+    found = {}
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        unique = list(dict.fromkeys(paths))
+        found = dict(zip(unique, pool.map(look, unique), strict=True))
+    return [found[p] for p in paths]
+
+
+def scan_shards(spark: SparkSession, paths: Sequence[str], columns: str) -> tuple[DataFrame, DataFrame]:
+    """The rows (the columns, shard_pos, row_index) of the shards that can be read, and of each other one an error (shard_pos, path, kind, message).
+
+    A shard whose footers can be read and whose pages cannot still fails the query: nothing of a shard is left out in silence.
+    """
+    wrong = probe(spark, paths, columns)
+    bad = [(k, p, *w.split(": ", 1)) for k, (p, w) in enumerate(zip(paths, wrong, strict=True)) if w]
+    errors = spark.createDataFrame(bad, "shard_pos int, path string, kind string, message string")
+    good = [k for k, w in enumerate(wrong) if not w]
+    empty = spark.createDataFrame([], columns)
+    if not good:
+        return empty.withColumn("shard_pos", F.lit(None).cast("int")).withColumn("row_index", F.lit(None).cast("long")), errors
+    return read_shards(spark, [paths[k] for k in good], places=good, columns=empty.schema).select(*(f"`{c}`" for c in empty.columns), "shard_pos", "row_index"), errors
+
+
+def read_shards(spark: SparkSession, paths: Sequence[str], skip_corrupt: bool = False, places: Sequence[int] | None = None, columns: StructType | None = None) -> DataFrame:
     """All rows of the shards with shard_pos (the place of the path in the list) and row_index (in its file; in a shard that is a folder of
     part files, counted on from file to file in the order of their names).
 
-    A shard that cannot be read fails the query, or with skip_corrupt is left out. A path may be listed more than once.
+    A shard that cannot be read fails the query, or with skip_corrupt is left out; scan_shards() tells which. A path may be listed more than
+    once. places: the numbers of the paths, if they are not 0, 1 and so on. columns: those to read, if not all.
     """
     reader = spark.read.option("ignoreCorruptFiles", str(skip_corrupt).lower()).option("ignoreMissingFiles", str(skip_corrupt).lower())
-    places: dict[str, list[int]] = {}
-    for k, path in enumerate(paths):
-        places.setdefault(_uri(spark, path), []).append(k)
-    rows = reader.parquet(*dict.fromkeys(paths))
+    of: dict[str, list[int]] = {}
+    for k, path in zip(places or range(len(paths)), paths, strict=True):
+        of.setdefault(_uri(spark, path), []).append(k)
+    rows = (reader.schema(columns) if columns else reader).parquet(*dict.fromkeys(paths))
     found = []
     for file in sorted(rows.inputFiles()):
         short = re.sub(r"^(\w+):/+", r"\1:/", file)
         at = short
-        while at not in places:
+        while at not in of:
             at, slash, _ = at.rpartition("/")
             if not slash:
                 raise Invalid(f"{file} belongs to no shard of the list")
-        found += [(short, k) for k in places[at]]
+        found += [(short, k) for k in of[at]]
     own = F.regexp_replace(F.col("_metadata.file_path"), r"^(\w+):/+", "$1:/")
     scan = rows.select("*", own.alias("_file"), F.col("_metadata.row_index").alias("_row"))
     listed = spark.createDataFrame(found, "_file string, shard_pos int")

@@ -397,10 +397,11 @@ def test_shards_of_every_kind_of_path(spark, tmp_path):
 
 
 def test_packing_makes_tokens_once(spark):
-    """One fold, and no tokens where only lengths are needed."""
+    """One fold, whose lengths are staged, and one scan of the texts for their tokens."""
     plan = __import__("blockmill.plans.registry", fromlist=["x"]).QUERIES["dense_blocks"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     body = plan.split("Initial Plan")[-1]
-    assert body.count("FlatMapGroupsInPandas") == 1 and body.count("decode(") <= 1 and body.count("Scan parquet") == 2
+    assert body.count("FlatMapGroupsInPandas") == 1 and body.count("FlatMapCoGroupsInPandas") == 1
+    assert body.count("decode(") <= 1 and sum("Scan parquet" in line and "text" in line.split("]")[0] for line in body.splitlines()) == 1
 
 
 def test_tokenizer_of_a_file(spark, tmp_path):
@@ -425,6 +426,83 @@ def test_tokenizer_of_a_file(spark, tmp_path):
     epoch.close()
 
 
+def test_shard_source_and_errors(spark, tmp_path):
+    """A list with a corrupt, a missing and a clashing shard: rows of the good ones in order, an error each of the others; slices; failing."""
+    import json
+
+    from blockmill.sources.shardlist import ShardList
+
+    good = spark.createDataFrame([(k, f"t{k}") for k in range(30)], "n long, text string").repartitionByRange(3, "n").sortWithinPartitions("n")
+    good.write.parquet(str(tmp_path / "parts"))
+    good.toPandas().to_parquet(tmp_path / "one.parquet")
+    spark.createDataFrame([("x", "y")], "n string, text string").toPandas().to_parquet(tmp_path / "clash.parquet")
+    spark.createDataFrame([], "n long, text string").write.parquet(str(tmp_path / "none"))
+    (tmp_path / "bad.parquet").write_bytes(b"PAR1 no file")
+    paths = [str(tmp_path / p) for p in ("parts", "bad.parquet", "one.parquet", "gone.parquet", "clash.parquet", "none", "one.parquet")]
+    want = sorted((k, pos, k) for pos in (0, 2, 6) for k in range(30))
+    rows, errors = shards.scan_shards(spark, paths, "n long, text string")
+    assert sorted((r.n, r.shard_pos, r.row_index) for r in rows.collect()) == want
+    assert [(r.shard_pos, r.kind) for r in errors.orderBy("shard_pos").collect()] == [(1, "corrupt"), (3, "missing"), (4, "schema")]
+    rows, errors = shards.scan_shards(spark, paths[3:5], "n long")
+    assert rows.count() == 0 and errors.count() == 2
+    spark.dataSource.register(ShardList)
+    source = lambda **o: spark.read.format("blockmill_shards").options(paths=json.dumps(paths), **o)
+    got = source(on_error="row").load().collect()
+    assert sorted((r.n, r.shard_pos, r.row_index) for r in got if r.error is None) == want
+    assert sorted((r.shard_pos, r.error.split(":")[0]) for r in got if r.error) == [(1, "ArrowInvalid"), (3, "FileNotFoundError"), (4, "Invalid")]
+    assert source(shards="2,6").load().count() == 60 and source(shards="2").load().rdd.getNumPartitions() == 1
+    with pytest.raises(Exception, match="no such shard"):
+        source(shards="3").schema("n long, error string").load().collect()
+
+
+def test_sink_publishes_whole_epochs_once(spark, tmp_path):
+    from blockmill.plans import sink
+
+    o, root = packing.PackOptions(2, 4, 0), str(tmp_path / "sink")
+    block = lambda n: spark.range(8 * n).selectExpr("id div 8 as batch_id", "cast(id % 8 div 4 as int) as row_in_batch", "cast(id as int) as t").groupBy("batch_id", "row_in_batch").agg(F.sort_array(F.collect_list("t")).alias("tokens"))
+    with pytest.raises(ResourceNotFound):
+        sink.read(spark, root)
+    assert sink.publish(block(3), root, 0, o)["tokens"] == 24
+    first = sink.read(spark, root)
+    assert sink.publish(block(5), root, 1, o)["blocks"] == 5 and sink.published(spark, root) == [0, 1]
+    assert [r.tokens for r in first.collect()] == [list(range(k, k + 4)) for k in range(0, 24, 4)] and sink.read(spark, root).count() == 10
+    for bad in (block(3).unionByName(block(1)), block(2).limit(3), block(2).withColumn("tokens", F.array(F.lit(1)))):
+        with pytest.raises(Invalid):
+            sink.publish(bad, root, 2, o)
+    with pytest.raises(Invalid, match="is published"):
+        sink.publish(block(1), root, 1, o)
+    assert sink.published(spark, root) == [0, 1] and len(list((tmp_path / "sink").glob("epoch-*"))) == 2
+    # a task that fails after it has written: its rows are there once
+    tries = str(tmp_path / "tries")
+    os.makedirs(tries)
+
+    def once(batches):
+        yield from batches
+        if not os.path.exists(f"{tries}/failed"):
+            open(f"{tries}/failed", "w").close()
+            os._exit(1)
+
+    made = block(4).coalesce(1).mapInArrow(once, "batch_id long, row_in_batch int, tokens array<int>")
+    try:
+        sink.publish(made, root, 2, o)
+    except Exception:  # local masters do not try again
+        sink.publish(made, root, 2, o)
+    assert sink.read(spark, root, 2).count() == 8
+    sink.reset(spark, root)
+    assert sink.published(spark, root) == []
+
+
+def test_counters_do_not_count_twice(spark, tmp_path):
+    """Blocks that are read, counted and sorted again, by a range that is sampled: the counters stay."""
+    p = str(tmp_path / "s.parquet")
+    spark.range(50).selectExpr("concat('text ', id) as text").toPandas().to_parquet(p)
+    epoch = CorpusLoader(spark, (p,), packing.PackOptions(2, 16, 8, (256,)), seed=7).start_epoch()
+    n = epoch.blocks.count()
+    assert epoch.blocks.orderBy(F.rand()).count() == n == len(epoch.blocks.collect())
+    s = epoch.stats()
+    assert s["token_count"] == 16 * n and s["byte_count"] == sum(len(f"text {k}") for k in range(50)) and s["file_count"] == 1 and epoch.stats()["token_count"] == 16 * n
+
+
 def test_gradients_of_devices_and_records(spark, tmp_path):
     member = groups.assign(spark, [[["a"], ["b"]]])
     params = spark.createDataFrame([("a", [1.0, 1.0]), ("b", [2.0])], "param_id string, value array<double>")
