@@ -13,7 +13,7 @@ from blockmill.functions import tensors, training
 from blockmill.operators import groups, shuffle, text
 from blockmill.plans.registry import docs, query
 from blockmill.sources.shardlist import ShardList
-from blockmill.sources.shards import ShardCache, ShardSource, parse_shards, read_shards, scan_shards
+from blockmill.sources.shards import ShardCache, SharedCache, ShardSource, parse_shards, read_shards, scan_shards, stream_fetcher
 from blockmill.sources.staging import new_path
 
 TABLES = ("region", "nation", "supplier")
@@ -57,6 +57,25 @@ def cache_listing(spark, sf):
     return spark.createDataFrame([(k, i, os.path.basename(p), ordered) for k, (i, p) in enumerate(zip(ids, paths, strict=True))], "place int, shard_id int, file string, in_order boolean")
 
 
+@query("select doc_id, 12 as shard_id, 1 as shard_pos, row_number() over (order by doc_id) - 1 as row_index, strlen(text)::bigint as n_bytes from documents union all select item_id, 0, 0, row_number() over (order by item_id) - 1, strlen(text)::bigint from benchmark union all select -1, 7, -1, -1, -1")
+def cache_fetch(spark, sf):
+    """Two tables as shards 12 and 0, fetched by executors and read in that order; shard 7 is not there and is one error."""
+    far = new_path(spark, "far")
+    for table, key, shard in (("documents", "doc_id", 12), ("benchmark", "item_id", 0)):
+        spark.read.parquet(f"{sf}/{table}.parquet").select(F.col(key).alias("doc_id"), "text").coalesce(1).sortWithinPartitions("doc_id").write.parquet(f"{far}/{shard}")
+    files = {shard: spark.read.parquet(f"{far}/{shard}").inputFiles()[0] for shard in (12, 0)}
+
+    def fetch(source: str, target: str) -> None:
+        shard = int(source.rpartition("_")[2].removesuffix(".parquet"))
+        stream_fetcher(files.get(shard, source), target)
+
+    cache = SharedCache(spark, new_path(spark, "near"), ShardSource(base_url=far), fetch)
+    errors = cache.fetch(spark.createDataFrame([(12,), (0,), (7,), (12,)], "shard_id long")).where("error is not null")
+    rows = cache.read([0, 12]).select("doc_id", F.when(F.col("shard_pos") == 0, 0).otherwise(12).alias("shard_id"), "shard_pos", "row_index", text.byte_length(F.col("text")).alias("n_bytes"))
+    none = F.lit(-1)
+    return rows.unionByName(errors.select(none.alias("doc_id"), F.col("shard_id").cast("int"), none.alias("shard_pos"), none.alias("row_index"), none.alias("n_bytes")))
+
+
 @query("select i as shard_id, 'shard_' || lpad(i::varchar, 5, '0') || '.parquet' as file, i in (0, 12, 312) as cached from (select unnest(range(0, 1822)) as i)")
 def shard_catalog(spark, sf):
     cache = _cache(spark, sf)

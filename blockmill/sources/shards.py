@@ -5,15 +5,19 @@ from __future__ import annotations
 import os
 import re
 import shutil
-from collections.abc import Callable, Iterable, Sequence
+import uuid
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from blockmill.errors import Invalid, ResourceNotFound
+from blockmill.sources.staging import place, staged
 
 Fetcher = Callable[[str, str], None]  # from a URL or path, to a path
 PARALLEL = 8
@@ -72,8 +76,8 @@ def split_column(shards: DataFrame, column: str, share: float = 0.10) -> DataFra
     """shards, a row each, with part: the same split by the order of a column, without a list on the driver."""
     n = F.count("*").over(Window.partitionBy())
     held = F.greatest(F.ceil(n * share), F.lit(1))
-    place = F.row_number().over(Window.orderBy(column))
-    return shards.withColumn("part", F.when(place > n - held, "validation").otherwise("train"))
+    nth = F.row_number().over(Window.orderBy(column))
+    return shards.withColumn("part", F.when(nth > n - held, "validation").otherwise("train"))
 
 
 class ShardCache:
@@ -139,6 +143,81 @@ class ShardCache:
         return every.join(have.withColumn("cached", F.lit(True)), "shard_id", "left").select("shard_id", path.alias("path"), F.coalesce("cached", F.lit(False)).alias("cached"))
 
 
+def stream_fetcher(source: str, target: str) -> None:
+    """Copies between any two paths that pyarrow's file systems open; the target appears under its name only when it is whole."""
+    (have, at), (out, to) = (pafs.FileSystem.from_uri(p) if "://" in p else (pafs.LocalFileSystem(), p.removeprefix("file:")) for p in (source, target))
+    draft = f"{to}.{uuid.uuid4().hex}.part"
+    try:
+        with have.open_input_stream(at) as a, out.open_output_stream(draft) as b:
+            while data := a.read(1 << 22):
+                b.write(data)
+        out.move(draft, to)
+    except BaseException:
+        if out.get_file_info(draft).type != pafs.FileType.NotFound:
+            out.delete_file(draft)
+        raise
+
+
+@dataclass(frozen=True)
+class SharedCache:
+    """Shards in a folder of any file system that the session opens, fetched by executors, a shard a task."""
+
+    spark: SparkSession
+    cache_dir: str
+    source: ShardSource = ShardSource()
+    fetcher: Fetcher = stream_fetcher
+
+    def path(self, shard: int) -> str:
+        return f"{self.cache_dir.rstrip('/')}/{self.source.format_shard_filename(shard)}"
+
+    def cached(self) -> DataFrame:
+        """shard_id and path of what is there, by the file system's listing; other files are passed over."""
+        system, at = place(self.spark, self.cache_dir)
+        names = [f.getPath().getName() for f in system.listStatus(at) if f.isFile()] if system.exists(at) else []
+        head, tail = map(re.escape, self.source.shard_template.split("{index}"))
+        found = [(int(m[1]), f"{self.cache_dir.rstrip('/')}/{n}") for n in names if (m := re.fullmatch(rf"{head}(\d+){tail}", n))]
+        return self.spark.createDataFrame(sorted(found), "shard_id long, path string")
+
+    def missing(self, shards: DataFrame) -> DataFrame:
+        """Those of shards (shard_id) that are not there, each once."""
+        return shards.select(F.col("shard_id").cast("long")).distinct().join(self.cached(), "shard_id", "left_anti")
+
+    def fetch(self, shards: DataFrame) -> DataFrame:
+        """Fetches those that are missing; one row each: shard_id, path, and error, null where the shard is there now. It runs once, now.
+
+        A task that runs twice fetches again under a name of its own, and the rename puts one whole file in place.
+        """
+        system, at = place(self.spark, self.cache_dir)
+        system.mkdirs(at)
+        base, folder, source, fetcher = self.source.base_url.rstrip("/"), self.cache_dir.rstrip("/"), self.source, self.fetcher
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for shard in batch["shard_id"].to_pylist():
+                    name, error = source.format_shard_filename(shard), None
+                    try:
+                        fetcher(f"{base}/{name}", f"{folder}/{name}")
+                    except Exception as e:  # one error a shard; the others go on
+                        error = f"{type(e).__name__}: {e}"
+                    out.append({"shard_id": shard, "path": f"{folder}/{name}", "error": error})
+                yield pa.RecordBatch.from_pylist(out, pa.schema([("shard_id", pa.int64()), ("path", pa.string()), ("error", pa.string())]))
+
+        wanted = staged(self.missing(shards), "missing")
+        return staged(wanted.repartition(max(1, wanted.count()), "shard_id").mapInArrow(run, "shard_id long, path string, error string"), "fetched")
+
+    def read(self, shards: Sequence[int], download: bool = False) -> DataFrame:
+        """The rows of the shards, in the order given (shard_pos, row_index)."""
+        wanted = self.spark.createDataFrame([(s,) for s in shards], "shard_id long")
+        if download:
+            failed = self.fetch(wanted).where("error is not null").orderBy("shard_id").first()
+            if failed:
+                raise ResourceNotFound(f"shard {failed['shard_id']} not fetched: {failed['error']}")
+        elif lost := self.missing(wanted).orderBy("shard_id").first():
+            raise ResourceNotFound(f"shard {lost['shard_id']} not found")
+        return read_shards(self.spark, [self.path(s) for s in shards])
+
+
 def _uri(spark: SparkSession, path: str) -> str:
     """The path as file names of a scan begin: absolute, with its scheme, percent-encoded."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") or "/")

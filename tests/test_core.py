@@ -455,6 +455,24 @@ def test_shard_source_and_errors(spark, tmp_path):
         source(shards="3").schema("n long, error string").load().collect()
 
 
+def test_shared_cache(spark, tmp_path):
+    far, near = tmp_path / "far", tmp_path / "near"
+    far.mkdir()
+    for k in (0, 5, 9):
+        spark.createDataFrame([(k,)], "n int").toPandas().to_parquet(far / f"shard_{k:05d}.parquet")
+    for prefix in ("", "file://"):
+        cache = shards.SharedCache(spark, f"{prefix}{near}{len(prefix)}", shards.ShardSource(base_url=f"{prefix}{far}"))
+        with pytest.raises(ResourceNotFound, match="shard 5 not found"):
+            cache.read([9, 5])
+        assert [(r.n, r.shard_pos) for r in cache.read([9, 5], download=True).orderBy("shard_pos").collect()] == [(9, 0), (5, 1)]
+        got = cache.fetch(spark.createDataFrame([(5,), (0,), (0,), (3,)], "shard_id long")).orderBy("shard_id").collect()
+        assert [(r.shard_id, r.error is None) for r in got] == [(0, True), (3, False)]
+        assert [r.shard_id for r in cache.cached().collect()] == [0, 5, 9]
+        with pytest.raises(ResourceNotFound, match="shard 3 not fetched"):
+            cache.read([3], download=True)
+    assert not [f for f in os.listdir(f"{near}0") if "part" in f]
+
+
 def test_sink_publishes_whole_epochs_once(spark, tmp_path):
     from blockmill.plans import sink
 
