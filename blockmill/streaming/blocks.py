@@ -44,17 +44,28 @@ class Packer:
                 self.rows, self.row = self.rows + 1, []
 
 
-def pack_stream(stream: DataFrame, group: str, options: PackOptions) -> DataFrame:
-    """stream: group, arrival, tokens. Full rows (group, row, tokens) as they fill, in append mode; each micro-batch is an arrival batch."""
+def pack_stream(stream: DataFrame, group: str, options: PackOptions, last: str | None = None) -> DataFrame:
+    """stream: group, arrival, tokens. Full rows (group, row, tokens) as they fill, in append mode; each micro-batch is an arrival batch.
+
+    last: a boolean column that is true in a group's last row, or in a row without tokens that only says so. All that waits is picked then, as
+    in a batch at its end, and the group's state goes; what comes later under its name begins anew.
+    """
     kind = stream.schema[group].dataType.simpleString()
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         packer = pickle.loads(state.get[0]) if state.exists else Packer()
-        batch = [(int(a), list(t)) for pdf in parts for a, t in zip(pdf["arrival"], pdf["tokens"], strict=True)]
-        rows = list(packer.add(sorted(batch), options))
-        state.update((pickle.dumps(packer),))
+        batch, ends = [], False
+        for pdf in parts:
+            batch += [(int(a), list(t)) for a, t in zip(pdf["arrival"], pdf["tokens"], strict=True) if t is not None]
+            ends |= bool(pdf["last"].any())
+        rows = list(packer.add(sorted(batch), options, ends))
+        if ends:
+            state.remove()
+        else:
+            state.update((pickle.dumps(packer),))
         yield pd.DataFrame({group: [key[0]] * len(rows), "row": [r for r, _ in rows], "tokens": [t for _, t in rows]})
 
-    return stream.select(group, "arrival", "tokens").groupBy(group).applyInPandasWithState(
+    own = F.coalesce(F.col(last), F.lit(False)) if last else F.lit(False)
+    return stream.select(group, "arrival", "tokens", own.alias("last")).groupBy(group).applyInPandasWithState(
         run, f"`{group}` {kind}, row long, tokens array<int>", "packer binary", "append", GroupStateTimeout.NoTimeout
     )

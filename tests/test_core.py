@@ -352,6 +352,28 @@ def test_streams(spark, tmp_path):
     assert (s.n_texts, s.n_bytes) == (90, 180)
 
 
+def test_stream_with_an_end_equals_the_batch(spark, tmp_path):
+    """The end is in the last batch's own rows for one group, in a row of its own for the other; the tail comes out, and the state goes."""
+    rng, src = random.Random(6), tmp_path / "in"
+    o = packing.PackOptions(1, 16, 10, (256,))
+    rows = {"a": [], "b": []}
+    src.mkdir()
+    for b in range(3):
+        part = [(g, 30 * b + j, [rng.randrange(250) for _ in range(rng.randrange(20))], b == 2 and g == "a" and j == 29) for g in "ab" for j in range(30)]
+        for g, a, t, _ in part:
+            rows[g].append((a, b, t))
+        part += [("b", 90, None, True)] if b == 2 else []
+        spark.createDataFrame(part, "g string, arrival long, tokens array<int>, done boolean").coalesce(1).write.parquet(str(src / f"b{b}"))
+    stream = spark.readStream.schema("g string, arrival long, tokens array<int>, done boolean").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(src))
+    q = pack_stream(stream, "g", o, "done").writeStream.format("memory").queryName("ended").option("checkpointLocation", str(tmp_path / "kept")).start()
+    q.processAllAvailable()
+    left = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+    q.stop()
+    flat = [(g, a, b, t) for g, of in rows.items() for a, b, t in of]
+    want = packing.blocks(spark.createDataFrame(flat, "g string, arrival long, batch long, tokens array<int>"), o, "g").collect()
+    assert sorted((r.g, r.row, r.tokens) for r in spark.table("ended").collect()) == sorted((r.g, r.batch_id, r.tokens) for r in want) and left == 0
+
+
 def test_queries_agree_with_sql(spark):
     import duckdb
 
