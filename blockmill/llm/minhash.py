@@ -16,11 +16,13 @@ alignment compares those). Texts are not read again. Of a doc_id's rows one is k
 Equal word sequences are one class: only its smallest doc_id meets others. In each bucket every member is aligned with CENTRES members of
 the smallest seeded hashes (fewer, where one has several), unless their lengths rule the link out. Buckets that are of one component then
 need no further pair, so a group of m copies costs of the order of m pairs. Where a bucket that this leaves pairs of still holds several
-components, its members go by rare pairs of neighbouring words: a pair of texts that links shares so many of those that it shares one of
-the rarest of either's (see rare()), rarity being counted over the members of all such buckets, and those of one component alone are no
-candidates. Members that share one are aligned. Only one of more than HOT members is not expanded: those of its members meet within their buckets instead,
-all pairs across components, inside tasks of two blocks that are bounded in members (BLOCK) and in words (BLOCK_WORDS). So no candidate pair
-that could join two components is left out, and nothing is capped. Links and components never reach the driver.
+components, its members meet in cells: tasks of one or two blocks of the bucket, bounded in members (BLOCK) and in words (BLOCK_WORDS), which count
+the words that each text shares with all others at once and align what the count lets pass. Buckets of more than LARGE members, a passage that
+a large part of a corpus holds, say, would make too many cells. Their members go by rare pairs of neighbouring words: texts that link share
+so many of those that they share one of the rarest of either's (see rare()), rarity being counted over the members of all such buckets, and
+those of one component alone are no candidates. Members that share one are aligned; only one of more than HOT members is not expanded, and
+its members go to cells as above. So no candidate pair that could join two components is left out, and nothing is capped. Links and
+components never reach the driver.
 
 Defined cases: texts without words (null, empty, signs only) link with nothing; texts of fewer than K words have one k-mer, all their
 words; rows with a null doc_id are left out of the classes; repeated rows of a doc_id count as one, and if their texts differ it is classed by
@@ -30,6 +32,7 @@ one of them, one with words if there is any; an empty table gives no rows. Colum
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -45,9 +48,10 @@ PICK = 2
 ROWS = 1
 BANDS = 32
 CENTRES = 4
-BLOCK = 512
-BLOCK_WORDS = 1 << 19
+BLOCK = 4096
+BLOCK_WORDS = 1 << 21
 HOT = 64
+LARGE = 4096
 THRESHOLD = 0.8
 SEED = 7
 WIDE = 2048  # k-mers hashed at a time
@@ -321,10 +325,13 @@ def found(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     reps = staged(one.where("n_words > 0").groupBy("h1", "h2", "n_words").agg(F.min(F.struct("doc_id", "row")).alias("r")).select("h1", "h2", "n_words", F.col("r.doc_id").alias("rep"), F.col("r.row").alias("row")), "omh-reps")
     bands = staged(prints.select("row", "bands").join(reps.select("row", F.col("rep").alias("doc_id"), "n_words"), "row"), "omh-bands")
     flat = bands.select("doc_id", "row", "n_words", F.explode("bands").alias("bucket"))
+    # most keys are one document's: they go first, by a count of whole numbers alone
+    counts = flat.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    met = staged(flat.join(counts, "bucket").select("bucket", "n", "doc_id", "row", "n_words"), "omh-met")
     order = [F.struct(F.xxhash64("doc_id", F.lit(SEED + s)).alias("o"), F.col("doc_id"), F.col("n_words"), F.col("row")) for s in range(CENTRES)]
-    buckets = flat.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_words").alias("all_words"), *(F.min(o).alias(f"c{s}") for s, o in enumerate(order))).where("n > 1")
+    buckets = met.groupBy("bucket").agg(F.sum("n_words").alias("all_words"), *(F.min(o).alias(f"c{s}") for s, o in enumerate(order)))
     centres = F.array_distinct(F.array(*(F.struct(f"c{s}.doc_id", f"c{s}.n_words", f"c{s}.row") for s in range(CENTRES))))
-    members = staged(flat.join(buckets.select("bucket", "n", "all_words", centres.alias("centres")), "bucket"), "omh-members")
+    members = staged(met.join(buckets.select("bucket", "all_words", centres.alias("centres")), "bucket"), "omh-members")
     stars = (
         members.select(F.col("doc_id").alias("x"), F.col("n_words").alias("nx"), F.col("row").alias("rx"), F.explode("centres").alias("c"))
         .where((F.col("x") != F.col("c.doc_id")) & _long_enough("nx", "c.n_words"))
@@ -344,29 +351,32 @@ def found(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     apart = staged(placed.join(mixed, "bucket", "left_semi"), "omh-apart")
     ids = staged(apart.select("row", "doc_id", "comp", "n_words").distinct(), "omh-apart-ids")
     own = staged(prints.select("row", "words").join(small(ids), "row"), "omh-apart-words")
-    grams_ = staged(rare(own.select("doc_id", "comp", "n_words", "words")), "omh-rare")
-    some = grams_.where(F.col("n") <= HOT).select("gram", "doc_id", "comp", "n_words")
-    other = some.select("gram", F.col("doc_id").alias("b"), F.col("comp").alias("cb"), F.col("n_words").alias("nb"))
-    across = some.join(other, "gram").where((F.col("doc_id") < F.col("b")) & (F.col("comp") != F.col("cb")) & _long_enough("n_words", "nb")).select(F.col("doc_id").alias("a"), "b").distinct()
-    more = staged(links(staged(across, "omh-across"), own), "omh-more")
-    hot = grams_.where(F.col("n") > HOT).select("doc_id").distinct()
+    each, more, used_up = apart.where(F.col("n") <= LARGE), [], []
+    large = apart.where(F.col("n") > LARGE)
+    if not large.isEmpty():
+        rares = staged(rare(own.join(large.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "comp", "n_words", "words")), "omh-rare")
+        some = rares.where(F.col("n") <= HOT).select("gram", "doc_id", "comp", "n_words")
+        other = some.select("gram", F.col("doc_id").alias("b"), F.col("comp").alias("cb"), F.col("n_words").alias("nb"))
+        across = some.join(other, "gram").where((F.col("doc_id") < F.col("b")) & (F.col("comp") != F.col("cb")) & _long_enough("n_words", "nb")).select(F.col("doc_id").alias("a"), "b").distinct()
+        more.append(staged(links(staged(across, "omh-across"), own), "omh-more"))
+        used_up.append(rares)
+        each = each.unionByName(large.join(rares.where(F.col("n") > HOT).select("doc_id").distinct(), "doc_id", "left_semi").select(each.columns))
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("all_words") / BLOCK_WORDS)).cast("int")
     cells = (
-        apart.join(hot, "doc_id", "left_semi")
-        .withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), blocks).cast("int"))
+        each.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "comp")
     )
     full = cells.join(own.select("doc_id", "words"), "doc_id").join(bands.select("doc_id", "bands"), "doc_id")
     rest = staged(full.groupBy("bucket", "i", "j").applyInPandas(_across, "src long, dst long"), "omh-rest")
-    all_links = linked.unionByName(more).unionByName(rest)
+    all_links = reduce(DataFrame.unionByName, [linked, *more, rest])
     edges = staged(all_links.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "omh-edges")
     every = staged(components(edges, "omh-all"), "omh-all-joined")
     classed = staged(
         reps.join(every, reps["rep"] == every["node"], "left").select("h1", "h2", "n_words", "rep", F.coalesce("component", "rep").alias("class_id")), "omh-classes"
     )
     slim = staged(one.select("doc_id", "h1", "h2", "n_words"), "omh-slim")
-    release(prints, reps, bands, members, pairs, used, packed, linked, joined, apart, ids, own, grams_, more, rest, every)
+    release(prints, reps, bands, met, members, pairs, used, packed, linked, joined, apart, ids, own, rest, every, *more, *used_up)
     classed_ = slim.join(classed, ["h1", "h2", "n_words"], "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce(F.col("class_id") == F.col("doc_id"), F.lit(True)).alias("kept"), F.col("rep").alias("text_id")
     )

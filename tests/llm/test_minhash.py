@@ -226,10 +226,11 @@ def edited(base, rng, share):
     return w
 
 
-@pytest.mark.parametrize("hot", [64, 3])
-def test_shared_passage_across_components(spark, monkeypatch, hot):
-    """Many texts share a long passage and are unlike; some pairs among them are alike. Rare k-mers find those, or cells where k-mers are hot."""
+@pytest.mark.parametrize(("hot", "large"), [(64, 4), (3, 4), (64, 4096)])
+def test_shared_passage_across_components(spark, monkeypatch, hot, large):
+    """Many texts share a long passage and are unlike; some pairs among them are alike. Cells find those, or rare pairs of words, or both."""
     monkeypatch.setattr(m, "HOT", hot)
+    monkeypatch.setattr(m, "LARGE", large)
     monkeypatch.setattr(m, "BLOCK", 16)
     rng = random.Random(9)
     passage = text_of(rng, 120).split()
