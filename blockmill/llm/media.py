@@ -6,9 +6,9 @@ bits for each place in time. Two recordings match at an offset if over the overl
 recording, all), at most MAX_ERROR of all bits differ, and at most MAX_SHARE of those that would by chance. They align at the matching
 offset of most equal integers, then of fewest bit errors.
 
-Rows of one fingerprint are one class, which is searched once and counts its rows. Searches go in blocks of the stated queries (QUERY_BLOCK at
-most in a broadcast, WAVE blocks in a plan) against all rows. Every offset of every pair is
-held against the rule: bit errors at all offsets are a correlation of the bits, made by Fourier transforms of whole batches, and what
+Rows of one fingerprint are one class, which is searched once and counts its rows. Searches go in cells, a task each, of a block of the stated
+queries and a block of the rows: BLOCK fingerprints and BLOCK_INTEGERS integers on average, by hash, whatever their number. Nothing is
+broadcast or reaches the driver but counts. Every offset of every pair is held against the rule: bit errors at all offsets are a correlation of the bits, made by Fourier transforms of whole batches, and what
 passes is verified bit by bit. No integer need be equal. Nothing is emitted but matches.
 
 The corpus tables hold no audio, so the query renders each row of embeddings as a recording of one tone a component; vectors that are
@@ -27,7 +27,6 @@ import io
 import math
 import wave
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +40,8 @@ LOWEST_HZ, HIGHEST_HZ = 400.0, 1800.0
 MAX_ERROR = 0.25
 MAX_SHARE = 0.5
 MIN_OVERLAP = 12
-QUERY_BLOCK = 8192
-WAVE = 16
+BLOCK = 1024
+BLOCK_INTEGERS = 1 << 18
 CHUNK = 1 << 23  # pairs times offsets that are held at a time
 SPAN = 8  # frames that the widest filter sees
 #: (kind, first pitch class, pitch classes, frames): 16 filters of 2 bits each, made by rule
@@ -224,43 +223,53 @@ def lengths(prints: list[np.ndarray]) -> dict[int, list[int]]:
     return out
 
 
+def _cell(queries: pa.Table, rows: pa.Table) -> pa.Table:
+    """The matches of one block of queries and one block of rows."""
+    if not queries.num_rows or not rows.num_rows:
+        return pa.table({c: pa.array([], t) for c, t in MATCH.items()})
+    as_prints = lambda t: [np.array(p, np.int32).view(np.uint32) for p in t["fingerprint"].to_pylist()]
+    block = Block(queries["id"].to_pylist(), as_prints(queries))
+    found = [(q, i, *m) for i, ms in zip(rows["id"].to_pylist(), block.match_all(as_prints(rows)), strict=True) for q, *m in ms]
+    cols = list(zip(*found, strict=True)) if found else [[]] * len(MATCH)
+    return pa.table({c: pa.array(v, t) for (c, t), v in zip(MATCH.items(), cols, strict=True)})
+
+
+MATCH = {"query_id": pa.int64(), "id": pa.int64(), "offset": pa.int32(), "equal": pa.int32(), "overlap": pa.int32(), "error_rate": pa.float64()}
+
+
+def _blocks(prints: DataFrame) -> int:
+    """Into how many blocks fingerprints go, by their number and by their integers."""
+    n, size = prints.agg(F.count("*"), F.sum(F.size("fingerprint"))).first()
+    return max(1, math.ceil(n / BLOCK), math.ceil((size or 0) / BLOCK_INTEGERS))
+
+
 def search(queries: DataFrame, rows: DataFrame, id_col: str) -> DataFrame:
     """Of every query (id_col, fingerprint) the rows it aligns with: query_id, id_col, offset, equal, overlap, error_rate."""
-    total = queries.count()
-    blocks = max(1, math.ceil(total / (QUERY_BLOCK // 2)))  # hashed into blocks of half the bound on average
-    waves, out = [], None
-    schema = f"query_id long, `{id_col}` long, offset int, equal int, overlap int, error_rate double"
-    for k in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == k).toArrow()
-        block = Block(own[id_col].to_pylist(), [np.array(x or [], np.int32).view(np.uint32) for x in own["fingerprint"].to_pylist()])
-        shared = queries.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                prints = [np.array(p or [], np.int32).view(np.uint32) for p in batch["fingerprint"].to_pylist()]
-                found = [(q, i, *m) for i, ms in zip(batch[id_col].to_pylist(), shared.value.match_all(prints), strict=True) for q, *m in ms]
-                cols = list(zip(*found, strict=True)) if found else [[]] * 6
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()), strict=True)], names=["query_id", id_col, "offset", "equal", "overlap", "error_rate"])
-
-        part = rows.select(F.col(id_col).cast("long").alias(id_col), "fingerprint").mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-        if blocks > WAVE and (k % WAVE == WAVE - 1 or k == blocks - 1):
-            waves.append(staged(out, f"chroma-wave{k // WAVE}"))
-            out = None
-    return reduce(DataFrame.unionByName, waves) if waves else out
+    # aliases keep the columns of the two sides apart where both come from one table
+    with_id = [d.where(F.size("fingerprint") > 0).select(F.col(id_col).cast("long").alias("id"), F.col("fingerprint").alias("fingerprint")) for d in (queries, rows)]
+    n = [_blocks(d) for d in with_id]
+    block = [F.pmod(F.xxhash64("id", "fingerprint"), F.lit(k)).cast("int") for k in n]
+    every = [F.explode(F.sequence(F.lit(0), F.lit(k - 1))) for k in n]
+    asked = with_id[0].select("id", "fingerprint", block[0].alias("q"), every[1].alias("r"))
+    others = with_id[1].select("id", "fingerprint", every[0].alias("q"), block[1].alias("r"))
+    schema = "query_id long, id long, offset int, equal int, overlap int, error_rate double"
+    found = asked.groupBy("q", "r").cogroup(others.groupBy("q", "r")).applyInArrow(_cell, schema)
+    return found.withColumnRenamed("id", id_col)
 
 
 def alignments(queries: DataFrame, rows: DataFrame, id_col: str) -> DataFrame:
     """One row per row of queries (id_col, fingerprint), itself among rows: query_id, class_id (the smallest id of its fingerprint, null if it
     has none), n_matches (rows that align with it, but for itself), n_classes (their fingerprints, its own included), and best_class, best_offset
-    and best_error of the other class of fewest bit errors."""
-    classes = staged(rows.where(F.size("fingerprint") > 0).groupBy("fingerprint").agg(F.min(F.col(id_col).cast("long")).alias("class_id"), F.count("*").alias("copies")), "chroma-classes")
+    and best_error of the other class, of those with an id, of fewest bit errors."""
+    every = rows.where(F.size("fingerprint") > 0).groupBy("fingerprint").agg(F.min(F.col(id_col).cast("long")).alias("class_id"), F.count("*").alias("copies"))
+    # a class whose rows all lack an id is counted as well, so classes have keys of their own
+    classes = staged(every.withColumn("key", F.monotonically_increasing_id()), "chroma-classes")
     asked = staged(queries.select(F.col(id_col).cast("long").alias("query_id"), "fingerprint").join(classes, "fingerprint", "left"), "chroma-asked")
-    own = asked.where("class_id is not null").select("class_id", "fingerprint").distinct()
-    found = search(own, classes, "class_id").join(classes.select("class_id", "copies"), "class_id")
-    best = F.min(F.when(F.col("class_id") != F.col("query_id"), F.struct("error_rate", "class_id", "offset")))
+    own = asked.where("class_id is not null").select("key", "class_id", "fingerprint").distinct()
+    found = search(own, classes, "key").join(classes.select("key", "class_id", "copies"), "key")
+    best = F.min(F.when((F.col("key") != F.col("query_id")) & F.col("class_id").isNotNull(), F.struct("error_rate", "class_id", "offset")))
     per = found.groupBy("query_id").agg(F.sum("copies").alias("n"), F.count("*").alias("n_classes"), best.alias("best")).withColumnRenamed("query_id", "own")
-    return asked.join(per, asked["class_id"] == per["own"], "left").select(
+    return asked.join(per, asked["key"] == per["own"], "left").select(
         "query_id",
         "class_id",
         F.coalesce(F.col("n") - 1, F.lit(0)).alias("n_matches"),

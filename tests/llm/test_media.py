@@ -138,6 +138,7 @@ def test_alignments_count_all_rows(spark, monkeypatch):
     prints[90001] = np.empty(0, np.uint32)
     prints[90000] = None
     rows = [(i, None if p is None else p.view(np.int32).tolist(), i, "x") for i, p in prints.items()] + [(None, base[0].view(np.int32).tolist(), 1, "n")] * 2
+    rows += [(None, (base[1] ^ np.uint32(1 << 9)).view(np.int32).tolist(), 1, "n")] * 3  # a class of its own, without ids
     df = spark.createDataFrame(rows, "vec_id long, fingerprint array<int>, class_id long, copies string").select("vec_id", "fingerprint")
     every = [(i, np.array(p or [], np.int32).view(np.uint32)) for i, p, *_ in rows]
     want = {q: sum(by_bit_errors(prints[q], p) for i, p in every) - 1 for q in prints if q % 100 == 0 and prints[q] is not None and len(prints[q])}
@@ -146,8 +147,8 @@ def test_alignments_count_all_rows(spark, monkeypatch):
     for r in got.values():
         if r.best_class is not None:
             assert m.bit_errors(prints[r.query_id], prints[r.best_class], r.best_offset)[1] == r.best_error > 0 or len(prints[r.best_class]) != len(prints[r.query_id])
-    monkeypatch.setattr(m, "QUERY_BLOCK", 4)
-    monkeypatch.setattr(m, "WAVE", 2)
+    monkeypatch.setattr(m, "BLOCK", 4)
+    monkeypatch.setattr(m, "BLOCK_INTEGERS", 100)
     assert {r.query_id: tuple(r) for r in m.alignments(df.where("vec_id % 100 = 0"), df, "vec_id").collect()} == {q: tuple(r) for q, r in got.items()}
 
 
