@@ -11,6 +11,10 @@ sequence is thus picked in the round of the first batch, from its own on, after
 order of picks is that of (round, length, arrival). The largest of a union are found from the largest of its parts, so a running total in
 two levels gives each chunk of sequences what waits at its begin, and chunks settle the rounds of what they pick by themselves.
 
+With one_a_pick, one batch at most is admitted before a pick, so picks begin with the first batch and what waits grows by a batch less one until
+it is min_buffer - 1; from there on both rules are the same. The batches up to there are a chunk of their own, gone through batch by batch. It is
+short, some min_buffer sequences and one for each of its batches, but where nearly all batches of a group hold a single sequence.
+
 Places. A chunk of picks turns the fill of a row, 0 to seq_len - 1, into another fill and a number of full rows. Such functions are tables of
 seq_len entries, and are put one after another by indexing, again in two levels; then each chunk places its picks from its own begin.
 """
@@ -23,13 +27,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockmill.errors import Invalid
 from blockmill.operators.scan import prefixes
 from blockmill.operators.shuffle import global_index
-from blockmill.sources.staging import quoted, staged
+from blockmill.sources.staging import quoted, small, staged
 
 
 @dataclass(frozen=True)
@@ -39,14 +43,15 @@ class PackOptions:
     min_buffer: int = 512
     bos: tuple[int, ...] = ()
     eos: tuple[int, ...] = ()
+    one_a_pick: bool = False
 
     def __post_init__(self):
         if self.batch_size < 1 or self.seq_len < 1 or self.min_buffer < 0:
             raise Invalid("batch_size and seq_len are positive, and min_buffer is not negative")
 
 
-def pick_order(batches: Iterable[list[tuple[int, int]]], min_buffer: int) -> Iterator[tuple[int, int]]:
-    """(length, arrival) in the order of picks. batches: of (length, arrival)."""
+def pick_order(batches: Iterable[list[tuple[int, int]]], min_buffer: int, one_a_pick: bool = False) -> Iterator[tuple[int, int]]:
+    """(length, arrival) in the order of picks. batches: of (length, arrival), none empty with one_a_pick."""
     waiting: list[tuple[int, int]] = []
     source, more = iter(batches), True
     while True:
@@ -57,6 +62,8 @@ def pick_order(batches: Iterable[list[tuple[int, int]]], min_buffer: int) -> Ite
             else:
                 for item in batch:
                     heapq.heappush(waiting, item)
+                if one_a_pick:
+                    break
         if not waiting:
             return
         yield heapq.heappop(waiting)
@@ -92,10 +99,11 @@ def plan(lengths: DataFrame, options: PackOptions, group: str | None = None, chu
         rounds = source.where("false").withColumn("round", F.col("batch"))
     elif wait == 0:
         rounds = source.withColumn("round", F.col("batch"))
-    elif wait >= most:
+    elif wait >= most and not options.one_a_pick:
         rounds = source.withColumn("round", F.lit(0).cast("long"))
     else:
-        rounds = staged(_rounds(source, key, wait, max(chunk, 4 * wait), most), "pack-rounds")
+        wait = min(wait, most)
+        rounds = staged(_rounds(source, key, wait, max(chunk, 4 * wait), most, options.one_a_pick), "pack-rounds")
     picks = global_index(rounds.select(quoted(key), "arrival", "length", "round"), "round", "length", "arrival", group=key)
     chunked = picks.select(quoted(key), "arrival", "length", F.col("row_no").alias("pick"), F.expr(f"row_no div {chunk}").alias("part"))
     out = _places(chunked, key, options, most // chunk + 1)
@@ -111,36 +119,52 @@ def _largest(pairs: np.ndarray, most: int) -> np.ndarray:
     return pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))][-most:]
 
 
-def _rounds(source: DataFrame, key: str, wait: int, chunk: int, most: int) -> DataFrame:
+def _admit(pdf: pd.DataFrame, waiting: np.ndarray, wait: int, least: int, end: bool) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """What each batch sends out, least sequences and all but wait of them (at the end all), its rounds, and what waits then."""
+    # a batch that is cut by chunks is admitted in pieces: what goes out early goes in the same round
+    pdf = pdf.sort_values("batch", kind="stable")
+    pairs, batch = pdf[["length", "arrival"]].to_numpy(np.int64), pdf["batch"].to_numpy()
+    out, rounds, first = [], [], 0
+    for last in np.append(np.flatnonzero(np.diff(batch)) + 1, len(batch)):
+        every = np.concatenate([waiting, pairs[first:last]])
+        every = every[np.lexsort((every[:, 1], every[:, 0]))]
+        go = len(every) if end and last == len(batch) else max(least, len(every) - wait)
+        out.append(every[:go])
+        rounds.append(np.full(go, batch[first]))
+        waiting, first = every[go:], last
+    return out, rounds, waiting
+
+
+def _rounds(source: DataFrame, key: str, wait: int, chunk: int, most: int, one_a_pick: bool) -> DataFrame:
     """The key, arrival, length and round of every sequence, where at most `wait` are left when the next batch is admitted."""
     own, kind = quoted(key), source.schema[key].dataType.simpleString()
+    least = int(one_a_pick)
     placed = global_index(source, "batch", "length", "arrival", group=key)
-    rows = placed.select(own, "arrival", "batch", "length", F.expr(f"row_no div {chunk}").alias("part"))
+    part = F.expr(f"row_no div {chunk}")
+    if one_a_pick:  # part 0 is the batches until wait sequences are left for the first time
+        before = F.sum("n").over(Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+        sizes = source.groupBy(F.col(own).alias("_k"), F.col("batch").alias("_b")).agg((F.count("*") - 1).alias("n"))
+        early = sizes.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < wait).groupBy("_k").agg(F.max("_b").alias("_b"))
+        ends = small(staged(early, "pack-early"))
+        placed = placed.join(ends, F.col(own).eqNullSafe(F.col("_k")))
+        part = F.when(F.col("batch") <= F.col("_b"), F.lit(0).cast("long")).otherwise(part + 1)
+    rows = placed.select(own, "arrival", "batch", "length", part.alias("part"))
 
     def top(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = _largest(pdf[["length", "arrival"]].to_numpy(np.int64), wait)
+        if one_a_pick and pdf["part"].iloc[0] == 0:
+            found = _admit(pdf, _pairs(None), wait, least, False)[2]
+        else:
+            found = _largest(pdf[["length", "arrival"]].to_numpy(np.int64), wait)
         return pd.DataFrame({key: pdf[key].iloc[:1], "part": pdf["part"].iloc[:1], "payload": [found.astype("<i8").tobytes()]})
 
     def settle(pdf: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-        # a batch that is cut by chunks is admitted in pieces: what goes out early goes in the same round
-        pdf = pdf.sort_values("batch", kind="stable")
-        pairs, batch = pdf[["length", "arrival"]].to_numpy(np.int64), pdf["batch"].to_numpy()
-        waiting, out, rounds = _pairs(before["prefix"].iloc[0]), [], []
-        ends = np.append(np.flatnonzero(np.diff(batch)) + 1, len(batch))
-        first = 0
-        for last in ends:
-            every = np.concatenate([waiting, pairs[first:last]])
-            every = every[np.lexsort((every[:, 1], every[:, 0]))]
-            go = max(0, len(every) - wait) if not (last == len(batch) and before["last"].iloc[0]) else len(every)
-            out.append(every[:go])
-            rounds.append(np.full(go, batch[first]))
-            waiting, first = every[go:], last
+        out, rounds, _ = _admit(pdf, _pairs(before["prefix"].iloc[0]), wait, least, before["last"].iloc[0])
         found = np.concatenate(out)
         return pd.DataFrame({key: pdf[key].iloc[0], "arrival": found[:, 1], "length": found[:, 0], "round": np.concatenate(rounds)})
 
     tops = rows.groupBy(own, "part").applyInPandas(top, f"{own} {kind}, part long, payload binary")
     merge = lambda a, b: _largest(np.concatenate([_pairs(a), _pairs(b)]), wait).astype("<i8").tobytes()
-    before = prefixes(tops, key, merge, most // chunk + 1)
+    before = prefixes(tops, key, merge, most // chunk + 1 + least)
     return rows.groupBy(own, "part").cogroup(before.groupBy(own, "part")).applyInPandas(settle, f"{own} {kind}, arrival long, length long, round long")
 
 

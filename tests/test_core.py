@@ -190,6 +190,45 @@ def test_parallel_packing_equals_the_literal_rule(spark, min_buffer):
     assert {g: sorted(v) for g, v in got.items()} == want
 
 
+@pytest.mark.parametrize("min_buffer", [1, 2, 7, 30, 1000])
+def test_one_batch_a_pick(spark, min_buffer):
+    """The same groups with one batch admitted before a pick: batches of one sequence, small ones that take long to fill the buffer, large ones."""
+    rng = random.Random(min_buffer + 1)
+    o = packing.PackOptions(2, rng.randrange(5, 40), min_buffer, (9,), one_a_pick=True)
+    rows, want, other = [], {}, {}
+    for g in range(25):
+        n, per, top = rng.randrange(1, 150), rng.choice([1, 2, 3, 7, 200]), rng.choice([3, 60])
+        name, batches = f"g{g}" if g else None, []
+        for k in range(n):
+            size = rng.randrange(top)
+            rows.append((name, k, k // per, size))
+            if k % per == 0:
+                batches.append([])
+            batches[-1].append((size, k))
+        want[name], other[name] = ([(p, *x) for p, x in enumerate(packing.place(packing.pick_order(batches, min_buffer, one), o))] for one in (True, False))
+    got: dict = {}
+    for r in packing.plan(spark.createDataFrame(rows, "part string, arrival long, batch long, length long"), o, "part", chunk=16).collect():
+        got.setdefault(r.part, []).append((r.pick, r.arrival, r.row, r.off, r.take, r.tail))
+    assert {g: sorted(v) for g, v in got.items()} == want
+    assert want != other or min_buffer < 3
+
+
+def test_dense_blocks_of_several_batches_agree_with_sql(spark, tmp_path):
+    """A source has few documents in each arrival batch, so that several are admitted before 512 wait."""
+    import duckdb
+
+    from blockmill.plans import registry
+
+    docs = spark.range(0, 60_000, 17).selectExpr("id as doc_id", "concat('src', id % 3) as source", "repeat('ab', cast(1 + pmod(xxhash64(id), 90) as int)) as text")
+    docs.toPandas().to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet')")
+    cols = "source, batch_id, row_in_batch, n_tokens, total"
+    want = sorted(con.sql(f"select {cols} from ({registry.SQL['dense_blocks']})").fetchall())
+    got = registry.QUERIES["dense_blocks"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.select(*cols.split(", ")).collect()) == want and len(want) > 100
+
+
 def test_tables_of_fills():
     rng = random.Random(2)
     for _ in range(2000):
