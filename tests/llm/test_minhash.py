@@ -276,3 +276,47 @@ def test_keep_with_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b c d e f", 1, 2), (2, "a b c d e f", 3, 4), (None, None, 5, 6)], "doc_id long, text string, _gone int, gone int")
     got = m.keep(df)
     assert got.columns == df.columns and {tuple(r) for r in got.collect()} == {(1, "a b c d e f", 1, 2), (None, None, 5, 6)}
+
+
+def test_components_of_densely_linked_groups(spark, monkeypatch):
+    """The rounds go over a few edges a node, not over all links of a group; components are those of a plain search, with any number of nodes held."""
+    import random
+
+    import pyarrow as pa
+
+    from blockmill.llm import common
+
+    sizes, kept = {}, common.staged
+
+    def watched(df, tag, *args):
+        out = kept(df, tag, *args)
+        sizes[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(common, "staged", watched)
+    dense = [(1000 * g + x, 1000 * g + c) for g in (1, 2) for x in range(400) for c in range(60)]
+    rng = random.Random(4)
+    edges = dense + [(rng.randrange(3000, 3400), rng.randrange(3000, 3400)) for _ in range(250)] + [(-5, 1399), (7, 7)]
+    near = {}
+    for a, b in edges:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = {}
+    for x in sorted(near):
+        todo = [x] * (x not in want)
+        while todo:
+            y = todo.pop()
+            if y not in want:
+                want[y] = x
+                todo += near[y]
+    got = common.components(spark.createDataFrame(edges, "src long, dst long").repartition(3), "test").collect()
+    assert len(got) == len(want) and dict(map(tuple, got)) == want
+    assert sizes["test-edges"] <= 3 * len(want)
+    # a task that cannot hold all nodes
+    monkeypatch.setattr(common, "NODES", 50)
+    batches = [pa.record_batch([pa.array(x) for x in zip(*edges[k : k + 100], strict=True)], names=["src", "dst"]) for k in range(0, len(edges), 100)]
+    stars = [e for b in common._stars(iter(batches)) for e in zip(*(b[c].to_pylist() for c in ("u", "v")), strict=True)]
+    assert all(u > v for u, v in stars) and len(stars) < len(edges)
+    got = common.components(spark.createDataFrame(stars, "src long, dst long"), "test").collect()
+    assert dict(map(tuple, got)) == want
