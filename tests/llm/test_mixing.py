@@ -196,3 +196,21 @@ def test_column_names_with_backticks(spark):
     df = spark.createDataFrame([(1, "a b", "s", 5)], ["doc_id", "text", "source", "odd`name"])
     got = m.expand(df)
     assert got.columns == df.columns and {tuple(r) for r in got.collect()} == {(1, "a b", "s", 5), (1, "a", "s", 5)} and m.mix(df).first()["odd`name"] == 5
+
+
+def test_mix_is_laid_out_by_shards(spark, monkeypatch, tmp_path):
+    """The seats say in which partition, and once written in which file, a row of the mix stands: shard after shard."""
+    df = frame(spark)
+    shards = lambda out: out.select("part", m.F.spark_partition_id().alias("at")).distinct().collect()
+    for words, least in ((m.PART_WORDS, m.SHARDS), (100, m.SHARDS + 1)):
+        monkeypatch.setattr(m, "PART_WORDS", words)
+        out = m.expand(df, shard_col="part")
+        assert out.rdd.getNumPartitions() >= least
+        rows = sorted((r["at"], r.part) for r in shards(out))
+        assert len({a for a, _ in rows}) == len(rows) > 1 and [p for _, p in rows] == sorted(p for _, p in rows)
+    out.write.parquet(str(tmp_path / "mix"))
+    files = spark.read.parquet(str(tmp_path / "mix")).select(m.F.input_file_name().alias("file"), "part").distinct().collect()
+    assert [r.part for r in sorted(files, key=lambda r: r.file)] == sorted(r.part for r in files)
+    # other seats, another layout
+    monkeypatch.setattr(m, "quotas", lambda aims: aims.where("target > 0").select("idx", m.F.explode(m.F.sequence(m.F.lit(0), m.F.lit(m.SHARDS - 1))).alias("shard"), m.F.lit(m.SEATS).alias("seats")))
+    assert {r.part for r in shards(m.expand(df, shard_col="part"))} != {r.part for r in files}
