@@ -6,6 +6,7 @@ import json
 import os
 import shutil
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockmill.errors import BlockmillError, Invalid
@@ -13,7 +14,7 @@ from blockmill.functions import tensors, training
 from blockmill.operators import groups, shuffle, text
 from blockmill.plans.registry import docs, query
 from blockmill.sources.shardlist import ShardList
-from blockmill.sources.shards import ShardCache, SharedCache, ShardSource, parse_shards, read_shards, scan_shards, stream_fetcher
+from blockmill.sources.shards import ShardCache, SharedCache, ShardSource, parse_shards, read_shards, scan_shards
 from blockmill.sources.staging import new_path
 
 TABLES = ("region", "nation", "supplier")
@@ -59,17 +60,13 @@ def cache_listing(spark, sf):
 
 @query("select doc_id, 12 as shard_id, 1 as shard_pos, row_number() over (order by doc_id) - 1 as row_index, strlen(text)::bigint as n_bytes from documents union all select item_id, 0, 0, row_number() over (order by item_id) - 1, strlen(text)::bigint from benchmark union all select -1, 7, -1, -1, -1")
 def cache_fetch(spark, sf):
-    """Two tables as shards 12 and 0, fetched by executors and read in that order; shard 7 is not there and is one error."""
+    """Two tables as shards 12 and 0, folders of part files fetched by executors and read in that order; shard 7 is not there and is one error."""
     far = new_path(spark, "far")
+    source = ShardSource(base_url=far)
     for table, key, shard in (("documents", "doc_id", 12), ("benchmark", "item_id", 0)):
-        spark.read.parquet(f"{sf}/{table}.parquet").select(F.col(key).alias("doc_id"), "text").coalesce(1).sortWithinPartitions("doc_id").write.parquet(f"{far}/{shard}")
-    files = {shard: spark.read.parquet(f"{far}/{shard}").inputFiles()[0] for shard in (12, 0)}
-
-    def fetch(source: str, target: str) -> None:
-        shard = int(source.rpartition("_")[2].removesuffix(".parquet"))
-        stream_fetcher(files.get(shard, source), target)
-
-    cache = SharedCache(spark, new_path(spark, "near"), ShardSource(base_url=far), fetch)
+        rows = spark.read.parquet(f"{sf}/{table}.parquet").select(F.col(key).alias("doc_id"), "text")
+        _parts(rows, "doc_id").write.parquet(f"{far}/{source.format_shard_filename(shard)}")
+    cache = SharedCache(spark, new_path(spark, "near"), source)
     errors = cache.fetch(spark.createDataFrame([(12,), (0,), (7,), (12,)], "shard_id long")).where("error is not null")
     rows = cache.read([0, 12]).select("doc_id", F.when(F.col("shard_pos") == 0, 0).otherwise(12).alias("shard_id"), "shard_pos", "row_index", text.byte_length(F.col("text")).alias("n_bytes"))
     none = F.lit(-1)
@@ -108,6 +105,15 @@ def folder_scan(spark, sf):
     return read_shards(spark, [f"{root}/shard 1", spark.read.parquet(f"{root}/one").inputFiles()[0].replace("%20", " ")])
 
 
+PART_BYTES = 32 << 20  # of text in a part file of a shard
+
+
+def _parts(rows: DataFrame, key: str) -> DataFrame:
+    """rows (with a column text) in the order of key, cut into partitions of about PART_BYTES of text, so of more partitions the more there is."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return rows.repartitionByRange(max(3, -(-size // PART_BYTES)), key).sortWithinPartitions(key)
+
+
 def _shards(spark, sf: str) -> list[str]:
     """documents, a file that is no parquet file, documents' texts in parts, a path that is not there, benchmark, whose columns are others, and documents again."""
     root = new_path(spark, "shards")

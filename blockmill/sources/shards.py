@@ -160,7 +160,7 @@ def stream_fetcher(source: str, target: str) -> None:
 
 @dataclass(frozen=True)
 class SharedCache:
-    """Shards in a folder of any file system that the session opens, fetched by executors, a shard a task."""
+    """Shards in a folder of any file system that the session opens, fetched by executors, a file a task. A shard is a file, or a folder of part files."""
 
     spark: SparkSession
     cache_dir: str
@@ -173,7 +173,7 @@ class SharedCache:
     def cached(self) -> DataFrame:
         """shard_id and path of what is there, by the file system's listing; other files are passed over."""
         system, at = place(self.spark, self.cache_dir)
-        names = [f.getPath().getName() for f in system.listStatus(at) if f.isFile()] if system.exists(at) else []
+        names = [f.getPath().getName() for f in system.listStatus(at)] if system.exists(at) else []
         head, tail = map(re.escape, self.source.shard_template.split("{index}"))
         found = [(int(m[1]), f"{self.cache_dir.rstrip('/')}/{n}") for n in names if (m := re.fullmatch(rf"{head}(\d+){tail}", n))]
         return self.spark.createDataFrame(sorted(found), "shard_id long, path string")
@@ -189,22 +189,40 @@ class SharedCache:
         """
         system, at = place(self.spark, self.cache_dir)
         system.mkdirs(at)
-        base, folder, source, fetcher = self.source.base_url.rstrip("/"), self.cache_dir.rstrip("/"), self.source, self.fetcher
+        base, folder, fetcher, name = self.source.base_url.rstrip("/"), self.cache_dir.rstrip("/"), self.fetcher, self.source.format_shard_filename
+        wanted = sorted(r["shard_id"] for r in self.missing(shards).collect())  # a number a shard, as a list of shards is
+        with ThreadPoolExecutor(PARALLEL) as pool:
+            parts = dict(zip(wanted, pool.map(lambda s: _part_names(self.spark, f"{base}/{name(s)}"), wanted), strict=True))
+        # a folder is filled under another name, which no template has, and shows when it is whole
+        drafts = {s: f"{folder}/.{uuid.uuid4().hex}.folder" for s in wanted if parts[s] is not None}
+        for draft in drafts.values():
+            system.mkdirs(place(self.spark, draft)[1])
+        files = [(s, f"{base}/{name(s)}/{p}", f"{drafts[s]}/{p}") if s in drafts else (s, f"{base}/{name(s)}", f"{folder}/{name(s)}") for s in wanted for p in parts[s] or [""]]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 out = []
-                for shard in batch["shard_id"].to_pylist():
-                    name, error = source.format_shard_filename(shard), None
+                for _, shard, have, to in zip(*(batch[c].to_pylist() for c in ("nth", "shard_id", "source", "target")), strict=True):
+                    error = None
                     try:
-                        fetcher(f"{base}/{name}", f"{folder}/{name}")
+                        fetcher(have, to)
                     except Exception as e:  # one error a shard; the others go on
                         error = f"{type(e).__name__}: {e}"
-                    out.append({"shard_id": shard, "path": f"{folder}/{name}", "error": error})
-                yield pa.RecordBatch.from_pylist(out, pa.schema([("shard_id", pa.int64()), ("path", pa.string()), ("error", pa.string())]))
-
-        wanted = staged(self.missing(shards), "missing")
-        return staged(wanted.repartition(max(1, wanted.count()), "shard_id").mapInArrow(run, "shard_id long, path string, error string"), "fetched")
+                    out.append({"shard_id": shard, "error": error})
+                yield pa.RecordBatch.from_pylist(out, pa.schema([("shard_id", pa.int64()), ("error", pa.string())]))
+
+        listed = self.spark.createDataFrame([(k, *f) for k, f in enumerate(files)], "nth int, shard_id long, source string, target string")
+        done = staged(listed.repartitionById(max(1, len(files)), F.col("nth")).mapInArrow(run, "shard_id long, error string"), "fetched")
+        failed = {r["shard_id"]: r["error"] for r in done.where("error is not null").groupBy("shard_id").agg(F.min("error").alias("error")).collect()}
+        for s, draft in drafts.items():
+            for f in system.listStatus(place(self.spark, draft)[1]):
+                if f.getPath().getName() not in parts[s]:  # of a task that was killed
+                    system.delete(f.getPath(), False)
+            if s in failed:
+                system.delete(place(self.spark, draft)[1], True)
+            elif not system.rename(place(self.spark, draft)[1], place(self.spark, f"{folder}/{name(s)}")[1]):
+                failed[s] = "OSError: the folder cannot be renamed"
+        return self.spark.createDataFrame([(s, f"{folder}/{name(s)}", failed.get(s)) for s in wanted], "shard_id long, path string, error string")
 
     def read(self, shards: Sequence[int], download: bool = False) -> DataFrame:
         """The rows of the shards, in the order given (shard_pos, row_index)."""
@@ -218,6 +236,17 @@ class SharedCache:
         return read_shards(self.spark, [self.path(s) for s in shards])
 
 
+def _part_names(spark: SparkSession, path: str) -> list[str] | None:
+    """The part files of a shard that is a folder with any, else None: it is fetched as a file."""
+    try:
+        system, at = place(spark, path)
+        if system.getFileStatus(at).isFile():
+            return None
+        return sorted(f.getPath().getName() for f in system.listStatus(at) if f.isFile() and not f.getPath().getName().startswith(("_", "."))) or None
+    except Exception:  # not there, or of a kind that only the fetcher knows; it says what is wrong
+        return None
+
+
 def _uri(spark: SparkSession, path: str) -> str:
     """The path as file names of a scan begin: absolute, with its scheme, percent-encoded."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") or "/")

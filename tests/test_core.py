@@ -534,6 +534,29 @@ def test_shared_cache(spark, tmp_path):
     assert not [f for f in os.listdir(f"{near}0") if "part" in f]
 
 
+def test_shared_cache_fetches_folders_by_file(spark, tmp_path):
+    """A shard that is a folder is fetched a file a task and shows when it is whole; one whose file cannot be fetched does not show."""
+    far, near = str(tmp_path / "far"), str(tmp_path / "near")
+    for k in (1, 2):
+        spark.range(90).selectExpr(f"id + {100 * k} as n").repartitionByRange(5, "n").sortWithinPartitions("n").write.parquet(f"{far}/shard_{k:05d}.parquet")
+
+    def fetch(source: str, target: str) -> None:
+        from pyspark import TaskContext
+
+        if "shard_00002" in source and "part-00003" in source:
+            raise OSError("torn")
+        shards.stream_fetcher(source, target)
+        with open(f"{far}/tasks", "a") as f:
+            f.write(f"{TaskContext.get().partitionId()}\n")
+
+    cache = shards.SharedCache(spark, near, shards.ShardSource(base_url=far), fetch)
+    got = cache.fetch(spark.createDataFrame([(1,), (2,), (3,)], "shard_id long")).orderBy("shard_id").collect()
+    assert [(r.shard_id, (r.error or "").split(":")[0]) for r in got] == [(1, ""), (2, "OSError"), (3, "FileNotFoundError")]
+    assert len(set(open(f"{far}/tasks").read().split())) == 9
+    assert sorted((r.n, r.row_index) for r in cache.read([1]).collect()) == [(100 + k, k) for k in range(90)]
+    assert os.listdir(near) == ["shard_00001.parquet"]
+
+
 def test_sink_publishes_whole_epochs_once(spark, tmp_path):
     from blockmill.plans import sink
 
