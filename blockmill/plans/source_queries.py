@@ -118,7 +118,7 @@ def _shards(spark, sf: str) -> list[str]:
     """documents, a file that is no parquet file, documents' texts in parts, a path that is not there, benchmark, whose columns are others, and documents again."""
     root = new_path(spark, "shards")
     spark.read.parquet(f"{sf}/benchmark.parquet").select("text").write.text(f"{root}/corrupt")
-    docs(spark, sf).select("text", "doc_id").repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").write.parquet(f"{root}/parts")
+    _parts(docs(spark, sf).select("text", "doc_id"), "doc_id").write.parquet(f"{root}/parts")
     return [f"{sf}/documents.parquet", f"{root}/corrupt", f"{root}/parts", f"{root}/nowhere", f"{sf}/benchmark.parquet", f"{sf}/documents.parquet"]
 
 
