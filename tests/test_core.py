@@ -516,6 +516,32 @@ def test_shard_source_and_errors(spark, tmp_path):
         source(shards="3").schema("n long, error string").load().collect()
 
 
+def test_large_shards_are_several_partitions(spark, tmp_path):
+    """The row groups of a shard's files are dealt to partitions, and rows are numbered on; the texts of the queries' shard are cut by size."""
+    import json
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from blockmill.plans import source_queries
+    from blockmill.sources.shardlist import ShardList
+
+    (tmp_path / "many").mkdir()
+    for k in range(3):
+        pq.write_table(pa.table({"n": range(40 * k, 40 * k + 40)}), tmp_path / f"many/{k}.parquet", row_group_size=15)
+    spark.dataSource.register(ShardList)
+    paths = json.dumps([str(tmp_path / "gone"), str(tmp_path / "many")])
+    for split, parts in ((1, 10), (1 << 20, 2)):
+        rows = spark.read.format("blockmill_shards").schema("n long, shard_pos int, row_index long, error string").options(paths=paths, on_error="row", split_bytes=split).load()
+        got = rows.collect()
+        assert rows.rdd.getNumPartitions() == parts
+        assert sorted((r.n, r.shard_pos, r.row_index) for r in got if r.error is None) == [(k, 1, k) for k in range(120)]
+        assert [r.shard_pos for r in got if r.error] == [0]
+    texts = spark.range(64).selectExpr("id as k", "repeat('x', 1048576) as text")
+    assert source_queries._parts(texts, "k").rdd.getNumPartitions() == 3
+    assert source_queries._parts(texts.unionAll(texts).unionAll(texts), "k").rdd.getNumPartitions() == 6
+
+
 def test_shared_cache(spark, tmp_path):
     far, near = tmp_path / "far", tmp_path / "near"
     far.mkdir()
